@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import table
+from corpusloom.llm.common import fold, shared_dir, stored, table
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,3 +27,52 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = whole_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 256)
     return top_k(rows, rows.where("id % 50 = 0"), 5)
+
+
+#: The rules that op1_url_filters starts from.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.url_filters import judge
+
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.langid import identify, prototypes
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = fold("doc_id", 3) == 1
+    model = prototypes(docs.where(~held))
+    return identify(docs.select("doc_id", "text", held.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op9_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches: all documents by words; German ones counted anew by letters; short ones taken away. The second comes twice."""
+    import uuid
+
+    from corpusloom.llm.rollups import Rollup, deleted, inserted, letter_count, revised, word_count
+
+    docs = table(spark, sf_dir, "documents")
+    counted = stored(docs.select("source", "lang", word_count("text").alias("words"), letter_count("text").alias("letters")), "counted")
+    by_words = counted.select("source", "lang", F.lit("words-1").alias("tokenizer_version"), F.col("words").alias("tokens"), "words")
+    by_letters = counted.select("source", "lang", F.lit("letters-1").alias("tokenizer_version"), F.col("letters").alias("tokens"), "words")
+    german, short = F.coalesce(F.col("lang") == "de", F.lit(False)), F.col("words") < 20
+    store = Rollup(spark, f"{shared_dir(spark)}/rollups/{uuid.uuid4().hex}")
+    store.commit("1-all", inserted(by_words))
+    for _ in range(2):
+        store.commit("2-german", revised(by_words.where(german), by_letters.where(german)))
+    store.commit("3-short", deleted(by_words.where(short & ~german)).unionByName(deleted(by_letters.where(short & german))))
+    return store.totals()
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.toxicity import fit_on, toxicity_scores
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = fold("doc_id", 5) == 0
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held)
+    model = fit_on(docs.join(labels, "doc_id"))
+    scored = toxicity_scores(docs.select("doc_id", "text", held.alias("held_out")), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -15,31 +15,33 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusloom.llm.common import _BYTE, _POWERS, _ODD, _powers, mix, slices, words_of
 
 BITS = 20
 GRAMS = (3, 4, 5, 6)
 #: Labelled rows of each class that the fit reads, at most (about), picked by a hash of doc_id.
-FIT_ROWS = 2500
-DIM = 8
-EPOCHS = 10
+FIT_ROWS = 5000
+DIM = 4
+EPOCHS = 7
 BATCH = 50
 #: Buckets that fewer texts of the sample have stay without a weight: they would be learnt by heart.
-LEAST_TEXTS = 5
+LEAST_TEXTS = 20
 
 
-def _grams(text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each gram length (and the whole word): buckets by byte position or word, and each word's range in them. Last: none."""
+def _grams(text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For the whole word and each gram length: buckets by word or byte position, and each word's range in them."""
     data, starts, ends, _ = words_of(text)
     if len(data) > len(_POWERS[0]):
         _POWERS[:] = [_powers(2 * len(data), _ODD), _powers(2 * len(data), pow(_ODD, -1, 1 << 64))]
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _POWERS[0][: len(data)])])
     bucket = lambda h: (mix(h) >> np.uint64(64 - BITS)).astype(np.int64)
-    yield bucket((sums[ends] - sums[starts]) * _POWERS[1][starts] + np.uint64(1)), np.arange(len(starts)), np.arange(1, len(starts) + 1), starts
+    yield bucket((sums[ends] - sums[starts]) * _POWERS[1][starts] + np.uint64(1)), np.arange(len(starts)), np.arange(1, len(starts) + 1)
     for n in GRAMS:
         if len(data) >= n:
-            yield bucket((sums[n:] - sums[:-n]) * _POWERS[1][: len(data) - n + 1]), starts, np.maximum(starts, ends - n + 1), starts
+            first = np.minimum(starts, len(data) - n + 1)
+            yield bucket((sums[n:] - sums[:-n]) * _POWERS[1][: len(data) - n + 1]), first, np.maximum(first, ends - n + 1)
 
 
 def features(text: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -49,7 +51,7 @@ def features(text: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     for n in GRAMS:
         of += np.maximum(0, ends - starts - n + 1)
     ids, words = [], []
-    for buckets, a, b, _ in _grams(text):
+    for buckets, a, b in _grams(text):
         counts = b - a
         at = np.repeat(a - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum()) if len(a) else np.zeros(0, np.int64)
         ids.append(buckets[at])
@@ -74,7 +76,7 @@ class Model:
     def scores(self, text: pa.Array) -> np.ndarray:
         _, starts, ends, bounds = words_of(text)
         total, of = np.zeros(len(starts)), np.zeros(len(starts))
-        for buckets, a, b, _ in _grams(text):
+        for buckets, a, b in _grams(text):
             sums = np.concatenate([[0.0], np.cumsum(self.odds[buckets], dtype=np.float64)])
             total += sums[b] - sums[a]
             of += b - a
@@ -133,7 +135,7 @@ def fit(texts: list[str | None], labels: np.ndarray, share: float, seed: int = 3
 
 
 #: Means of many grams are small; the softmax sees them so many times larger.
-SCALE = np.float32(100)
+SCALE = np.float32(15)
 
 
 def fit_on(labelled: DataFrame, rows: int = FIT_ROWS) -> Model:
@@ -163,5 +165,5 @@ def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.scores(b.column("text")))], [*names, "score"])
 
-    fields = docs.schema.add("score", "double")
+    fields = StructType([*docs.schema.fields]).add("score", "double")
     return docs.mapInArrow(run, fields)
