@@ -76,3 +76,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_on(docs.join(labels, "doc_id"))
     scored = toxicity_scores(docs.select("doc_id", "text", held.alias("held_out")), model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("source")
+
+
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.lm import score
+
+    return score(table(spark, sf_dir, "documents").select("doc_id", "text"), fold("doc_id", 7) == 2, ["doc_id"])
