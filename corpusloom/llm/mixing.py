@@ -60,8 +60,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...], share: float, cap: flo
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 6) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of each row of docs(doc_id, text, source, ...).
 
-    taken counts the words that the mix takes of the row, repeats included: at most cap times
-    its size, rounded up to whole passes. Null, empty and blank texts have size 0 and nothing is taken of them. A null
+    taken counts the words that the mix takes of the row, repeats included: for a whole
+    cap, at most cap times its size. Null, empty and blank texts have size 0 and nothing is taken of them. A null
     source is a source like others, and the last. Rows that repeat are mixed one by one. An
     empty table gives an empty result. Reruns agree: nothing depends on the order of rows.
     Other columns are dropped.

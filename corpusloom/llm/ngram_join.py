@@ -29,7 +29,7 @@ from corpusloom.llm.common import mix, slices, stored, word_hashes
 from corpusloom.llm.components import components
 
 #: Groups of shingles, coordinates of a node's point.
-GROUPS = 32
+GROUPS = 64
 #: Nodes in a part of a block; a cell holds one part or two.
 PART = 256
 #: Documents read for the order of shingles (about). The order changes the cost, never the result.

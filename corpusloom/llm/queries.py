@@ -88,3 +88,38 @@ def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.lm import score
 
     return score(table(spark, sf_dir, "documents").select("doc_id", "text"), fold("doc_id", 7) == 2, ["doc_id"])
+
+
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.fingerprints import as_text, compare_edited
+
+    rows = compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.withColumns({"fingerprint": as_text(F.col("fingerprint")), "edited_fingerprint": as_text(F.col("edited_fingerprint"))})
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_url_filters, op2_best_fit_packing, op3_language_id, op4_document_fingerprints, op5_ngram_jaccard,
+    op6_source_mixing, op7_exact_top_k, op8_lm_scores, op9_token_rollups, op10_toxicity,
+)}
+
+ORACLES = {
+    "op5_ngram_jaccard": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+g as materialized (select doc_id, unnest(case when len(ws) >= 3 then list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i+2], chr(10)))) when len(ws) > 0 then [array_to_string(ws, chr(10))] else [] end) s from w),
+n as materialized (select doc_id, count(*) n from g group by 1),
+p as (select x.doc_id a, y.doc_id b, count(*) k from g x join g y on x.s = y.s and x.doc_id < y.doc_id group by 1, 2),
+l as materialized (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 90 * (x.n + y.n - k)),
+e as materialized (select a, b from l union all select b, a from l),
+r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a)
+select d.doc_id, coalesce(n.n, 0) n_shingles, least(d.doc_id, coalesce(m.least_id, d.doc_id)) component_id
+from documents d left join n using (doc_id) left join (select a, min(b) least_id from r group by 1) m on m.a = d.doc_id""",
+    "op7_exact_top_k": """
+with v as materialized (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) e from embeddings where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint score from v q join v c on c.vec_id <> q.vec_id and len(c.e) = len(q.e) where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5""",
+    "op9_token_rollups": r"""
+with d as (select source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) words, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')) letters from documents),
+k as (select source, lang, case when lang = 'de' then 'letters-1' else 'words-1' end tokenizer_version, case when lang = 'de' then letters else words end tokens from d where words >= 20)
+select source, lang, tokenizer_version, count(*)::bigint docs, sum(tokens)::bigint tokens from k group by all""",
+}
