@@ -1,9 +1,10 @@
 """Winnowed fingerprints of whole texts, with DataFrame functions only.
 
-Every run of K bytes is hashed; from each window of W successive hashes the smallest is kept,
-the rightmost of equal ones, with its position. So any K + W - 1 bytes that two texts share
-leave a common hash in both, and nothing shorter than K bytes does. Windows are worked off in
-chunks, so that what a text needs besides its fingerprint doesn't grow with its length.
+A text is cut into units: words, and longer words into pieces of UNIT characters. Every run of K
+units is hashed; from each window of W successive hashes the smallest is kept, the rightmost of
+equal ones, with its position. So any K + W - 1 units that two texts share leave a common hash in
+both, and nothing shorter than K units does. Windows are worked off in chunks, so that their
+hashes are never held for a whole text.
 """
 
 from __future__ import annotations
@@ -13,11 +14,14 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import stored
 
-K, W = 16, 17
+UNIT = 6
+K, W = 4, 6
 #: Window starts worked off at once. A window's place in its chunk has 12 bits, so it is below 4096 - W.
 CHUNK = 1024
 #: Ids of a bucket in which a document finds the next one.
 BUCKET_BITS = 9
+#: Buckets up to which their table is sent to every task rather than the texts being shuffled once more.
+SMALL = 100_000
 
 
 def _let(value: Column, body) -> Column:
@@ -25,31 +29,31 @@ def _let(value: Column, body) -> Column:
 
 
 def winnow(text: Column, k: int = K, w: int = W) -> Column:
-    """Fingerprint of a text: distinct longs, the upper half a hash, the lower half its byte position, by position.
+    """Fingerprint of a text: distinct longs, the upper half a hash, the lower half its unit's position, by position.
 
-    A text of fewer than k bytes is one gram, one with fewer than w grams one window; an empty
-    or null text has an empty fingerprint.
+    A text of fewer than k units is one gram, one with fewer than w grams one window; an empty,
+    blank or null text has an empty fingerprint.
     """
     low, high = F.lit(4095).cast("long"), F.lit(-4096).cast("long")
 
     def chunk(data: Column, c: Column, grams: Column, windows: Column) -> Column:
         base = c * CHUNK
         last = F.least(base + (CHUNK + w - 2), grams - 1)
-        hashes = F.transform(F.sequence(base, last), lambda p: F.xxhash64(F.substring(data, p + 1, F.lit(k))).bitwiseAND(high).bitwiseOR((low - (p - base)).cast("long")))
+        hashes = F.transform(F.sequence(base, last), lambda p: F.xxhash64(F.slice(data, p + 1, F.lit(k))).bitwiseAND(high).bitwiseOR((low - (p - base)).cast("long")))
         least = lambda h: F.transform(F.sequence(F.lit(1), F.least(F.lit(CHUNK), windows - base)), lambda i: F.array_min(F.slice(h, i, F.lit(w))))
         place = lambda x: x.bitwiseAND(F.lit(-4294967296).cast("long")).bitwiseOR((base + low - x.bitwiseAND(low)).cast("long"))
         return _let(hashes, lambda h: F.transform(F.array_distinct(least(h)), place))
 
     def whole(data: Column) -> Column:
-        grams = F.greatest(F.lit(1), F.octet_length(data) - (k - 1))
+        grams = F.greatest(F.lit(1), F.size(data) - (k - 1))
         windows = F.greatest(F.lit(1), grams - (w - 1))
         count = F.ceil(windows / CHUNK).cast("int")
         parts = F.transform(F.sequence(F.lit(0), count - 1), lambda c: chunk(data, c, grams, windows))
         return F.array_distinct(F.flatten(parts))
 
-    data = F.coalesce(text, F.lit("")).cast("binary")
+    units = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"\S{{1,{UNIT}}}"), F.lit(0))
     none = F.array().cast("array<bigint>")
-    return F.when(F.octet_length(data) > 0, _let(data, whole)).otherwise(none)
+    return _let(units, lambda u: F.when(F.size(u) > 0, whole(u)).otherwise(none))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -94,7 +98,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     known = docs.where("doc_id is not null")
     bucket = F.shiftright("doc_id", BUCKET_BITS)
-    following = _next_of(known.groupBy(bucket.alias("bucket")).agg(F.min("doc_id").alias("first_id")))
+    following = stored(_next_of(known.groupBy(bucket.alias("bucket")).agg(F.min("doc_id").alias("first_id"))), "following")
+    if following.count() <= SMALL:  # rows of two longs
+        following = F.broadcast(following)
     copies = known.join(following, known["doc_id"] == following["next_id"]).groupBy("bucket", "doc_id").agg(F.min("text").alias("text"))
     rows = known.select(bucket.alias("bucket"), "doc_id", "text", F.lit(False).alias("copy")).unionByName(copies.select("bucket", "doc_id", "text", F.lit(True).alias("copy")))
     rows = rows.repartition("bucket").withColumn("fingerprint", winnow(F.col("text")))
