@@ -31,7 +31,8 @@ def _let(value: Column, body) -> Column:
 def winnow(text: Column, k: int = K, w: int = W) -> Column:
     """Fingerprint of a text: distinct longs, the upper half a hash, the lower half its unit's position, by position.
 
-    A text of fewer than k units is one gram, one with fewer than w grams one window; an empty,
+    get() rather than slice(), which copies its whole array each time; it gives null past the
+    end, which hashes and minima pass over. A text of fewer than k units is one gram, one with fewer than w grams one window; an empty,
     blank or null text has an empty fingerprint.
     """
     low, high = F.lit(4095).cast("long"), F.lit(-4096).cast("long")
@@ -39,8 +40,8 @@ def winnow(text: Column, k: int = K, w: int = W) -> Column:
     def chunk(data: Column, c: Column, grams: Column, windows: Column) -> Column:
         base = c * CHUNK
         last = F.least(base + (CHUNK + w - 2), grams - 1)
-        hashes = F.transform(F.sequence(base, last), lambda p: F.xxhash64(F.slice(data, p + 1, F.lit(k))).bitwiseAND(high).bitwiseOR((low - (p - base)).cast("long")))
-        least = lambda h: F.transform(F.sequence(F.lit(1), F.least(F.lit(CHUNK), windows - base)), lambda i: F.array_min(F.slice(h, i, F.lit(w))))
+        hashes = F.transform(F.sequence(base, last), lambda p: F.xxhash64(*(F.get(data, p + i) for i in range(k))).bitwiseAND(high).bitwiseOR((low - (p - base)).cast("long")))
+        least = lambda h: F.transform(F.sequence(F.lit(0), F.least(F.lit(CHUNK), windows - base) - 1), lambda i: F.least(*(F.get(h, i + j) for j in range(w))))
         place = lambda x: x.bitwiseAND(F.lit(-4294967296).cast("long")).bitwiseOR((base + low - x.bitwiseAND(low)).cast("long"))
         return _let(hashes, lambda h: F.transform(F.array_distinct(least(h)), place))
 
