@@ -1,5 +1,253 @@
 """All registered queries of the library, and their SQL."""
+
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.operators import graph, metrics, policy, scan, windows
+from corpusloom.sources.readers import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+FLAGSHIP = "h03_finding_ids"
+
+
+def query(oracle: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+#: Rules for prose: secrets, personal data, licences. ASCII classes only, so that all regex dialects agree.
+RULES = [
+    scan.Rule("credential_access", "token_literal", 'token = "[0-9a-f]{40}"', "high"),
+    scan.Rule("credential_access", "access_key", "akia[0-9a-z]{16}", "high"),
+    scan.Rule("personal_data", "email", "[a-z0-9._-]+@[a-z0-9-]+[.][a-z]+", "medium"),
+    scan.Rule("personal_data", "card_number", "4[0-9]{15}", "high"),
+    scan.Rule("network_access", "dotted_quad", "[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}", "medium"),
+    scan.Rule("license_text", "license_word", "license|rights reserved", "medium"),
+]
+_VALUES = ", ".join(f"('{r.category}', '{r.detector}', '{r.pattern}', '{r.confidence}')" for r in RULES)
+_HITS = f"""
+with r(category, detector, pattern, confidence) as (values {_VALUES}),
+p as (select doc_id, regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') a from documents),
+l as (select doc_id, unnest(a) line, generate_subscripts(a, 1)::int line_no from p),
+k as (select * from l where length(line) <= 2000 and not (ltrim(line, ' ') like '#%' or ltrim(line, ' ') like '//%' or ltrim(line, ' ') like '/*%' or ltrim(line, ' ') like '*%' or ltrim(line, ' ') like '\"\"\"%' or ltrim(line, ' ') like '''''''%')),
+h as (select doc_id, line_no, line, category, detector, confidence from k join r on regexp_matches(line, '(?i)' || pattern))"""
+_FOUND = _HITS + """,
+g as (select doc_id, category, list_sort(list(distinct line_no)) ls, list_sort(list(distinct sha256(regexp_replace(regexp_replace(line, '^\\s+', ''), '\\s+$', '')))) hs, list_sort(list(distinct detector)) d, max(confidence = 'high') high from h group by all),
+f as (select doc_id, category, ls[1] line_start, ls[-1] line_end, len(ls)::int match_count, array_to_string(ls[1:50], ',') evidence_lines, array_to_string(d, ';') detectors, case when high then 'high' else 'medium' end confidence,
+ 'ASB-' || upper(sha256(concat_ws(chr(0), doc_id::varchar, category, ls[1]::varchar, array_to_string(d, ';')))[1:16]) finding_id,
+ 'ASBFP-' || upper(sha256(concat_ws(chr(0), doc_id::varchar, category, array_to_string(d, ';'), array_to_string(hs, chr(0))))[1:24]) fingerprint from g)
+"""
+
+
+def _hits(spark: SparkSession, sf: str) -> DataFrame:
+    return scan.matches(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", RULES)
+
+
+def _found(spark: SparkSession, sf: str) -> DataFrame:
+    return scan.findings(_hits(spark, sf), "doc_id")
+
+
+@query(_HITS + "select doc_id, line_no, category, detector, confidence from h")
+def c01_rule_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return _hits(spark, sf).drop("line")
+
+
+@query(_FOUND + "select * from f")
+def h03_finding_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return _found(spark, sf)
+
+
+@query(_FOUND + "select category, confidence, count(*) n, sum(match_count)::bigint lines from f group by all")
+def d03_category_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return _found(spark, sf).groupBy("category", "confidence").agg(F.count("*").alias("n"), F.sum("match_count").alias("lines"))
+
+
+_POLICY = _FOUND + """,
+s as (select fingerprint, case when category = 'license_text' then null else date '2024-06-01' end expires from f where category in ('license_text', 'network_access')),
+e as (select f.*, f.fingerprint not in (select fingerprint from f where match_count = 1) is_new, f.fingerprint in (select fingerprint from s where expires is null or expires >= date '2024-07-01') suppressed from f)
+"""
+
+
+@query(_POLICY + "select category, count(*) n, sum(is_new::int)::bigint new_ones, sum(suppressed::int)::bigint suppressed, sum((is_new and not suppressed and confidence = 'high')::int)::bigint blocking from e group by all")
+def j01_policy(spark: SparkSession, sf: str) -> DataFrame:
+    """One-line findings are the baseline, licence findings suppressed for good, network ones until June."""
+    f = _found(spark, sf)
+    s = f.where(F.col("category").isin("license_text", "network_access")).select("fingerprint", F.when(F.col("category") != "license_text", F.to_date(F.lit("2024-06-01"))).alias("expires"))
+    e = policy.evaluate(f, f.where("match_count = 1"), s, F.col("confidence") == "high", F.to_date(F.lit("2024-07-01")))
+    n = lambda c: F.sum(F.col(c).cast("int"))
+    return e.groupBy("category").agg(F.count("*").alias("n"), n("is_new").alias("new_ones"), n("suppressed").alias("suppressed"), n("blocking").alias("blocking"))
+
+
+@query("select event_id, user_id, last(case when event_type = 'signup' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between 30 preceding and current row) signup_id from events")
+def c02_nearest_before(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    return windows.last_before(e, "user_id", ["ts", "event_id"], F.when(F.col("event_type") == "signup", F.col("event_id")), 30, "signup_id").select("event_id", "user_id", "signup_id")
+
+
+@query("select event_id, user_id, first(case when event_type = 'purchase' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between 1 following and 8 following) purchase_id from events")
+def c03_next_after(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    return windows.first_after(e, "user_id", ["ts", "event_id"], F.when(F.col("event_type") == "purchase", F.col("event_id")), 8, "purchase_id").select("event_id", "user_id", "purchase_id")
+
+
+@query("select a.l_orderkey, a.l_linenumber, count(*) n_overlaps from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber <> b.l_linenumber and a.l_shipdate <= b.l_shipdate + interval 7 day and b.l_shipdate <= a.l_shipdate + interval 7 day group by all")
+def c13_interval_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """Weeks from shipping that overlap within an order: equal keys first, the interval as what remains."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    b = li.select("l_orderkey", F.col("l_linenumber").alias("other"), F.col("l_shipdate").alias("shipped"))
+    week = F.expr("interval 7 days")
+    x = li.join(b, "l_orderkey").where((F.col("l_linenumber") != F.col("other")) & (F.col("l_shipdate") <= F.col("shipped") + week) & (F.col("shipped") <= F.col("l_shipdate") + week))
+    return x.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n_overlaps"))
+
+
+_EDGES = "e as (select user_id src, lead(user_id) over (partition by date_trunc('day', ts) order by ts, event_id) dst from events), g as (select distinct src, dst from e where dst is not null and src <> dst)"
+
+
+@query(f"with recursive {_EDGES}, r as (select distinct src seed, src node, 0 depth from g where src <= 5 union select seed, dst, depth + 1 from r join g on r.node = g.src where depth < 3) select seed, node, min(depth)::int depth from r group by all")
+def c10_bounded_reach(spark: SparkSession, sf: str) -> DataFrame:
+    """Users followed by users within a day, three steps from the first users."""
+    from pyspark.sql import Window
+
+    e = table(spark, sf, "events")
+    e = e.select(F.col("user_id").alias("src"), F.lead("user_id").over(Window.partitionBy(F.date_trunc("day", "ts")).orderBy("ts", "event_id")).alias("dst")).where("dst is not null and src <> dst").distinct()
+    return graph.bounded_reach(e, e.where("src <= 5").select(F.col("src").alias("node")).distinct(), 3)
+
+
+@query("select l_returnflag, quantile_cont(l_extendedprice, 0.9) p90, quantile_disc(l_extendedprice, 0.95) p95_rank from lineitem group by 1")
+def d26_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.percentile("l_extendedprice", 0.9).alias("p90"), F.expr("percentile_disc(0.95) within group (order by l_extendedprice)").alias("p95_rank"))
+
+
+@query("select c_mktsegment, n_name, grouping_id(c_mktsegment, n_name)::bigint level, count(*) n, round(100.0 * sum((c_acctbal < 0)::int) / count(*), 6) negative_percent from customer join nation on c_nationkey = n_nationkey group by grouping sets ((), (c_mktsegment), (n_name))")
+def d09_feature_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.sql("select c_mktsegment, n_name, grouping_id(c_mktsegment, n_name) level, count(*) n, round(100.0D * sum(int(c_acctbal < 0)) / count(*), 6) negative_percent from {c} join {n} on c_nationkey = n_nationkey group by grouping sets ((), (c_mktsegment), (n_name))", c=table(spark, sf, "customer"), n=table(spark, sf, "nation"))
+
+
+@query("select n_name, count(*) filter (c_mktsegment = 'BUILDING') building, count(*) filter (c_mktsegment = 'MACHINERY') machinery, count(c_custkey) total from nation left join customer on c_nationkey = n_nationkey group by 1")
+def d04_pivot(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer")
+    by = c.groupBy("c_nationkey").agg(F.count_if(F.col("c_mktsegment") == "BUILDING").alias("building"), F.count_if(F.col("c_mktsegment") == "MACHINERY").alias("machinery"), F.count("*").alias("total"))
+    return table(spark, sf, "nation").join(by, F.col("n_nationkey") == F.col("c_nationkey"), "left").select("n_name", *(F.coalesce(x, F.lit(0)).alias(x) for x in ("building", "machinery", "total")))
+
+
+@query("with s as (select o_orderkey, o_orderpriority, o_orderstatus, row_number() over w draw, count(*) over (partition by o_orderpriority, o_orderstatus) population from orders window w as (partition by o_orderpriority, o_orderstatus order by sha256('corpusloom' || chr(0) || o_orderkey::varchar), o_orderkey)) select o_orderkey, o_orderpriority, o_orderstatus, draw::int draw, population, population / least(population, 20) weight from s where draw <= 20")
+def e03_stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return windows.stratified(table(spark, sf, "orders"), ["o_orderpriority", "o_orderstatus"], "o_orderkey", 20, "corpusloom").select("o_orderkey", "o_orderpriority", "o_orderstatus", "draw", "population", "weight")
+
+
+@query("""with s as (select o_orderpriority, o_orderstatus, count(*) n from orders group by all), x as (select *, (150 - count(*) over ()) * (n - 1) / sum(n - 1) over () exact, count(*) over () k from s),
+y as (select *, row_number() over (order by exact - floor(exact) desc, o_orderpriority, o_orderstatus) r, 150 - k - sum(floor(exact)) over () left_over from x)
+select o_orderpriority, o_orderstatus, n, (1 + floor(exact) + (r <= left_over)::int)::bigint quota from y""")
+def e05_quota(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"))
+    return windows.largest_remainder(s, "n", 150, ["o_orderpriority", "o_orderstatus"])
+
+
+_RATERS = """v as (select doc_id, unnest([lang = 'en', n_chars > 1500, contains(text, '.'), contains(text, '!'), doc_id is not null]) label, unnest(['a', 'b', 'c', 'd', 'e']) rater from documents)"""
+
+
+def _ratings(spark: SparkSession, sf: str) -> DataFrame:
+    """Five raters: predicates over documents."""
+    d = table(spark, sf, "documents")
+    votes = [F.struct(F.lit(r).alias("rater"), p.alias("label")) for r, p in zip("abcde", (F.col("lang") == "en", F.col("n_chars") > 1500, F.contains("text", F.lit(".")), F.contains("text", F.lit("!")), F.col("doc_id").isNotNull()), strict=True)]
+    return d.select("doc_id", F.explode(F.array(*votes)).alias("v")).select("doc_id", "v.*")
+
+
+@query(f"""with {_RATERS}, n as (select doc_id, label, count(*) n from v group by all), o as (select avg(p) observed from (select sum(n * (n - 1)) / (sum(n) * (sum(n) - 1)) p from n group by doc_id)), e as (select sum(s * s) / (sum(s) * sum(s)) expected from (select sum(n) s from n group by label))
+select round(observed, 9) observed, round(expected, 9) expected, round((observed - expected) / (1 - expected), 9) kappa from o, e""")
+def d19_fleiss(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.fleiss(_ratings(spark, sf), "doc_id", "label").select(*(F.round(c, 9).alias(c) for c in ("observed", "expected", "kappa")))
+
+
+@query("""with n as (select (quality = 1) a, (toxic = 0) b, count(*) n from labels group by all), t as (select sum(n) t, sum(case when a = b then n else 0 end) s from n), x as (select a l, sum(n) x from n group by a), y as (select b l, sum(n) y from n group by b), e as (select sum(x * y) both_ from x join y using (l))
+select round(s / t, 9) observed, round(both_ / (t * t), 9) expected, round((s / t - both_ / (t * t)) / (1 - both_ / (t * t)), 9) kappa from t, e""")
+def d20_cohen(spark: SparkSession, sf: str) -> DataFrame:
+    x = table(spark, sf, "labels").select((F.col("quality") == 1).alias("a"), (F.col("toxic") == 0).alias("b"))
+    return metrics.cohen(x, "a", "b").select(*(F.round(c, 9).alias(c) for c in ("observed", "expected", "kappa")))
+
+
+@query(f"with {_RATERS}, n as (select doc_id, label, count(*) n from v group by all), m as (select doc_id, max(n) votes from n group by 1) select doc_id, min(label) winner, votes, count(*) > 1 tied from n join m using (doc_id) where n = votes group by doc_id, votes")
+def d23_plurality(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.plurality(_ratings(spark, sf), "doc_id", "label")
+
+
+_GOLD = "x as (select lang, toxic = 1 gold, n_chars < 1000 pred, quality = 0 other, count(*) over (partition by lang, source) / 7.0 w from labels join documents using (doc_id))"
+
+
+def _gold(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    x = table(spark, sf, "labels").join(d, "doc_id")
+    return x.select("lang", (F.col("toxic") == 1).alias("gold"), (F.col("n_chars") < 1000).alias("pred"), (F.col("quality") == 0).alias("other"), (F.count("*").over(Window.partitionBy("lang", "source")) / 7.0).alias("w"))
+
+
+@query(f"""with {_GOLD}, c as (select lang, round(sum(case when gold and pred then w else 0 end), 6) tp, round(sum(case when not gold and pred then w else 0 end), 6) fp, round(sum(case when gold and not pred then w else 0 end), 6) fn, round(sum(case when not gold and not pred then w else 0 end), 6) tn from x group by 1)
+select *, round(tp / nullif(tp + fp, 0), 6) "precision", round(tp / nullif(tp + fn, 0), 6) recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) f1 from c""")
+def d13_weighted_confusion(spark: SparkSession, sf: str) -> DataFrame:
+    c = metrics.confusion(_gold(spark, sf), ["lang"], F.col("gold"), F.col("pred"), F.col("w").cast("double"))
+    return c.select("lang", *(F.round(x, 6).alias(x) for x in ("tp", "fp", "fn", "tn", "precision", "recall", "f1")))
+
+
+@query(f"with {_GOLD} select lang, count(*) filter (pred = gold and other <> gold) only_first, count(*) filter (pred <> gold and other = gold) only_second, count(*) n from x group by 1")
+def d35_mcnemar(spark: SparkSession, sf: str) -> DataFrame:
+    one, two = F.col("pred") == F.col("gold"), F.col("other") == F.col("gold")
+    return _gold(spark, sf).groupBy("lang").agg(F.count_if(one & ~two).alias("only_first"), F.count_if(~one & two).alias("only_second"), F.count("*").alias("n"))
+
+
+@query("select o_orderkey, o_orderpriority, row_number() over (order by o_orderpriority, o_totalprice desc, o_orderkey)::int rank from orders qualify rank <= 500")
+def f03_topk(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    top = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice").orderBy("o_orderpriority", F.desc("o_totalprice"), "o_orderkey").limit(500)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy("o_orderpriority", F.desc("o_totalprice"), "o_orderkey"))).drop("o_totalprice")
+
+
+@query("""with s as (select user_id, list_sort(list(distinct event_type) filter (ts < timestamp '2024-01-16')) a, list_sort(list(distinct event_type) filter (ts >= timestamp '2024-01-16')) b from events group by 1)
+select user_id, array_to_string(list_filter(coalesce(b, []), lambda x: not list_contains(coalesce(a, []), x)), ',') added, array_to_string(list_filter(coalesce(a, []), lambda x: not list_contains(coalesce(b, []), x)), ',') removed from s""")
+def g06_array_delta(spark: SparkSession, sf: str) -> DataFrame:
+    cut = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    s = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_set(F.when(cut, F.col("event_type")))).alias("a"), F.array_sort(F.collect_set(F.when(~cut, F.col("event_type")))).alias("b"))
+    return s.select("user_id", F.array_join(F.array_except("b", "a"), ",").alias("added"), F.array_join(F.array_except("a", "b"), ",").alias("removed"))
+
+
+@query("select c_custkey from customer except select o_custkey from orders where o_orderpriority = '1-URGENT'")
+def g05_set_difference(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "customer").select("c_custkey").subtract(table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey"))
+
+
+@query("""select 'duplicate_order' as "constraint", count(*) violations from (select o_orderkey from orders group by 1 having count(*) > 1) union all select 'dangling_line', count(*) from lineitem where l_orderkey not in (select o_orderkey from orders) union all select 'bad_length', count(*) from documents where n_chars <> length(text)""")
+def k03_integrity(spark: SparkSession, sf: str) -> DataFrame:
+    o, li, d = (table(spark, sf, t) for t in ("orders", "lineitem", "documents"))
+    found = {"duplicate_order": o.groupBy("o_orderkey").count().where("count > 1"), "dangling_line": li.join(o, li["l_orderkey"] == o["o_orderkey"], "left_anti"), "bad_length": d.where(F.col("n_chars") != F.length("text"))}
+    out = None
+    for name, rows in found.items():
+        one = rows.agg(F.count("*").alias("violations")).select(F.lit(name).alias("constraint"), "violations")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""select user_id, count(*) n, round(sum(coalesce((props->>'k')::double, 0)), 6) total, max(props) sample from events group by 1""")
+def h28_json_access(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    return e.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum(F.coalesce(F.get_json_object("props", "$.k").cast("double"), F.lit(0.0))), 6).alias("total"), F.max("props").alias("sample"))
+
+
+@query("""with c as (select *, row_number() over (partition by conv_id order by turn) r from conversations) select a.conv_id, a.turn, string_agg(b.role || ':' || length(b.text), '|' order by b.turn) context from c a join c b on a.conv_id = b.conv_id and b.r between a.r - 1 and a.r + 1 where a.role = 'user' group by 1, 2""")
+def b25_context_window(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user turn with the turn before and after it, by a window over the conversation rather than a join."""
+    from pyspark.sql import Window
+
+    c = table(spark, sf, "conversations").withColumn("x", F.concat("role", F.lit(":"), F.length("text").cast("string")))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return c.withColumn("context", F.array_join(F.collect_list("x").over(w.rowsBetween(-1, 1)), "|")).where("role = 'user'").select("conv_id", "turn", "context")
