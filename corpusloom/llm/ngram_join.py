@@ -29,13 +29,13 @@ from corpusloom.llm.common import mix, slices, stored, word_hashes
 from corpusloom.llm.components import components
 
 #: Groups of shingles, coordinates of a node's point.
-GROUPS = 64
+GROUPS = 256
 #: Nodes in a part of a block; a cell holds one part or two.
 PART = 256
 #: Documents read for the order of shingles (about). The order changes the cost, never the result.
 ORDER_DOCS = 20_000
 #: Shingles put last in that order, at most (8 bytes each in every task).
-COMMON = 500_000
+COMMON = 100_000
 
 
 def shingle_sets(text: pa.Array, words: int) -> list[np.ndarray]:
