@@ -7,8 +7,8 @@ n - ceil(least * n) + 1); that deals the nodes out to tasks. Within such a block
 the nodes' count vectors finds the pairs whose summed coordinate minima allow a link, and the
 pairs that survive are checked on the whole sets.
 
-Only links between different components are of interest. So each block first tries one member
-(another one for each block) against the others, which joins groups of near copies without
+Only links between different components are of interest. So each block first tries a few members
+(others for each block) against the others, which joins groups of near copies without
 listing their pairs; the R-trees then search only blocks that still span several components,
 cut into cells of bounded size.
 """
@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,6 +31,8 @@ from corpusloom.llm.components import components
 GROUPS = 256
 #: Nodes in a part of a block; a cell holds one part or two.
 PART = 256
+#: Members of a block that are tried against all its others before the search.
+LEADERS = 3
 #: Documents read for the order of shingles (about). The order changes the cost, never the result.
 ORDER_DOCS = 20_000
 #: Shingles put last in that order, at most (8 bytes each in every task).
@@ -172,16 +173,29 @@ class RTree:
 
 
 def _cell_pairs(least: float):
-    def run(cell: pd.DataFrame) -> pd.DataFrame:
-        nid, comp = cell["nid"].to_numpy(), cell["component"].to_numpy()
-        points = np.array(cell["counts"].tolist(), np.int64).reshape(len(cell), GROUPS)
-        tree, a, b = RTree(points), [], []
-        for i in range(len(cell)):
+    """Candidate pairs of each cell of (cell, nid, component, counts), sorted by cell. A task holds one cell and one batch at a time."""
+
+    def pairs(nid: np.ndarray, comp: np.ndarray, points: np.ndarray) -> list[tuple[int, int]]:
+        tree, out = RTree(points), []
+        for i in range(len(nid)):
             near = tree.search(points[i], least)
             near = near[(comp[near] != comp[i]) & (nid[near] < nid[i])]
-            a += [nid[i]] * len(near)
-            b += nid[near].tolist()
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+            out += [(int(nid[i]), x) for x in nid[near].tolist()]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        give = lambda found: pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        for b in batches:
+            now = [*(b.column(c).to_numpy() for c in ("cell", "nid", "component")), b.column("counts").flatten().to_numpy().reshape(-1, GROUPS)]
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            cuts = np.flatnonzero(now[0][1:] != now[0][:-1]) + 1
+            edges = [0, *cuts.tolist()]  # the last cell may go on in the next batch
+            yield give([x for u, v in zip(edges[:-1], edges[1:], strict=True) for x in pairs(*(c[u:v] for c in now[1:]))])
+            held = [c[edges[-1] :] for c in now]
+        if held is not None and len(held[0]):
+            yield give(pairs(*held[1:]))
 
     return run
 
@@ -203,12 +217,13 @@ def jaccard_components(docs: DataFrame, words: int = 3, least: float = 0.9) -> D
     points = nodes.select("nid", "n", "counts")
 
     firsts = nodes.select("nid", F.explode("first").alias("s"))
-    blocks = firsts.groupBy("s").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("s", "nid"), "nid")).getField("nid").alias("leader")).where("m > 1")
+    leaders = [F.min(F.struct(F.xxhash64("s", "nid", F.lit(k)), "nid")).getField("nid").alias(f"leader{k}") for k in range(LEADERS)]
+    blocks = firsts.groupBy("s").agg(F.count("*").alias("m"), *leaders).where("m > 1")
     members = stored(firsts.join(blocks, "s"), "members")
 
     percent = round(100 * least)
     bound = F.aggregate(F.zip_with("x", "y", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
-    stars = members.where("nid <> leader").select(F.greatest("nid", "leader").alias("a"), F.least("nid", "leader").alias("b")).distinct()
+    stars = members.withColumn("leader", F.explode(F.array(*(f"leader{k}" for k in range(LEADERS))))).where("nid <> leader").select(F.greatest("nid", "leader").alias("a"), F.least("nid", "leader").alias("b")).distinct()
     stars = stars.join(points.select(F.col("nid").alias("a"), F.col("n").alias("p"), F.col("counts").alias("x")), "a").join(points.select(F.col("nid").alias("b"), F.col("n").alias("q"), F.col("counts").alias("y")), "b")
     stars = stars.where(F.expr(f"100 * least(p, q) >= {percent} * greatest(p, q)")).where(bound * (100 + percent) >= percent * (F.col("p") + F.col("q"))).select("a", "b")
     links = stored(_links(named, nodes, stars, words, least), "links")
@@ -222,7 +237,8 @@ def jaccard_components(docs: DataFrame, words: int = 3, least: float = 0.9) -> D
     lists = cells.groupBy("s", "lo", "hi").agg(F.array_sort(F.collect_set("nid")).alias("nids")).select("nids").distinct()
     rows = stored(lists.withColumn("cell", F.monotonically_increasing_id()), "cells").select("cell", F.explode("nids").alias("nid"))
     rows = rows.join(points.select("nid", "counts"), "nid").join(comps.withColumnRenamed("node", "nid"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
-    more = rows.groupBy("cell").applyInPandas(_cell_pairs(least), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
+    rows = rows.select("cell", "nid", "component", "counts").repartition("cell").sortWithinPartitions("cell")
+    more = rows.mapInArrow(_cell_pairs(least), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
     links = links.unionByName(stored(_links(named, nodes, more, words, least), "links"))
     comps = components(links)
 

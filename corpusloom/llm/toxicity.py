@@ -24,7 +24,9 @@ GRAMS = (3, 4, 5, 6)
 #: Labelled rows of each class that the fit reads, at most (about), picked by a hash of doc_id.
 FIT_ROWS = 5000
 DIM = 4
-EPOCHS = 7
+EPOCHS, MOST_EPOCHS = 7, 40
+#: Minibatches of the fit, at least: few rows are gone through more often, up to MOST_EPOCHS times.
+STEPS = 1200
 BATCH = 50
 #: Buckets that fewer texts of the sample have stay without a weight: they would be learnt by heart.
 LEAST_TEXTS = 20
@@ -105,9 +107,10 @@ def fit(texts: list[str | None], labels: np.ndarray, share: float, seed: int = 3
     b = np.zeros(2, np.float32)
     e2, w2, b2 = np.full((1 << BITS, 1), 1e-8, np.float32), np.full_like(w, 1e-8), np.full_like(b, 1e-8)
     y = np.eye(2, dtype=np.float32)[labels]
-    for epoch in range(EPOCHS):
+    epochs = min(MOST_EPOCHS, max(EPOCHS, -(-STEPS * BATCH // len(rows))))
+    for epoch in range(epochs):
         order = rng.permutation(len(rows))
-        rate = 0.3 * (1 - epoch / EPOCHS)
+        rate = 0.3 * (1 - epoch / epochs)
         for at in range(0, len(order), BATCH):
             own = order[at : at + BATCH]
             ids = np.concatenate([rows[i][0] for i in own])
