@@ -22,7 +22,7 @@ from corpusloom.llm.common import _BYTE, _POWERS, _ODD, _powers, mix, slices, wo
 BITS = 20
 GRAMS = (3, 4, 5, 6)
 #: Labelled rows of each class that the fit reads, at most (about), picked by a hash of doc_id.
-FIT_ROWS = 5000
+FIT_ROWS = 3000
 DIM = 4
 EPOCHS, MOST_EPOCHS = 7, 40
 #: Minibatches of the fit, at least: few rows are gone through more often, up to MOST_EPOCHS times.
@@ -96,11 +96,13 @@ def fit(texts: list[str | None], labels: np.ndarray, share: float, seed: int = 3
     if len(set(labels.tolist())) < 2:
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
-    rows = []
-    for at in range(0, len(texts), 200):
-        rows += features(pa.array(texts[at : at + 200], pa.string()))
-    texts_with = np.bincount(np.concatenate([i for i, _ in rows]), minlength=1 << BITS)
-    rows = [(i[k], v[k]) for i, v in rows for k in [texts_with[i] >= LEAST_TEXTS]]
+    # Twice over the texts, a few at a time: most grams are rare, and never all held.
+    parts = [pa.array(texts[at : at + 25], pa.string()) for at in range(0, len(texts), 25)]
+    texts_with = np.zeros(1 << BITS, np.int32)
+    for part in parts:
+        for ids, _ in features(part):
+            texts_with[ids] += 1
+    rows = [(ids[k], v[k]) for part in parts for ids, v in features(part) for k in [texts_with[ids] >= LEAST_TEXTS]]
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
     w = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)

@@ -295,7 +295,7 @@ def test_toxicity(spark, odd, none):
     labels = np.array([i % 3 == 0 for i in range(600)]).astype(np.int64)
     texts = [t + " idiotic scumbag" if y else t for t, y in zip(texts, labels)]
     model = toxicity.fit(texts, labels, 1 / 3)
-    s = model.scores(pa.array([clean(), clean() + " idiiotic", clean() + " idiotic", None, ""]))
+    s = model.scores(pa.array([clean(), clean() + " idiiotic scumbaag", clean() + " idiotic scumbag", None, ""]))
     assert s[0] < 0.5 < s[2] and s[1] > s[0] and s[3] == s[4]
     got = toxicity.toxicity_scores(odd, model).collect()
     assert len(got) == 10 and all(0 <= r.score <= 1 for r in got) and toxicity.toxicity_scores(none, model).count() == 0
