@@ -144,7 +144,11 @@ SCALE = np.float32(15)
 
 
 def fit_on(labelled: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """Fit on labelled(doc_id, text, toxic): about `rows` of each class, by a hash of doc_id. Null labels and texts are left out."""
+    """Fit on labelled(doc_id, text, toxic): about `rows` of each class, by a hash of doc_id. Null labels and texts are left out.
+
+    The sample is bounded, so one task trains on it, and is run again elsewhere if its executor
+    is lost. The driver gets the bucket weights (4 MB) alone.
+    """
     labelled = labelled.where("toxic in (0, 1) and text is not null").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     n = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     if not n:
@@ -152,8 +156,18 @@ def fit_on(labelled: DataFrame, rows: int = FIT_ROWS) -> Model:
     take = F.lit(False)
     for label, count in n.items():
         take = take | ((F.col("toxic") == label) & (F.abs(F.xxhash64("doc_id", F.lit(10)) % 1_000_000) < int(1_000_000 * min(1.0, rows / count))))
-    sample = labelled.where(take).orderBy(F.xxhash64("doc_id", "text")).toPandas()
-    return fit(sample["text"].tolist(), sample["toxic"].to_numpy(np.int64), n.get(1, 0) / sum(n.values()))
+    share = n.get(1, 0) / sum(n.values())
+
+    def train(sample: pa.Table) -> pa.Table:
+        sample = sample.sort_by([("_order", "ascending"), ("doc_id", "ascending")])
+        model = fit(sample["text"].to_pylist(), sample["toxic"].to_numpy().astype(np.int64), share)
+        return pa.table({"odds": pa.array([model.odds.tobytes()], pa.binary()), "bias": [model.bias]})
+
+    sample = labelled.where(take).withColumn("_order", F.xxhash64("doc_id", "text")).withColumn("_all", F.lit(0))
+    found = sample.groupBy("_all").applyInArrow(train, "odds binary, bias double").collect()
+    if not found:
+        return fit([], np.zeros(0, np.int64), share)
+    return Model(np.frombuffer(found[0]["odds"], np.float32), found[0]["bias"])
 
 
 def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
@@ -162,7 +176,7 @@ def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
     Columns of docs stay as they are, but for one named `score`, which is replaced. Rows that
     repeat get equal scores; an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB
     docs = docs.drop("score")
     names = docs.columns
 

@@ -300,3 +300,18 @@ def test_toxicity(spark, odd, none):
     got = toxicity.toxicity_scores(odd, model).collect()
     assert len(got) == 10 and all(0 <= r.score <= 1 for r in got) and toxicity.toxicity_scores(none, model).count() == 0
     assert 0 < toxicity.fit([], np.zeros(0, np.int64), 0.5).scores(pa.array(["x"]))[0] < 1
+
+
+def test_toxicity_fit_in_a_task(spark):
+    texts = [f"you vile {k} scum" if k % 3 == 0 else f"a calm {k} day" for k in range(60)]
+    rows = [(k, t, int(k % 3 == 0)) for k, t in enumerate(texts)] + [(60, None, 1), (61, "x", None), (62, "y", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    a, b = toxicity.fit_on(df), toxicity.fit_on(df.repartition(7))
+    assert a.bias == b.bias and (a.odds == b.odds).all()
+    order = df.where("doc_id < 60").selectExpr("*", "xxhash64(doc_id, text) h").orderBy("h").toPandas()
+    plain = toxicity.fit(order["text"].tolist(), order["toxic"].to_numpy(np.int64), 1 / 3)
+    assert a.bias == plain.bias and (a.odds == plain.odds).all()
+    s = a.scores(pa.array(texts))
+    assert all((x >= 0.5) == (k % 3 == 0) for k, x in enumerate(s))
+    none = toxicity.fit_on(df.where("doc_id < 0"))
+    assert 0 <= none.scores(pa.array([None, ""], pa.string()))[0] <= 1
