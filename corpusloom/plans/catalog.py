@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import graph, metrics, policy, scan, windows
+from corpusloom.plans import evidence  # noqa: F401  (registers its queries)
+from corpusloom.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from corpusloom.sources.readers import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "h03_finding_ids"
 
 
-def query(oracle: str | None = None):
-    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return register
-
-
 #: Rules for prose: secrets, personal data, licences. ASCII classes only, so that all regex dialects agree.
 RULES = [
     scan.Rule("credential_access", "token_literal", 'token = "[0-9a-f]{40}"', "high"),
