@@ -266,11 +266,11 @@ def h08_paths(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", fn.glob_match(u, ["*/es/*", "5?"]).alias("globbed"), fn.suffix(u).alias("suffix"), fn.slug(u).alias("slug"), F.size(F.split(u, "/")).alias("parts"))
 
 
-@query(r"""select event_id, printf('EV-%08d', event_id) label, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') "at", round(value / nullif(user_id, 0), 6) ratio, case when value >= 150 then 'HIGH' when value >= 50 then 'MEDIUM' else 'LOW' end tier,
+@query(r"""select event_id, printf('EV-%08d', event_id) label, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') "at", value / nullif(user_id, 0) ratio, case when value >= 150 then 'HIGH' when value >= 50 then 'MEDIUM' else 'LOW' end tier,
 array_to_string(list_filter([case when value < 50 then 'size' end, case when event_type <> 'purchase' then 'sale' end, case when user_id <= 5 then 'member' end], lambda x: x is not null), ';') missing from events""")
 def h19_labels_and_tiers(spark: SparkSession, sf: str) -> DataFrame:
     """Formatted ids, ISO times, safe ratios, tiers and what is missing."""
     v = F.col("value")
     gaps = fn.missing({"size": v >= 50, "sale": F.col("event_type") == "purchase", "member": F.col("user_id") > 5})
     tier = F.when(v >= 150, "HIGH").when(v >= 50, "MEDIUM").otherwise("LOW")
-    return table(spark, sf, "events").select("event_id", F.format_string("EV-%08d", "event_id").alias("label"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"), F.round(F.try_divide(v, F.col("user_id")), 6).alias("ratio"), tier.alias("tier"), F.array_join(gaps, ";").alias("missing"))
+    return table(spark, sf, "events").select("event_id", F.format_string("EV-%08d", "event_id").alias("label"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"), F.try_divide(v, F.col("user_id")).alias("ratio"), tier.alias("tier"), F.array_join(gaps, ";").alias("missing"))
