@@ -77,7 +77,14 @@ _ODD = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(7).integers(0, 1 << 64, 256, np.uint64)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
 _BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
-_POWERS: list[np.ndarray] = [_powers(SLICE_BYTES * 2, _ODD), _powers(SLICE_BYTES * 2, pow(_ODD, -1, 1 << 64))]
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64)] * 2
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """At least n powers of _ODD and of its inverse. Workers make them on first use; the driver, which hashes nothing, never."""
+    if n > len(_POWERS[0]):
+        _POWERS[:] = [_powers(2 * max(n, SLICE_BYTES), x) for x in (_ODD, pow(_ODD, -1, 1 << 64))]
+    return _POWERS
 
 
 def _bytes_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -111,10 +118,9 @@ def words_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 def word_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word, A-Z lower-cased, the same in every process, and each text's first word."""
     data, starts, ends, bounds = words_of(text)
-    if len(data) > len(_POWERS[0]):
-        _POWERS[:] = [_powers(2 * len(data), _ODD), _powers(2 * len(data), pow(_ODD, -1, 1 << 64))]
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _POWERS[0][: len(data)])])
-    h = (sums[ends] - sums[starts]) * _POWERS[1][starts]
+    up, down = powers(len(data))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[: len(data)])])
+    h = (sums[ends] - sums[starts]) * down[starts]
     return mix(h + (ends - starts).astype(np.uint64)), bounds
 
 

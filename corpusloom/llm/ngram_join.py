@@ -226,8 +226,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, least: float = 0.9) -> D
     stars = members.withColumn("leader", F.explode(F.array(*(f"leader{k}" for k in range(LEADERS))))).where("nid <> leader").select(F.greatest("nid", "leader").alias("a"), F.least("nid", "leader").alias("b")).distinct()
     stars = stars.join(points.select(F.col("nid").alias("a"), F.col("n").alias("p"), F.col("counts").alias("x")), "a").join(points.select(F.col("nid").alias("b"), F.col("n").alias("q"), F.col("counts").alias("y")), "b")
     stars = stars.where(F.expr(f"100 * least(p, q) >= {percent} * greatest(p, q)")).where(bound * (100 + percent) >= percent * (F.col("p") + F.col("q"))).select("a", "b")
-    links = stored(_links(named, nodes, stars, words, least), "links")
-    comps = stored(components(links), "components")
+    comps = stored(components(_links(named, nodes, stars, words, least)), "components")
 
     # Blocks of three and more that still span several components, in cells of one part or two.
     own = members.where("m > 2").select("s", "nid", "m").join(comps.withColumnRenamed("node", "nid"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
@@ -239,8 +238,8 @@ def jaccard_components(docs: DataFrame, words: int = 3, least: float = 0.9) -> D
     rows = rows.join(points.select("nid", "counts"), "nid").join(comps.withColumnRenamed("node", "nid"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
     rows = rows.select("cell", "nid", "component", "counts").repartition("cell").sortWithinPartitions("cell")
     more = rows.mapInArrow(_cell_pairs(least), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
-    links = links.unionByName(stored(_links(named, nodes, more, words, least), "links"))
-    comps = components(links)
+    # What is joined already goes on as stars, however many links there were.
+    comps = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_links(named, nodes, more, words, least)))
 
     labelled = nodes.select("nid", "key", "head").join(comps.withColumnRenamed("node", "nid"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
     least_id = labelled.groupBy("component").agg(F.min("head").alias("component_id"))

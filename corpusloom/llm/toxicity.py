@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpusloom.llm.common import _BYTE, _POWERS, _ODD, _powers, mix, slices, words_of
+from corpusloom.llm.common import _BYTE, mix, powers, slices, words_of
 
 BITS = 20
 GRAMS = (3, 4, 5, 6)
@@ -35,15 +35,14 @@ LEAST_TEXTS = 20
 def _grams(text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For the whole word and each gram length: buckets by word or byte position, and each word's range in them."""
     data, starts, ends, _ = words_of(text)
-    if len(data) > len(_POWERS[0]):
-        _POWERS[:] = [_powers(2 * len(data), _ODD), _powers(2 * len(data), pow(_ODD, -1, 1 << 64))]
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _POWERS[0][: len(data)])])
+    up, down = powers(len(data))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[: len(data)])])
     bucket = lambda h: (mix(h) >> np.uint64(64 - BITS)).astype(np.int64)
-    yield bucket((sums[ends] - sums[starts]) * _POWERS[1][starts] + np.uint64(1)), np.arange(len(starts)), np.arange(1, len(starts) + 1)
+    yield bucket((sums[ends] - sums[starts]) * down[starts] + np.uint64(1)), np.arange(len(starts)), np.arange(1, len(starts) + 1)
     for n in GRAMS:
         if len(data) >= n:
             first = np.minimum(starts, len(data) - n + 1)
-            yield bucket((sums[n:] - sums[:-n]) * _POWERS[1][: len(data) - n + 1]), first, np.maximum(first, ends - n + 1)
+            yield bucket((sums[n:] - sums[:-n]) * down[: len(data) - n + 1]), first, np.maximum(first, ends - n + 1)
 
 
 def features(text: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
