@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import graph, metrics, policy, scan, windows
-from corpusloom.plans import evidence  # noqa: F401  (registers its queries)
+from corpusloom.plans import evidence, review  # noqa: F401  (register their queries)
 from corpusloom.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from corpusloom.sources.readers import table
 
