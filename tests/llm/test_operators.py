@@ -315,3 +315,18 @@ def test_toxicity_fit_in_a_task(spark):
     assert all((x >= 0.5) == (k % 3 == 0) for k, x in enumerate(s))
     none = toxicity.fit_on(df.where("doc_id < 0"))
     assert 0 <= none.scores(pa.array([None, ""], pa.string()))[0] <= 1
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    from corpusloom.llm.components import components
+
+    rng = random.Random(4)
+    edges = [(k, k + 1) for k in range(100, 140)] + [(200, k) for k in range(201, 230)] + [(7, 7), (300, 301), (301, 300)] + [(rng.randrange(400, 460), rng.randrange(400, 460)) for _ in range(40)]
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == len(root) and {r.node: r.component for r in got} == root
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
