@@ -1,11 +1,13 @@
-"""LM scoring: a log-bilinear model over frequent words, trained by noise-contrastive estimation in numpy.
+"""LM scoring: a log-bilinear model over the head's words, trained by noise-contrastive estimation in numpy.
 
 Counts of all words come from all training texts. The model predicts each token from the two
-before it: one of the FREQUENT most frequent words, or `other`, whose probability mass is dealt out
-by add-one counts, so that every token's probability is normalised. Each task trains on all the
-tokens it holds, from the same start, and the tasks' parameters are averaged by token counts.
-The most frequent words' counts are broadcast up to a fixed size; the counts of the others are
-joined.
+before it: one of the head's words, which are as many as the corpus has, up to HEAD, or `other`,
+whose probability mass is dealt out by add-one counts. The softmax has two levels: `other`, the
+FREQUENT most frequent words and classes of CLASS words next to each other by frequency come first,
+then the words of one class. Both sum to 1, so every token's probability is normalised. Each
+task trains on all the tokens it holds, from the same start, and the tasks' parameters are averaged:
+each row by how often the tasks met it. The head's counts are broadcast; the counts of the other
+words are joined.
 """
 
 from __future__ import annotations
@@ -20,17 +22,23 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import slices, stored, word_hashes
 
+#: Words that stand alone in the softmax's first level, and words of a class.
 FREQUENT = 511
+CLASS = 512
 DIM = 16
-#: Words whose counts every task holds (16 bytes each).
+#: Words whose counts and parameters every task holds (about 220 bytes each).
 HEAD = 262_144
-#: Tasks that train at most; each sends back about 25,000 numbers.
+#: Tasks that train at most; each sends back the rows of words that it met.
 REPLICAS = 4096
 MINIBATCH = 4096
-NOISE = 32
+#: Contexts whose sums are computed at once.
+BLOCK = 256
+#: Noise draws: shared by a minibatch in the first level, and of each token's class in the second.
+NOISE, NEAR = 32, 4
+#: Parameters are sent as 16-bit multiples of one part in so many.
+FINE = 2048
 RATE = 0.1
 END = np.uint64(0xE0D0F0D0C0)
-_BLANK = FREQUENT + 1  # what stands before a text
 
 
 @dataclass
@@ -53,15 +61,15 @@ class Vocabulary:
         return np.where(hit, self.counts[at], 0), np.where(hit, self.ids[at], 0)
 
     def unigram(self) -> np.ndarray:
-        """Add-one probabilities of `other` and the frequent words."""
+        """Add-one probabilities of `other` and the modelled words."""
         own = self.ids > 0
-        c = np.ones(FREQUENT + 1)
+        c = np.ones(own.sum() + 1)
         c[self.ids[own]] += self.counts[own]
         c[0] = self.other_mass()
         return c / c.sum()
 
     def other_mass(self) -> int:
-        """Add-one mass of all words that aren't frequent, and of one that was never seen."""
+        """Add-one mass of all words that aren't modelled, and of one that was never seen."""
         own = self.ids > 0
         return int(self.total - self.counts[own].sum() + self.distinct - own.sum() + 1)
 
@@ -94,111 +102,206 @@ def vocabulary(words: DataFrame) -> Vocabulary:
     head = words.where(F.col("c") >= least).toPandas() if least else words.limit(0).toPandas()
     head = head.sort_values(["c", "h"], ascending=[False, True], kind="stable")
     h = head["h"].to_numpy(np.int64).view(np.uint64)
-    ids = np.where(np.arange(len(h)) < FREQUENT, np.arange(1, len(h) + 1), 0)
+    ids = np.arange(1, len(h) + 1)
     order = np.argsort(h)
     return Vocabulary(h[order], head["c"].to_numpy(np.int64)[order], ids[order], int(n[0]), int(n[1]))
 
 
-def _contexts(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The model ids one and two tokens before each token."""
-    one = np.concatenate([[_BLANK], ids[:-1]])
-    one[starts] = _BLANK
-    two = np.concatenate([[_BLANK], one[:-1]])
-    two[starts] = _BLANK
+def _contexts(ids: np.ndarray, starts: np.ndarray, words: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """The model ids one and two tokens before each token; words + 1 stands before a text."""
+    one = np.concatenate([[words + 1], ids[:-1]])
+    one[starts] = words + 1
+    two = np.concatenate([[words + 1], one[:-1]])
+    two[starts] = words + 1
     return one, two
 
 
+def _first(ids: np.ndarray) -> np.ndarray:
+    """Where each model id stands in the first level."""
+    return np.where(ids <= FREQUENT, ids, FREQUENT + 1 + (ids - FREQUENT - 1) // CLASS)
+
+
+def _log_sums(s: np.ndarray) -> np.ndarray:
+    """Logarithms of the rows' sums of exponentials."""
+    with np.errstate(over="ignore"):
+        sums = np.exp(s) @ np.ones(s.shape[1], s.dtype)
+    if np.isfinite(sums).all() and sums.min() > 1e-30:
+        return np.log(sums)
+    top = s.max(1, keepdims=True)
+    return np.log(np.exp(s - top).sum(1)) + top[:, 0]
+
+
 @dataclass
 class Model:
-    target: np.ndarray  # (FREQUENT + 1, DIM)
-    one: np.ndarray  # (FREQUENT + 2, DIM), of the token before
+    one: np.ndarray  # (words + 2, DIM), of the token before
     two: np.ndarray  # of the one before that
-    bias: np.ndarray
+    top: np.ndarray  # (first level, DIM)
+    top_bias: np.ndarray
+    word: np.ndarray  # (words after the FREQUENT ones, DIM), within their classes
+    word_bias: np.ndarray
+
+    @classmethod
+    def plain(cls, unigram: np.ndarray) -> Model:
+        """The unigram model: no row has a direction."""
+        n = len(unigram)
+        mass = np.bincount(_first(np.arange(n)), unigram)
+        zero = lambda k: np.zeros((k, DIM), np.float32)
+        return cls(zero(n + 1), zero(n + 1), zero(len(mass)), np.log(mass).astype(np.float32), zero(max(0, n - FREQUENT - 1)), np.log(unigram[FREQUENT + 1 :]).astype(np.float32) - np.log(mass)[_first(np.arange(n))[FREQUENT + 1 :]].astype(np.float32))
 
     @classmethod
     def start(cls, unigram: np.ndarray) -> Model:
-        rng = np.random.default_rng(5)
-        make = lambda n: rng.normal(0, 0.1, (n, DIM)).astype(np.float32)
-        return cls(make(FREQUENT + 1), make(FREQUENT + 2), make(FREQUENT + 2), np.log(unigram).astype(np.float32))
+        rng, m = np.random.default_rng(5), cls.plain(unigram)
+        for x in (m.top, m.one, m.two, m.word):
+            x[:] = rng.standard_normal(x.shape, np.float32) * np.float32(0.1)
+        return m
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.target, self.one, self.two, self.bias)])
+    def tables(self) -> list[tuple[np.ndarray, np.ndarray | None]]:
+        """Directions and biases of all rows, in the order in which they are sent."""
+        return [(self.one, None), (self.two, None), (self.top, self.top_bias), (self.word, self.word_bias)]
 
-    @classmethod
-    def of(cls, flat: np.ndarray) -> Model:
-        a, b = (FREQUENT + 1) * DIM, (FREQUENT + 2) * DIM
-        return cls(flat[:a].reshape(-1, DIM), flat[a : a + b].reshape(-1, DIM), flat[a + b : a + 2 * b].reshape(-1, DIM), flat[a + 2 * b :])
+    def cast(self, kind: type) -> Model:
+        """With directions of this number type: half as long for the way to the tasks."""
+        return Model(self.one.astype(kind), self.two.astype(kind), self.top.astype(kind), self.top_bias, self.word.astype(kind), self.word_bias)
 
     def log_probabilities(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Normalised natural-log probabilities; sums over the vocabulary are made once per distinct context, in blocks."""
-        key, where = np.unique(one * (FREQUENT + 2) + two, return_inverse=True)
-        z = np.empty(len(key), np.float32)
-        for at in range(0, len(key), MINIBATCH):
-            a, b = np.divmod(key[at : at + MINIBATCH], FREQUENT + 2)
-            s = (self.one[a] + self.two[b]) @ self.target.T + self.bias
-            top = s.max(1, keepdims=True)
-            z[at : at + MINIBATCH] = np.log(np.exp(s - top).sum(1)) + top[:, 0]
-        first, second = self.one @ self.target.T, self.two @ self.target.T
-        return first[one, ids].astype(np.float64) + second[two, ids] + self.bias[ids] - z[where]
+        """Normalised natural-log probabilities; first-level sums are made once per distinct context, second-level ones class by class."""
+        key, where = np.unique(one * len(self.one) + two, return_inverse=True)
+        z, top, word = np.empty(len(key), np.float32), np.column_stack([self.top, self.top_bias]), np.column_stack([self.word, self.word_bias])
+        a, b = np.divmod(key, len(self.one))
+        q = np.column_stack([self.one[a] + self.two[b], np.ones(len(key), np.float32)])  # the last column meets the biases
+        for at in range(0, len(key), BLOCK):
+            z[at : at + BLOCK] = _log_sums(q[at : at + BLOCK] @ top.T)
+        first, q = _first(ids), q[where]
+        out = np.einsum("nd,nd->n", q, top[first]).astype(np.float64) - z[where]
+        rest = np.flatnonzero(ids > FREQUENT)
+        rest = rest[np.argsort(first[rest], kind="stable")]
+        cuts = np.flatnonzero(np.diff(first[rest], prepend=-1, append=-1)) if len(rest) else []
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            at = (first[rest[x]] - FREQUENT - 1) * CLASS
+            for x0 in range(x, y, BLOCK):
+                own = rest[x0 : min(y, x0 + BLOCK)]
+                s = q[own] @ word[at : at + CLASS].T
+                mine = s[np.arange(len(own)), ids[own] - FREQUENT - 1 - at]
+                out[own] += mine - _log_sums(s)
+        return out
 
 
 class Trainer:
-    """NCE by Adagrad on minibatches; a minibatch's examples share their noise words."""
+    """NCE by Adagrad on minibatches, at both levels. A minibatch's examples share the first level's noise; the second's is even within a token's class."""
 
     def __init__(self, model: Model, unigram: np.ndarray, seed: int):
-        self.m, self.rng, self.edges = model, np.random.default_rng(seed), np.cumsum(unigram)
-        self.base = np.log(NOISE * unigram).astype(np.float32)
-        self.sums = [np.full((len(x), 1) if x.ndim == 2 else len(x), 1e-6, np.float32) for x in (model.target, model.one, model.two, model.bias)]
-
-    def _step(self, k: int, x: np.ndarray, rows: np.ndarray, grads: np.ndarray) -> None:
-        total = np.stack([np.bincount(rows, g, len(x)) for g in grads.T], 1).astype(np.float32)
-        self.sums[k] += (total**2).mean(1, keepdims=True)
-        x -= RATE * total / np.sqrt(self.sums[k])
+        self.m, self.rng = model, np.random.default_rng(seed)
+        mass = np.bincount(_first(np.arange(len(unigram))), unigram)
+        self.edges, self.base = np.cumsum(mass), np.log(NOISE * mass).astype(np.float32)
+        self.sums = [np.full((len(x), 2), 1e-6, np.float32) for x, _ in model.tables()]
+
+    def _step(self, k: int, rows: np.ndarray, grads: np.ndarray, bias: np.ndarray | None = None) -> None:
+        x, b = self.m.tables()[k]
+        order = np.argsort(rows, kind="stable")
+        starts = np.flatnonzero(np.diff(rows[order], prepend=-1))
+        own, total = rows[order[starts]], np.add.reduceat(grads[order], starts, axis=0)
+        self.sums[k][own, 0] += (total**2).mean(1)
+        x[own] -= RATE * total / np.sqrt(self.sums[k][own, :1])
+        if bias is not None:
+            g = np.add.reduceat(bias[order], starts)
+            self.sums[k][own, 1] += g**2
+            b[own] -= RATE * g / np.sqrt(self.sums[k][own, 1])
 
     def learn(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         m = self.m
         for at in range(0, len(ids), MINIBATCH):
             w, a, b = ids[at : at + MINIBATCH], one[at : at + MINIBATCH], two[at : at + MINIBATCH]
-            noise = np.minimum(np.searchsorted(self.edges, self.rng.random(NOISE)), FREQUENT)
-            q, r, n = m.one[a] + m.two[b], m.target[w], m.target[noise]
-            good = (q * r).sum(1) + m.bias[w] - self.base[w]
-            bad = q @ n.T + (m.bias[noise] - self.base[noise])
+            t, q = _first(w), m.one[a] + m.two[b]
+            noise = np.minimum(np.searchsorted(self.edges, self.rng.random(NOISE)), len(self.edges) - 1)
+            r, n = m.top[t], m.top[noise]
+            good = (q * r).sum(1) + m.top_bias[t] - self.base[t]
+            bad = q @ n.T + (m.top_bias[noise] - self.base[noise])
             dg = -1 / (1 + np.exp(np.clip(good, -30, 30))) / len(w)
             db = 1 / (1 + np.exp(-np.clip(bad, -30, 30))) / len(w)
             gq = dg[:, None] * r + db @ n
-            self._step(0, m.target, np.concatenate([w, noise]), np.concatenate([dg[:, None] * q, db.T @ q]))
-            self._step(1, m.one, a, gq)
-            self._step(2, m.two, b, gq)
-            g = np.bincount(np.concatenate([w, noise]), np.concatenate([dg, db.sum(0)]), FREQUENT + 1).astype(np.float32)
-            self.sums[3] += g**2
-            m.bias -= RATE * g / np.sqrt(self.sums[3])
+            rest = np.flatnonzero(w > FREQUENT)
+            if len(rest):
+                gq[rest] += self._learn_words(w[rest] - FREQUENT - 1, q[rest], len(w))
+            self._step(2, np.concatenate([t, noise]), np.concatenate([dg[:, None] * q, db.T @ q]), np.concatenate([dg, db.sum(0)]))
+            self._step(0, a, gq)
+            self._step(1, b, gq)
+
+    def _learn_words(self, v: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
+        """Second level: a step of the words' rows; returns the gradients of their contexts."""
+        m, low = self.m, v // CLASS * CLASS
+        size = np.minimum(CLASS, len(m.word) - low)
+        noise = low[:, None] + (self.rng.random((len(v), NEAR), np.float32) * size[:, None]).astype(np.int64)
+        noise = np.minimum(noise, (low + size - 1)[:, None])
+        base = np.log(NEAR / size).astype(np.float32)
+        r, x = m.word[v], m.word[noise]
+        dg = -1 / (1 + np.exp(np.clip((q * r).sum(1) + m.word_bias[v] - base, -30, 30))) / n
+        db = 1 / (1 + np.exp(-np.clip(np.matmul(x, q[:, :, None])[:, :, 0] + m.word_bias[noise] - base[:, None], -30, 30))) / n
+        back = dg[:, None] * r + np.matmul(db[:, None, :], x)[:, 0]
+        grads = np.concatenate([dg[:, None] * q, (db[:, :, None] * q[:, None, :]).reshape(-1, DIM)])
+        self._step(3, np.concatenate([v, noise.ravel()]), grads, np.concatenate([dg, db.ravel()]))
+        return back
+
+
+def _rows_of(blob: pa.Array, kind: str, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(blob.to_pylist()), kind).reshape(-1, width)
 
 
 def train(texts: DataFrame, vocab: Vocabulary) -> Model:
-    """One pass over all of texts(text), in parallel; parameters averaged by tokens. Without texts: the unigram model."""
-    shared = texts.sparkSession.sparkContext.broadcast(vocab)
+    """One pass over all of texts(text), in parallel; each row averaged by how often the tasks met it. Without texts: the unigram model."""
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(vocab)
     unigram = vocab.unigram()
+    model = Model.plain(unigram)
+    if not vocab.total:
+        return model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen = Model.start(unigram), 0
-        trainer = Trainer(model, unigram, 17)
+        v = shared.value
+        chances = v.unigram()
+        model, flat = Model.start(chances), Model.plain(chances)
+        trainer, met = Trainer(model, chances, 17), [np.zeros(len(x), np.int64) for x, _ in model.tables()]
         for b in slices(batches):
             h, starts = tokens_of(b.column("text"))
-            _, ids = shared.value.look_up(h)
-            trainer.learn(ids, *_contexts(ids, starts[:-1]))
-            seen += len(ids)
-        if seen:
-            x = model.flat().astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x) + 1, dtype=np.int32)), pa.array(np.round(np.append(x, 1.0) * (seen * 1000.0)).astype(np.int64))], ["i", "x"])
-
-    parts = texts.select("text").coalesce(REPLICAS) if vocab.total else texts.select("text").limit(0)
-    sums = parts.mapInArrow(run, "i int, x long").groupBy("i").agg(F.sum("x").alias("x")).toPandas()  # as many rows as parameters
-    if not len(sums):
-        m = Model.start(unigram)
-        m.target[:] = 0
-        return m
-    x = sums.sort_values("i")["x"].to_numpy(np.float64)
-    return Model.of((x[:-1] / x[-1]).astype(np.float32))
+            _, ids = v.look_up(h)
+            one, two = _contexts(ids, starts[:-1], len(chances) - 1)
+            trainer.learn(ids, one, two)
+            for n, rows in zip(met, (one, two, _first(ids), ids[ids > FREQUENT] - FREQUENT - 1), strict=True):
+                n += np.bincount(rows, minlength=len(n))
+        base = 0
+        for n, (x, bias), (_, first) in zip(met, model.tables(), flat.tables(), strict=True):
+            for at in range(0, len(n), 20_000):
+                own = at + np.flatnonzero(n[at : at + 20_000])
+                shift = bias[own] - first[own] if bias is not None else np.zeros(len(own), np.float32)
+                sent = np.clip(np.round(np.column_stack([x[own], shift]) * FINE), -32767, 32767).astype("<i2")
+                ends = pa.py_buffer((np.arange(len(own) + 1) * 2 * (DIM + 1)).astype(np.int32))
+                blob = pa.Array.from_buffers(pa.binary(), len(own), [None, ends, pa.py_buffer(sent.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array((base + own).astype(np.int32)), pa.array(n[own]), blob], ["k", "n", "x"])
+            base += len(n)
+
+    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, n, x = [], [], []
+        for b in batches:
+            k.append(b.column("k").to_numpy())
+            n.append(b.column("n").to_numpy())
+            x.append(_rows_of(b.column("x"), "<i2", DIM + 1))
+        if k and sum(map(len, k)):
+            own, where = np.unique(np.concatenate(k), return_inverse=True)
+            n, x = np.concatenate(n), np.concatenate(x)
+            of = np.bincount(where, n)  # whole numbers below 2^53, so that the order of rows changes nothing
+            means = np.stack([np.bincount(where, n * x[:, d].astype(np.float64)) / of for d in range(DIM + 1)], 1)
+            yield pa.RecordBatch.from_arrays([pa.array([own.astype("<i4").tobytes()], pa.binary()), pa.array([np.round(means).astype("<i2").tobytes()], pa.binary())], ["k", "x"])
+
+    sent = texts.select("text").coalesce(REPLICAS).mapInArrow(run, "k int, n long, x binary").repartition("k")
+    found = sent.mapInArrow(average, "k binary, x binary").toArrow()  # 38 bytes a row, at most HEAD words' rows
+    ends = np.cumsum([len(x) for x, _ in model.tables()])
+    for ks, xs in zip(found["k"], found["x"], strict=True):
+        k, x = np.frombuffer(ks.as_py(), "<i4"), np.frombuffer(xs.as_py(), "<i2").reshape(-1, DIM + 1) / np.float32(FINE)
+        for (rows, bias), end in zip(model.tables(), ends, strict=True):
+            own = (k < end) & (k >= end - len(rows))
+            rows[k[own] - (end - len(rows))] = x[own, :DIM]
+            if bias is not None:
+                bias[k[own] - (end - len(rows))] += x[own, DIM]
+    return model
 
 
 def score(docs: DataFrame, held_out, keep: list[str]) -> DataFrame:
@@ -215,15 +318,15 @@ def score(docs: DataFrame, held_out, keep: list[str]) -> DataFrame:
     vocab = vocabulary(words)
     model = train(learnt, vocab)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((vocab, model))
+    shared = spark.sparkContext.broadcast((vocab, model.cast(np.float16)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, m = shared.value
+        v, m = shared.value[0], shared.value[1].cast(np.float32)
         for b in slices(batches):
             h, starts = tokens_of(b.column("text"))
             c, ids = v.look_up(h)
             logs, at = np.log10(c + 1), starts[:-1]
-            own = m.log_probabilities(ids, *_contexts(ids, at)) / np.log(10)
+            own = m.log_probabilities(ids, *_contexts(ids, at, len(m.one) - 2)) / np.log(10)
             sums = [np.add.reduceat(x, at) for x in ((c > 0).astype(np.int64), logs, own, (ids == 0).astype(np.int64), np.where(ids == 0, logs, 0.0))]
             rest = np.flatnonzero(c == 0)
             doc = np.searchsorted(starts, rest, "right") - 1

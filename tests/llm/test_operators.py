@@ -330,3 +330,27 @@ def test_components_of_chains_stars_and_loops(spark):
     got = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert len(got) == len(root) and {r.node: r.component for r in got} == root
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_lm_models_words_beyond_the_frequent_ones(spark):
+    from pyspark.sql import functions as F
+
+    n = lm.FREQUENT + 2 * lm.CLASS + 77
+    ids = np.tile(np.arange(1, n + 1), 20)
+    unigram = np.full(n + 1, 1 / (n + 1))
+    trainer, contexts = lm.Trainer(lm.Model.start(unigram), unigram, 1), lm._contexts(ids, np.arange(0, len(ids), n), n)
+    for a, b in ((3, n), (n + 1, 700)):
+        every = np.arange(n + 1)
+        assert np.exp(trainer.m.log_probabilities(every, np.full(n + 1, a), np.full(n + 1, b))).sum() == pytest.approx(1, abs=1e-4)
+    rare = ids > lm.FREQUENT
+    before = trainer.m.log_probabilities(ids, *contexts)[rare].mean()
+    for _ in range(10):
+        trainer.learn(ids, *contexts)
+    assert trainer.m.log_probabilities(ids, *contexts)[rare].mean() > before + 0.5
+    # Pairs of words that are all equally frequent: the modelled vocabulary grows with the corpus, and rare words are learnt from context.
+    pairs = [(k, " ".join(f"a{(k + j) % 700} b{(k + j) % 700}" for j in range(40))) for k in range(2100)]
+    docs = spark.createDataFrame(pairs, "doc_id long, text string")
+    vocab = lm.vocabulary(lm.count_words(docs))
+    assert len(vocab.unigram()) == 1402
+    rows = lm.score(docs, F.col("doc_id") % 10 == 0, ["doc_id"]).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert rows.s > rows.b
