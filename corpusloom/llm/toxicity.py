@@ -28,8 +28,8 @@ EPOCHS, MOST_EPOCHS = 7, 40
 #: Minibatches of the fit, at least: few rows are gone through more often, up to MOST_EPOCHS times.
 STEPS = 1200
 BATCH = 50
-#: Buckets that fewer texts of the sample have stay without a weight: they would be learnt by heart.
-LEAST_TEXTS = 20
+#: A bucket that n texts of the sample have counts n / (n + RARE): rare ones weigh less, so that few are learnt by heart, and none goes.
+RARE = np.float32(5)
 
 
 def _grams(text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -95,13 +95,14 @@ def fit(texts: list[str | None], labels: np.ndarray, share: float, seed: int = 3
     if len(set(labels.tolist())) < 2:
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
-    # Twice over the texts, a few at a time: most grams are rare, and never all held.
     parts = [pa.array(texts[at : at + 25], pa.string()) for at in range(0, len(texts), 25)]
-    texts_with = np.zeros(1 << BITS, np.int32)
-    for part in parts:
-        for ids, _ in features(part):
-            texts_with[ids] += 1
-    rows = [(ids[k], v[k]) for part in parts for ids, v in features(part) for k in [texts_with[ids] >= LEAST_TEXTS]]
+    texts_with = np.zeros(1 << BITS, np.float32)
+    rows = [row for part in parts for row in features(part)]
+    for ids, _ in rows:
+        texts_with[ids] += 1
+    trust = texts_with / (texts_with + RARE)
+    for ids, v in rows:
+        v *= trust[ids]
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
     w = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
@@ -134,8 +135,7 @@ def fit(texts: list[str | None], labels: np.ndarray, share: float, seed: int = 3
             b -= rate * gb / np.sqrt(b2)
     sampled, share = labels.mean(), min(max(share, 1e-6), 1 - 1e-6)
     prior = np.log(share / (1 - share)) - np.log(sampled / (1 - sampled))
-    e[texts_with < LEAST_TEXTS] = 0
-    return Model((SCALE * e @ (w[:, 1] - w[:, 0])).astype(np.float32), float(b[1] - b[0] + prior))
+    return Model((SCALE * trust * (e @ (w[:, 1] - w[:, 0]))).astype(np.float32), float(b[1] - b[0] + prior))
 
 
 #: Means of many grams are small; the softmax sees them so many times larger.

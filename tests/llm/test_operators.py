@@ -354,3 +354,19 @@ def test_lm_models_words_beyond_the_frequent_ones(spark):
     assert len(vocab.unigram()) == 1402
     rows = lm.score(docs, F.col("doc_id") % 10 == 0, ["doc_id"]).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert rows.s > rows.b
+
+
+def test_toxicity_learns_from_few_labels(spark):
+    words = ["the", "green", "house", "on", "hill", "water", "runs"]
+    rng = random.Random(9)
+    clean = lambda: " ".join(rng.choice(words) for _ in range(20))
+    texts = [clean() + (" idiotic scumbag" if k % 6 == 0 else "") for k in range(66)]
+    model = toxicity.fit(texts, np.array([int(k % 6 == 0) for k in range(66)]), 1 / 6)
+    s = model.scores(pa.array([clean() + " idiotic scumbag", clean() + " idiotic scumbag", clean(), clean()]))
+    assert s[:2].min() > 0.5 > s[2:].max()
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("text is not null and toxic in (0, 1)").selectExpr("text", "toxic", "crc32(cast(string(doc_id) as binary)) % 5 = 0 held").orderBy("doc_id").toPandas()
+    learnt, held = rows[~rows["held"]], rows[rows["held"]]
+    y = held["toxic"].to_numpy() == 1
+    hit = toxicity.fit(learnt["text"].tolist(), learnt["toxic"].to_numpy(np.int64), learnt["toxic"].mean()).scores(pa.array(held["text"].tolist())) >= 0.5
+    assert hit[y].sum() >= 1 and hit[~y].sum() <= 2, (hit[y].sum(), y.sum(), hit[~y].sum())
