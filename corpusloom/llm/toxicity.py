@@ -22,7 +22,7 @@ from corpusloom.llm.common import _BYTE, mix, powers, slices, words_of
 BITS = 20
 GRAMS = (3, 4, 5, 6)
 #: Labelled rows of each class that the fit reads, at most (about), picked by a hash of doc_id.
-FIT_ROWS = 3000
+FIT_ROWS = 5000
 DIM = 4
 EPOCHS, MOST_EPOCHS = 7, 40
 #: Minibatches of the fit, at least: few rows are gone through more often, up to MOST_EPOCHS times.
@@ -92,17 +92,20 @@ def fit(texts: list[str | None], labels: np.ndarray, share: float, seed: int = 3
 
     Without rows of both classes the score is the share itself, whatever the text.
     """
+    # A few texts at a time bound the memory.
+    return fit_features([row for at in range(0, len(texts), 25) for row in features(pa.array(texts[at : at + 25], pa.string()))], labels, share, seed)
+
+
+def fit_features(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, share: float, seed: int = 3) -> Model:
+    """fit() on what features() made of the texts."""
     if len(set(labels.tolist())) < 2:
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
-    parts = [pa.array(texts[at : at + 25], pa.string()) for at in range(0, len(texts), 25)]
     texts_with = np.zeros(1 << BITS, np.float32)
-    rows = [row for part in parts for row in features(part)]
     for ids, _ in rows:
         texts_with[ids] += 1
     trust = texts_with / (texts_with + RARE)
-    for ids, v in rows:
-        v *= trust[ids]
+    rows = [(ids, v * trust[ids]) for ids, v in rows]
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
     w = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
@@ -157,12 +160,23 @@ def fit_on(labelled: DataFrame, rows: int = FIT_ROWS) -> Model:
         take = take | ((F.col("toxic") == label) & (F.abs(F.xxhash64("doc_id", F.lit(10)) % 1_000_000) < int(1_000_000 * min(1.0, rows / count))))
     share = n.get(1, 0) / sum(n.values())
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 25):
+                b = batch.slice(at, 25)
+                ids, weights = zip(*features(b.column("text")), strict=True)
+                blobs = [pa.array([x.tobytes() for x in part], pa.binary()) for part in (ids, weights)]
+                yield pa.RecordBatch.from_arrays([b.column("_order"), b.column("doc_id"), b.column("toxic"), *blobs], ["_order", "doc_id", "toxic", "ids", "weights"])
+
     def train(sample: pa.Table) -> pa.Table:
         sample = sample.sort_by([("_order", "ascending"), ("doc_id", "ascending")])
-        model = fit(sample["text"].to_pylist(), sample["toxic"].to_numpy().astype(np.int64), share)
+        rows = [(np.frombuffer(i.as_py(), np.int32), np.frombuffer(v.as_py(), np.float32)) for i, v in zip(sample["ids"], sample["weights"], strict=True)]
+        model = fit_features(rows, sample["toxic"].to_numpy().astype(np.int64), share)
         return pa.table({"odds": pa.array([model.odds.tobytes()], pa.binary()), "bias": [model.bias]})
 
-    sample = labelled.where(take).withColumn("_order", F.xxhash64("doc_id", "text")).withColumn("_all", F.lit(0))
+    sample = labelled.where(take).select(F.xxhash64("doc_id", "text").alias("_order"), "doc_id", "toxic", "text")
+    key = labelled.schema["doc_id"].dataType.simpleString()
+    sample = sample.mapInArrow(read, f"_order long, doc_id {key}, toxic int, ids binary, weights binary").withColumn("_all", F.lit(0))
     found = sample.groupBy("_all").applyInArrow(train, "odds binary, bias double").collect()
     if not found:
         return fit([], np.zeros(0, np.int64), share)
