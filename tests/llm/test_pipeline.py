@@ -41,3 +41,17 @@ def test_odd_rows_and_empty_tables(spark, odd, none):
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_mixing_keeps_rows_without_an_id(spark, odd):
+    from corpusloom.llm.mixing import mix
+
+    docs = odd.select("doc_id", "text", "lang", "source")
+    want = {}
+    for r in mix(docs).where("taken > 0").collect():
+        size, taken = want.get(r.doc_id, (0, 0))
+        want[r.doc_id] = (size + r.size, taken + r.taken)
+    rows = [r.doc_id for r in docs.collect()]
+    want = sorted(str(k) for k, (size, taken) in want.items() for _ in range(int(taken / size + 0.5) * rows.count(k)))
+    got = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    assert sorted(str(r.doc_id) for r in got) == want and "None" in want
