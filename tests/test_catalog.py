@@ -72,3 +72,9 @@ def test_undefined_metrics_are_null(spark):
 def test_quota_gives_all_seats(spark):
     df = spark.createDataFrame([("a", 70), ("b", 20), ("c", 1)], "s string, n int")
     assert sum(r.quota for r in windows.largest_remainder(df, "n", 30, ["s"]).collect()) == 30
+
+
+def test_versions_of_all_events_are_registered(spark):
+    e = spark.read.parquet(f"{SF}/events.parquet").where("ts is not null").select("user_id", "event_type").distinct().count()
+    r = catalog.QUERIES["d15_relation_metrics_all"](spark, SF).first()
+    assert r.tp + r.fp + r.fn == e
