@@ -153,8 +153,8 @@ def test_winnowing_against_brute_force(spark, odd, none):
     assert Counter((r.doc_id, r.edited_sha256) for r in got if r.doc_id is not None) == want
 
 
-@pytest.mark.parametrize(("words", "least"), [(3, 0.9), (5, 0.8)])
-def test_jaccard_components_against_brute_force(spark, odd, none, words, least):
+@pytest.mark.parametrize(("words", "least", "sizes"), [(3, 0.9, (256, 16, 4, 20_000)), (3, 0.9, (8, 2, 1, 0)), (5, 0.8, (4, 2, 1, 20_000))])
+def test_jaccard_components_against_brute_force(spark, odd, none, words, least, sizes):
     rng = random.Random(4)
     base = [[rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(60)] for _ in range(8)]
     rows = [(i, "") for i in range(3)]
@@ -163,11 +163,12 @@ def test_jaccard_components_against_brute_force(spark, odd, none, words, least):
         for _ in range(rng.choice([0, 0, 1, 1, 2, 6])):
             text[rng.randrange(60)] = rng.choice("ijkl")
         rows.append((k, " ".join(text[: rng.choice([60, 60, 58, 1, 2])])))
-    ngram_join.PART, part = 8, ngram_join.PART
+    kept = ngram_join.CELL, ngram_join.LEAF, ngram_join.FIRST_PAIRS, ngram_join.ORDER_DOCS
+    ngram_join.CELL, ngram_join.LEAF, ngram_join.FIRST_PAIRS, ngram_join.ORDER_DOCS = sizes
     try:
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), words, least).collect()}
     finally:
-        ngram_join.PART = part
+        ngram_join.CELL, ngram_join.LEAF, ngram_join.FIRST_PAIRS, ngram_join.ORDER_DOCS = kept
     sets = {}
     for i, t in rows:
         w = WORDS.findall(low(t))
@@ -196,10 +197,48 @@ def test_rtree_loses_no_pair():
     rng = np.random.default_rng(5)
     points = rng.poisson(3, (300, ngram_join.GROUPS)).astype(np.int32)
     points[150:] = np.maximum(0, points[:150] + rng.integers(-1, 2, (150, ngram_join.GROUPS)) * (rng.random((150, ngram_join.GROUPS)) < 0.1))
-    tree = ngram_join.RTree(points)
-    for q in points[::7]:
-        bound = np.minimum(points, q).sum(1)
-        assert set(tree.search(q, 0.9)) == set(np.flatnonzero(1.9 * bound >= 0.9 * (points.sum(1) + q.sum())))
+    points = points[np.arange(300).reshape(2, 150).T.ravel()]  # each next to the one made from it
+    n = points.sum(1)
+    tree = ngram_join.RTree(points, n)
+    allowed = lambda q, m: (190 * np.minimum(points, q).sum(1) >= 90 * (n + m)) & (100 * np.minimum(n, m) >= 90 * np.maximum(n, m))
+    for k in range(0, 300, 7):
+        # The tree may keep rows of a leaf that sizes alone would rule out.
+        got = set(tree.search(points[k], int(n[k]), 90).tolist())
+        assert set(np.flatnonzero(allowed(points[k], n[k])).tolist()) <= got <= set(np.flatnonzero(190 * np.minimum(points, points[k]).sum(1) >= 90 * (n + n[k])).tolist())
+    for cell in (np.zeros(300, np.int64), np.arange(300) // 12):
+        i, j = ngram_join.cell_pairs(cell, n, points, 90)
+        want = {(a, b) for a in range(300) for b in np.flatnonzero(allowed(points[a], n[a])).tolist() if b < a and cell[a] == cell[b]}
+        assert set(zip(i.tolist(), j.tolist())) == want and len(want) >= 5
+
+
+def test_count_blobs_are_never_below_the_counts():
+    rng = np.random.default_rng(6)
+    for size in (1, 40, 3000, 60_000):
+        s = np.unique(rng.integers(0, 1 << 64, size, np.uint64))
+        c = np.bincount((s >> np.uint64(40)).astype(np.int64) % ngram_join.GROUPS, minlength=ngram_join.GROUPS)
+        got = ngram_join.points_of(pa.array([ngram_join.count_blob(s)]))[0]
+        assert (got >= c).all() and got.sum() <= 1.3 * c.sum() + ngram_join.GROUPS
+
+
+def test_cells_keep_neighbours_together():
+    """Batches of any size give the same nodes a shingle, cut where sizes leave a gap."""
+    rng = random.Random(12)
+    rows = sorted({(rng.choice([-5, 3, 9, 11]) << ngram_join.SIZE_BITS | rng.choice([10, 100, 104, 111, 112, 500]), rng.randrange(60)) for _ in range(400)} | {(77 << ngram_join.SIZE_BITS | 9, 1)})
+    x, nid = (np.array(c, np.int64) for c in zip(*rows))
+    for step in (1, 7, 1000):
+        kept, ngram_join.CELL = ngram_join.CELL, 16
+        try:
+            batches = (pa.RecordBatch.from_arrays([pa.array(x[k : k + step]), pa.array(nid[k : k + step])], ["x", "nid"]) for k in range(0, len(x), step))
+            got = [r for b in ngram_join._cells(90)(batches) for r in b.to_pylist()]
+        finally:
+            ngram_join.CELL = kept
+        assert all(len(r["nids"]) <= 16 for r in got)
+        have = Counter((r["s"], i) for r in got for i in r["nids"])
+        assert have[77, 1] == 1  # at the partition's end its shingle may go on
+        size = {(v >> ngram_join.SIZE_BITS, i): v & ngram_join.SIZE for v, i in rows}
+        for s in (-5, 3, 9, 11):
+            assert sum(k for (t, _), k in have.items() if t == s) == sum(v >> ngram_join.SIZE_BITS == s for v, _ in rows)
+    assert len(size) > 100
 
 
 def test_mixing(odd, none):
