@@ -3,7 +3,8 @@
 Documents are tokenised where they lie; only (id, piece, length, checksum) rows are shuffled.
 Pieces are dealt to shards by a hash, so that neither a long document nor a hot source fills
 one task, and each shard packs its pieces, longest first: a piece goes where the sum of the
-squared counts of open sequences per remaining gap becomes smallest. A shard keeps its open
+squared counts of open sequences per remaining gap becomes smallest. A new sequence is opened
+only for a piece that fits no open one, since there are to be few. A shard keeps its open
 sequences only, never its pieces.
 """
 
@@ -86,9 +87,8 @@ class SumOfSquares:
         change = 2 * (n[: c - length + 1] - n[length:]) + 2
         change[0] -= 1  # filled up, it leaves the counts
         change[n[length:] == 0] = np.iinfo(np.int64).max
-        new = 2 * n[c - length] + 1 if length < c else 0
         at = int(change.argmin())
-        if length < c and change[at] <= new:
+        if n[at + length]:
             gap = at + length
             sequence = self.open[gap].pop()
             n[gap] -= 1
