@@ -21,7 +21,7 @@ from corpusloom.llm.common import slices
 DIM = 1024
 #: Labelled documents of each language that the prototypes are made of, at most (about), by a hash of doc_id.
 FIT_ROWS = 10_000
-#: Languages learnt, at most: the most frequent ones. Prototypes take 8 KB each in every task.
+#: Prototypes that a text is compared with at once. A prototype takes 4 KB in every task; there is one for each label.
 LANGUAGES = 512
 #: Texts whose trigrams are bundled by one matrix product.
 GROUP = 32
@@ -65,8 +65,8 @@ def _trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 _grams: dict[int, int] = {}
 _vectors = np.zeros((0, DIM), np.int8)
-#: Trigram vectors that a worker keeps (1 KB each); when full it starts afresh.
-KEPT = 40_000
+#: Trigram vectors that a worker keeps (1 KB each), and how many it takes at once (4 KB each); when full it starts afresh.
+KEPT, STEP = 40_000, 4096
 
 
 def _gram_vectors(grams: np.ndarray) -> np.ndarray:
@@ -97,8 +97,8 @@ def text_vectors(texts: list[str | None]) -> np.ndarray:
         for i, (g, c) in enumerate(found):
             counts[i, where[at : at + len(g)]] = c
             at += len(g)
-        for a in range(0, len(grams), KEPT):
-            out[start : start + GROUP] += counts[:, a : a + KEPT] @ _gram_vectors(grams[a : a + KEPT])
+        for a in range(0, len(grams), STEP):
+            out[start : start + GROUP] += counts[:, a : a + STEP] @ _gram_vectors(grams[a : a + STEP])
     norms = np.sqrt((out**2).sum(1, keepdims=True))
     return out / np.where(norms > 0, norms, 1)
 
@@ -106,7 +106,7 @@ def text_vectors(texts: list[str | None]) -> np.ndarray:
 def prototypes(labelled: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
     """(languages, unit prototype per language) from labelled(doc_id, text, lang). Null texts and labels are left out."""
     labelled = labelled.where("text is not null and lang is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = labelled.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return [], np.zeros((0, DIM), np.float32)
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, rows / r["count"])))])
@@ -130,16 +130,27 @@ def prototypes(labelled: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], np
     return langs, (out / np.where(norms > 0, norms, 1)).astype(np.float32)
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """docs with lang_pred and score: the language of the nearest prototype and its cosine (0 where negative).
+def nearest(v: np.ndarray, protos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, cosine) of each vector's nearest prototype, the first of equals; LANGUAGES prototypes at a time."""
+    best, top = np.zeros(len(v), np.int64), np.full(len(v), -np.inf, np.float32)
+    for a in range(0, len(protos), LANGUAGES):
+        cos = v @ protos[a : a + LANGUAGES].T
+        at = cos.argmax(1)
+        more = cos[np.arange(len(v)), at]
+        best, top = np.where(more > top, at + a, best), np.maximum(top, more)
+    return best, top
+
+
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with lang_pred and score, or `names`: the language of the nearest prototype and its cosine (0 where negative).
 
     Only the text is looked at. A null text, or one without a letter, is `und` with score 0; so
     is every text if no language was learnt. Ties go to the first language by code point.
-    Columns of docs stay, but for ones named lang_pred or score, which are replaced.
+    Columns of docs stay, but for ones of those names, which are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # LANGUAGES * DIM floats at most
-    docs = docs.drop("lang_pred", "score")
-    names = docs.columns
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM floats a language
+    docs = docs.drop(*names)
+    every = [*docs.columns, *names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, protos = shared.value
@@ -147,12 +158,11 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
             v = text_vectors(b.column("text").to_pylist())
             known = np.abs(v).sum(1) > 0
             if langs:
-                cos = v @ protos.T
-                best = cos.argmax(1)
+                best, top = nearest(v, protos)
                 pred = [langs[k] if ok else "und" for k, ok in zip(best, known, strict=True)]
-                score = np.where(known, np.clip(cos.max(1), 0, 1), 0.0)
+                score = np.where(known, np.clip(top, 0, 1), 0.0)
             else:
                 pred, score = ["und"] * len(v), np.zeros(len(v))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score.astype(np.float64))], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score.astype(np.float64))], every)
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(names[0], "string").add(names[1], "double"))
