@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but the six ASCII white-space characters.
@@ -73,6 +73,23 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column] | None = None) -> DataFrame:
+    """df, stored, with `at`, each row's place from 0 in this order, and the sums of these columns over the rows before it.
+
+    Rows are sorted in parallel; only a row for each task that sorted passes through one window.
+    """
+    s = stored(df.withColumns(dict(sums or {})).orderBy(*order).withColumn("_m", F.monotonically_increasing_id()), "order")
+    s = s.withColumn("_part", F.shiftright("_m", 33))
+    names = list(sums or {})
+    before = lambda c: F.coalesce(F.sum(c).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = s.groupBy("_part").agg(F.count("*").alias("_rows"), *(F.sum(x).alias(x) for x in names))
+    parts = parts.select("_part", before("_rows").alias("_rows"), *(before(x).alias(f"_before_{x}") for x in names))
+    own = Window.partitionBy("_part").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumns({x: F.coalesce(F.sum(x).over(own), F.lit(0)) for x in names}).join(parts, "_part")
+    place = F.col("_rows") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    return s.withColumns({"at": place} | {x: F.col(x) + F.col(f"_before_{x}") for x in names}).drop("_m", "_part", "_rows", *(f"_before_{x}" for x in names))
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows with about SLICE_BYTES of text each (one row at least)."""
     for batch in batches:

@@ -1,7 +1,9 @@
 """Winnowed fingerprints of whole texts, with DataFrame functions only.
 
-A text is cut into units: words, and longer words into pieces of UNIT characters. Every run of K
-units is hashed; from each window of W successive hashes the smallest is kept, the rightmost of
+A text is cut into units: words of up to UNIT characters, and the single characters of longer
+runs, as those of scripts without blanks, links and encoded data. So units never shift against
+each other: what is put in or left out changes the units at that place alone. The hash of K units
+rolls over them; from each window of W successive hashes the smallest is kept, the rightmost of
 equal ones, with its position. So any K + W - 1 units that two texts share leave a common hash in
 both, and nothing shorter than K units does. Windows are worked off in chunks, so that their
 hashes are never held for a whole text.
@@ -12,14 +14,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import stored
+from corpusloom.llm.common import running, stored
 
-UNIT = 6
+UNIT = 16
 K, W = 4, 6
 #: Window starts worked off at once. A window's place in its chunk has 12 bits, so it is below 4096 - W.
 CHUNK = 1024
 #: Ids of a bucket in which a document finds the next one.
 BUCKET_BITS = 9
+#: Buckets of a task (about).
+TASK_BUCKETS = 8
 #: Buckets up to which their table is sent to every task rather than the texts being shuffled once more.
 SMALL = 100_000
 
@@ -52,7 +56,7 @@ def winnow(text: Column, k: int = K, w: int = W) -> Column:
         parts = F.transform(F.sequence(F.lit(0), count - 1), lambda c: chunk(data, c, grams, windows))
         return F.array_distinct(F.flatten(parts))
 
-    units = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"\S{{1,{UNIT}}}"), F.lit(0))
+    units = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?<!\S)\S{{1,{UNIT}}}(?!\S)|\S"), F.lit(0))
     none = F.array().cast("array<bigint>")
     return _let(units, lambda u: F.when(F.size(u) > 0, whole(u)).otherwise(none))
 
@@ -75,16 +79,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _next_of(ids: DataFrame) -> DataFrame:
-    """(bucket, next_id): the first id of the bucket after each one of ids(bucket, first_id); after the last, of the first.
-
-    The rows are sorted in parallel and numbered by the sizes of the sorted parts.
-    """
-    s = stored(ids.orderBy("first_id").withColumn("m", F.monotonically_increasing_id()), "order")
-    s = s.withColumn("part", F.shiftright("m", 33)).withColumn("i", F.col("m").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = s.groupBy("part").agg(F.count("*").alias("n"))  # a row for each task that sorted
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    s = s.join(sizes.select("part", before.alias("before")), "part").select("bucket", "first_id", (F.col("before") + F.col("i")).alias("at"))
+    """(bucket, next_id): the first id of the bucket after each one of ids(bucket, first_id); after the last, of the first."""
+    s = running(ids, [F.col("first_id")])
+    total = s.count()
     after = s.select(F.col("first_id").alias("next_id"), F.pmod(F.col("at") - 1, F.lit(max(total, 1))).alias("at"))
     return s.join(after, "at").select("bucket", "next_id")
 
@@ -100,11 +97,13 @@ def with_next(docs: DataFrame) -> DataFrame:
     known = docs.where("doc_id is not null")
     bucket = F.shiftright("doc_id", BUCKET_BITS)
     following = stored(_next_of(known.groupBy(bucket.alias("bucket")).agg(F.min("doc_id").alias("first_id"))), "following")
-    if following.count() <= SMALL:  # rows of two longs
+    buckets = following.count()
+    if buckets <= SMALL:  # rows of two longs
         following = F.broadcast(following)
     copies = known.join(following, known["doc_id"] == following["next_id"]).groupBy("bucket", "doc_id").agg(F.min("text").alias("text"))
     rows = known.select(bucket.alias("bucket"), "doc_id", "text", F.lit(False).alias("copy")).unionByName(copies.select("bucket", "doc_id", "text", F.lit(True).alias("copy")))
-    rows = rows.repartition("bucket").withColumn("fingerprint", winnow(F.col("text")))
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, buckets // TASK_BUCKETS)
+    rows = rows.repartition(tasks, "bucket").withColumn("fingerprint", winnow(F.col("text")))
     by = Window.partitionBy("bucket").orderBy("copy", "doc_id", "text")
     rows = rows.withColumns({"next_text": F.lead("text").over(by), "next_fingerprint": F.lead("fingerprint").over(by)}).where("not copy").drop("bucket", "copy")
     alone = fingerprints(docs.where("doc_id is null"))
