@@ -2,24 +2,26 @@
 
 Explicit rules label part of the URLs; FP-growth mines token combinations that go with a label;
 rules pruned by support, confidence and redundancy judge the rest through an inverted index: a
-rule is filed under its rarest token, and a URL only looks at the rules filed under its tokens.
+rule is filed under its rarest item, and a URL only looks at the rules filed under its items. All
+tokens are mined and all rules kept; tokens that always occur together are one item, so that
+copies of a long URL don't make every subset of it an itemset.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import stored
+from corpusloom.llm.common import small, stored
 
 #: (verdict, host and path). A rule fits its host, all subdomains, and paths that start with its path.
 Rules = list[tuple[str, str]]
 DEFAULT = "allow"
-#: Distinct tokens of a URL that mining reads, the first in order of the URL. It bounds the itemsets of one URL; matching reads all.
-MINED_TOKENS = 12
-#: Rules kept, at most: by confidence, then support. About 200 bytes each in every task.
-RULES = 5000
+#: Rows of the token and rule tables up to which they are sent to every task (about 200 bytes each); larger ones are joined by shuffles.
+SMALL = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,8 +53,18 @@ def tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(F.when(host != "", suffixes).otherwise(F.array()), parts), lambda t: t != "p:"))
 
 
-def mine(labelled: DataFrame, least_support: float = 0.002, least_confidence: float = 0.6) -> DataFrame:
-    """(rule_id, items, verdict, confidence, support) from labelled(tokens, verdict).
+def items_of(rows: DataFrame, least: int) -> DataFrame:
+    """(token, item) of the tokens that `least` of rows(row, tokens) have: tokens of the very same rows are one item, named after the first."""
+    each = rows.select("row", F.explode("tokens").alias("token"))
+    marks = [F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"mark{k}") for k in (1, 2)]
+    seen = each.groupBy("token").agg(F.count("*").alias("n"), *marks).where(F.col("n") >= least)
+    seen = stored(seen, "tokens")
+    names = seen.groupBy("n", "mark1", "mark2").agg(F.min("token").alias("item"))
+    return stored(seen.join(names, ["n", "mark1", "mark2"]).select("token", "item"), "items")
+
+
+def mine(labelled: DataFrame, least_support: float = 0.002, least_confidence: float = 0.6) -> tuple[DataFrame, DataFrame]:
+    """Rules (rule_id, items, verdict, confidence, support) from labelled(tokens, verdict), and the (token, item) they speak of.
 
     A rule says that URLs with all its items have the verdict. Rules below the least support or
     confidence go, and so do rules of which a subset of the items says the same with no less
@@ -60,11 +72,17 @@ def mine(labelled: DataFrame, least_support: float = 0.002, least_confidence: fl
     """
     spark = labelled.sparkSession
     goal = F.concat(F.lit("=:"), F.col("verdict"))
-    baskets = stored(labelled.where("verdict is not null").select(F.array_append(F.slice("tokens", 1, MINED_TOKENS), goal).alias("items")), "baskets")
+    rows = labelled.where("verdict is not null").select("tokens", goal.alias("goal")).withColumn("row", F.monotonically_increasing_id())
+    rows = stored(rows, "labelled")
+    n = rows.count()
+    items = items_of(rows, ceil(least_support * n))
     schema = "rule_id long, items array<string>, verdict string, confidence double, support double"
-    if baskets.isEmpty():
-        return spark.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=least_support, minConfidence=least_confidence).fit(baskets)
+    if not n:
+        return spark.createDataFrame([], schema), items
+    pairs = rows.select("row", F.explode("tokens").alias("token")).join(small(items, SMALL), "token")
+    found = pairs.groupBy("row").agg(F.collect_set("item").alias("found"))
+    baskets = rows.select("row", "goal").join(found, "row", "left").select(F.array_append(F.coalesce("found", F.array().cast("array<string>")), F.col("goal")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=least_support, minConfidence=least_confidence).fit(stored(baskets, "baskets"))
     found = model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit("=:")))
     found = found.select(F.array_sort("antecedent").alias("items"), F.substring(F.col("consequent")[0], 3, 1_000_000).alias("verdict"), "confidence", "support")
     found = stored(found, "rules")
@@ -72,19 +90,19 @@ def mine(labelled: DataFrame, least_support: float = 0.002, least_confidence: fl
     less = found.where(F.size("items") > 1).withColumn("t", F.explode("items")).select("items", "verdict", "confidence", F.array_remove("items", F.col("t")).alias("part"))
     known = found.select(F.col("items").alias("part"), "verdict", F.col("confidence").alias("c"))
     redundant = less.join(known, ["part", "verdict"]).where("c >= confidence").select("items", "verdict").distinct()
-    kept = found.join(redundant, ["items", "verdict"], "left_anti").orderBy(F.desc("confidence"), F.desc("support"), "items", "verdict").limit(RULES)
-    return stored(kept.select(F.monotonically_increasing_id().alias("rule_id"), "items", "verdict", "confidence", "support"), "kept")
-
-
-def match(urls: DataFrame, key: str, rules: DataFrame) -> DataFrame:
-    """(key, verdict, confidence) of the best rule that each row of urls(key, tokens) meets: by confidence, support, items; no row if none."""
-    by_token = rules.select(F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    filed = rules.withColumn("token", F.explode("items")).join(by_token, "token")
-    rarest = filed.groupBy("rule_id").agg(F.min(F.struct("n", "token")).getField("token").alias("token"))
-    index = rules.join(rarest, "rule_id").select("token", "items", F.col("verdict").alias("v"), "confidence", "support")
-    hits = urls.select(key, "tokens", F.explode("tokens").alias("token")).join(F.broadcast(index), "token")  # RULES rows at most
-    hits = hits.where(F.size(F.array_except("items", "tokens")) == 0)
-    best = hits.groupBy(key).agg(F.max(F.struct("confidence", "support", "items", "v")).alias("b"))
+    kept = found.join(redundant, ["items", "verdict"], "left_anti")
+    return stored(kept.select(F.monotonically_increasing_id().alias("rule_id"), "items", "verdict", "confidence", "support"), "kept"), items
+
+
+def match(urls: DataFrame, key: str, rules: DataFrame, items: DataFrame) -> DataFrame:
+    """(key, verdict, confidence) of the best rule that each row of urls(key, tokens) meets: by confidence, support, items; no row if none. key: unique."""
+    by_item = rules.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
+    filed = rules.withColumn("item", F.explode("items")).join(by_item, "item")
+    rarest = filed.groupBy("rule_id").agg(F.min(F.struct("n", "item")).getField("item").alias("item"))
+    index = stored(rules.join(rarest, "rule_id").select("item", F.col("items").alias("needed"), F.col("verdict").alias("v"), "confidence", "support"), "index")
+    own = urls.select(key, F.explode("tokens").alias("token")).join(small(items, SMALL), "token").groupBy(key).agg(F.collect_set("item").alias("items"))
+    hits = own.withColumn("item", F.explode("items")).join(small(index, SMALL), "item").where(F.size(F.array_except("needed", "items")) == 0)
+    best = hits.groupBy(key).agg(F.max(F.struct("confidence", "support", "needed", "v")).alias("b"))
     return best.select(key, F.col("b.v").alias("verdict"), F.col("b.confidence").alias("confidence"))
 
 
@@ -100,6 +118,6 @@ def judge(pages: DataFrame, rules: Rules) -> DataFrame:
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     parts = stored(parts.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("own"), tokens(F.col("host"), F.col("path")).alias("tokens")).withColumn("row", F.monotonically_increasing_id()), "urls")
-    mined = mine(parts.where("own is not null").select("tokens", F.col("own").alias("verdict")))
-    hits = match(parts.where("own is null"), "row", mined)
+    mined, items = mine(parts.where("own is not null").select("tokens", F.col("own").alias("verdict")))
+    hits = match(parts.where("own is null"), "row", mined, items)
     return parts.join(hits, "row", "left").select("page_id", "host", "path", "rule", F.coalesce("own", "verdict", F.lit(DEFAULT)).alias("verdict"), "confidence")
