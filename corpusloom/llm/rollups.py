@@ -1,12 +1,16 @@
 """Token totals kept by signed deltas: inserts, deletes and revised counts, in batches committed once each.
 
-A store is a folder with one Parquet table of summed deltas per batch. A batch's table appears
-whole or not at all, and a batch that is there is never applied again, so a job that died half
-way is simply run again. Totals are the sum over batches.
+A store is a folder with one Parquet table of summed deltas per batch. A batch's table is written
+aside and renamed to its name, which fails if that is taken: it appears whole or not at all, and of
+two writers of one batch one wins. So a job that died half way is simply run again. Totals are the
+sum over batches.
 """
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,32 +48,47 @@ class Rollup:
     """A store of token totals by source, language and tokenizer version under one folder.
 
     Null sources and languages are keys of their own. Keys whose documents and tokens both come
-    to nothing are left out of the totals. A store without batches has no totals. Tokens that are null
+    to nothing are left out of the totals; deletes of rows that were never inserted leave negative
+    totals, which inserts that come later make good. A store or a batch without rows has no totals. Tokens that are null
     count as 0. Changes may have any other columns; they aren't read.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _there(self, path: str) -> bool:
+    def _files(self, path: str):
+        """A path of the shared file system, and that file system."""
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def _batches(self) -> list[str]:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        at, fs = self._files(self.path)
         if not fs.exists(at):
             return []
-        found = sorted(x.getPath().toString() for x in fs.listStatus(at))
-        return [x for x in found if self._there(f"{x}/_SUCCESS")]
+        return sorted(x.getPath().toString() for x in fs.listStatus(at) if x.getPath().getName().startswith("batch="))
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Apply a batch of changes, once: False, and nothing done, if a batch of that name is committed."""
-        path = f"{self.path}/batch={batch}"
-        if self._there(f"{path}/_SUCCESS"):
+        goal, fs = self._files(f"{self.path}/batch={batch}")
+        if fs.exists(goal):
             return False
         sums = changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum(F.coalesce("tokens", F.lit(0))).cast("long").alias("tokens"))
-        sums.where("docs <> 0 or tokens <> 0").write.mode("overwrite").parquet(path)  # _SUCCESS comes last
+        aside = f"{self.path}/_aside-{uuid.uuid4().hex}"
+        sums.where("docs <> 0 or tokens <> 0").write.parquet(aside)
+        return self._name(aside, f"{self.path}/batch={batch}")
+
+    def _name(self, aside: str, goal: str) -> bool:
+        """Rename a folder, in one step, to a name that isn't taken. Otherwise it goes, and the answer is False."""
+        jvm = self.spark._jvm
+        (a, fs), (b, _) = self._files(aside), self._files(goal)
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(a.toUri(), self.spark._jsc.hadoopConfiguration()).rename(a, b, options)
+        except Py4JJavaError:
+            fs.delete(a, True)
+            if not fs.exists(b):
+                raise
+            return False
         return True
 
     def totals(self) -> DataFrame:
