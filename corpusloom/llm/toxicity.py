@@ -183,19 +183,19 @@ def fit_on(labelled: DataFrame, rows: int = FIT_ROWS) -> Model:
     return Model(np.frombuffer(found[0]["odds"], np.float32), found[0]["bias"])
 
 
-def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """docs and a score (0 to 1) of each whole text. Null, empty and blank texts get the score of the bias alone.
+def toxicity_scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs and a score (0 to 1) of each whole text, named `name`. Null, empty and blank texts get the score of the bias alone.
 
-    Columns of docs stay as they are, but for one named `score`, which is replaced. Rows that
+    Columns of docs stay as they are, but for one of that name, which is replaced. Rows that
     repeat get equal scores; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB
-    docs = docs.drop("score")
+    docs = docs.drop(name)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.scores(b.column("text")))], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.scores(b.column("text")))], [*names, name])
 
-    fields = StructType([*docs.schema.fields]).add("score", "double")
+    fields = StructType([*docs.schema.fields]).add(name, "double")
     return docs.mapInArrow(run, fields)
