@@ -343,6 +343,7 @@ def test_top_k_against_brute_force(spark):
     rows = [(i, [rng.choice([0.1, -0.3, 0.25, 0.5]) for _ in range(6)]) for i in range(120)]
     rows += [(200, None), (201, [None, 1.0]), (202, [float("nan")] * 6), (203, [float("inf")] * 6), (204, []), (250, [1.0, 2.0])]
     df = topk.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding", 256)
+    df = df.unionByName(df.where("id in (7, 50)"))  # repeated ids: each candidate stands for itself, a query is taken once
     topk.SHARD_ROWS, topk.LEAF, kept = 30, 4, (topk.SHARD_ROWS, topk.LEAF)
     try:
         got = sorted(map(tuple, topk.top_k(df, df.where("id % 50 = 0"), 5).collect()))
@@ -351,12 +352,39 @@ def test_top_k_against_brute_force(spark):
     v = {i: [math.floor(256 * float(np.float32(x))) for x in e] for i, e in rows[:120]}
     want = []
     for q in (0, 50, 100):
-        best = sorted((-sum(a * b for a, b in zip(v[q], v[i])), i) for i in v if i != q)[:5]
+        best = sorted((-sum(a * b for a, b in zip(v[q], v[i])), i) for i in [*v, 7, 50] if i != q)[:5]
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert got == sorted(want)
     assert topk.top_k(df.limit(0), df.limit(0), 5).count() == 0
 
 
+def test_top_k_skips_shards_and_long_vectors(spark):
+    """Shards whose bound lies below the kth score aren't searched; numbers beyond doubles stay exact."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(14)
+    centres = rng.integers(-900, 900, (8, 300))
+    v = {i: (centres[i % 8] + rng.integers(-5, 6, 300)).tolist() for i in range(400)}
+    v |= {1000 + i: [int(x) << 40 for x in rng.integers(1, 900, 3)] for i in range(12)}
+    df = spark.createDataFrame(list(v.items()), "id long, v array<long>")
+    topk.SHARD_ROWS, kept = 25, topk.SHARD_ROWS
+    try:
+        placed, shards = topk.shard_rows(df.withColumn("dim", F.size("v")))
+        asked = df.where("id < 16").selectExpr("id", "v", "size(v) dim", "3000000d floor")
+        visits, every = topk.routed(asked, shards, False).count(), placed.where("dim = 300").select("shard").distinct().count()
+        small = df.withColumn("v", F.when(F.col("id") < 1000, F.col("v")).otherwise(F.transform("v", lambda x: F.shiftright(x, 20))))
+        got = sorted(map(tuple, topk.top_k(small, small.where("id % 50 = 0"), 3).collect()))
+    finally:
+        topk.SHARD_ROWS = kept
+    assert every > 8 and visits < 16 * (every - 1) / 2
+    v = {i: x if i < 1000 else [y >> 20 for y in x] for i, x in v.items()}
+    want = []
+    for q in (i for i in v if i % 50 == 0):
+        best = sorted((-sum(a * b for a, b in zip(v[q], v[i])), i) for i in v if i != q and len(v[i]) == len(v[q]))[:3]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert got == sorted(want) and max(x[3] for x in got) > 2**53
+
+
 def test_lm_scores(spark, odd, none):
     from pyspark.sql import functions as F
 
