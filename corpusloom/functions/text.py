@@ -9,9 +9,18 @@ from pyspark.sql import functions as F
 
 
 def glob_regex(pattern: str) -> str:
-    """A shell glob as an anchored regex. `*` and `?` cross slashes."""
-    parts = {"*": ".*", "?": "."}
-    return "^" + "".join(parts.get(c, re.escape(c)) for c in pattern) + "$"
+    """A shell glob as an anchored regex. `*` and `?` cross slashes; `[seq]` is one of a set, `[!seq]` none of it."""
+    out, at = "^", 0
+    while at < len(pattern):
+        c, end = pattern[at], pattern.find("]", at + 2 + pattern.startswith("[!", at))
+        if c == "[" and end > 0:
+            body = pattern[at + 1 : end]
+            out += "[" + ("^" if body[0] == "!" else "") + re.sub(r"([\\\[^&])", r"\\\1", body.removeprefix("!")) + "]"
+            at = end
+        else:
+            out += {"*": ".*", "?": "."}.get(c, re.escape(c))
+        at += 1
+    return out + "$"
 
 
 def glob_match(path: Column, patterns: list[str]) -> Column:
@@ -38,24 +47,59 @@ def markdown_cell(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
 
 
-def compact(items: Column, most: int, sep: str = ", ") -> Column:
-    """The first `most` items, joined, and how many more there are."""
+def compact(items: Column, most: int, sep: str = "; ") -> Column:
+    """The first `most` items, joined, and how many more there are: `a; b; ...(+3)`."""
     n = F.size(items)
-    return F.concat(F.array_join(F.slice(items, 1, most), sep), F.when(n > most, F.concat(F.lit(" (+"), (n - most).cast("string"), F.lit(")"))).otherwise(""))
+    return F.concat(F.array_join(F.slice(items, 1, most), sep), F.when(n > most, F.concat(F.lit(sep + "...(+"), (n - most).cast("string"), F.lit(")"))).otherwise(""))
 
 
-def elided(items: Column, most: int, sep: str = " -> ") -> Column:
-    """At most `most` items: the first ones, `...` and the last two."""
-    short = F.concat(F.slice(items, 1, most - 2), F.array(F.lit("...")), F.slice(items, -2, 2))
+def elided(items: Column, most: int = 5, sep: str = " -> ") -> Column:
+    """All items if there are at most `most`; else the first two, `...` and the last two."""
+    short = F.concat(F.slice(items, 1, 2), F.array(F.lit("...")), F.slice(items, -2, 2))
     return F.array_join(F.when(F.size(items) <= most, items).otherwise(short), sep)
 
 
 def identifiers(text: Column, reserved: list[str]) -> Column:
-    """Distinct identifiers, sorted, without string literals, reserved words and words in capitals."""
-    bare = F.regexp_replace(text, "\"[^\"]*\"|'[^']*'", " ")
+    """Distinct identifiers, sorted, without string literals (in which a backslash keeps a quote), reserved words and words in capitals."""
+    bare = F.regexp_replace(text, r""""(?:[^"\\\\]|\\\\.)*"|'(?:[^'\\\\]|\\\\.)*'""".replace("\\\\", "\\"), " ")
     found = F.array_distinct(F.regexp_extract_all(bare, F.lit("([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1)))
     kept = F.array_except(found, F.array(*map(F.lit, reserved)))
-    return F.array_sort(F.filter(kept, lambda x: ~x.rlike("^[A-Z0-9_]+$")))
+    return F.array_sort(F.filter(kept, lambda x: ~x.rlike("^[0-9_]*[A-Z][A-Z0-9_]*$")))
+
+
+def unquoted(text: Column) -> Column:
+    """Percent escapes back to text. A plus sign is no blank."""
+    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
+def template_sql(pattern: str, column: str) -> str:
+    """SQL for a regex with {symbol} in it, replaced by a column's text as it is, whatever characters it has."""
+    before, after = (part.replace("\\", "\\\\").replace("'", "\\'") for part in pattern.split("{symbol}"))
+    return f"concat('{before}', regexp_replace({column}, '([^A-Za-z0-9_])', '\\\\\\\\$1'), '{after}')"
+
+
+def relative_module(parts: Column, level: Column, name: Column) -> Column:
+    """The name `level` parts up from a dotted name's parts."""
+    return F.array_join(F.concat(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - level, F.lit(0))), F.array(name)), ".")
+
+
+def arguments(text: Column) -> Column:
+    """Parts between commas outside quotes and brackets (one level of them), trimmed."""
+    found = F.regexp_extract_all(text, F.lit(r'(?:"[^"]*"|\([^)]*\)|\[[^\]]*\]|[^,])+'), F.lit(0))
+    return F.transform(found, lambda x: F.trim(x))
+
+
+def binomial(n: Column, k: Column) -> Column:
+    """n over k as a double; 0 where k is larger."""
+    steps = F.sequence(F.lit(1).cast("long"), k.cast("long"))
+    return F.aggregate(steps, F.lit(1.0), lambda s, i: s * (n - i + 1) / i)
+
+
+def redacted(json: Column, keys: list[str]) -> Column:
+    """JSON text in which the numbers and strings under these keys, at any depth, are blotted out."""
+    for k in keys:
+        json = F.regexp_replace(json, f'"{re.escape(k)}": *(?:[0-9.eE+-]+|"[^"]*")', f'"{k}": "redacted"')
+    return json
 
 
 def missing(checks: dict[str, Column]) -> Column:

@@ -7,16 +7,40 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.sources.tables import stored
+
+
+def longest_ranks(edges: DataFrame, rounds: int) -> DataFrame:
+    """(node, rank, cyclic): edges of the longest way from a root (a node that no edge(src, dst) leads to), roots included.
+
+    Nodes that a way of `rounds` edges still reaches are cyclic, or too deep; nodes that only
+    cycles lead to have no row. Each round joins the nodes of the one before, stored, with the edges.
+    """
+    edges = stored(edges.select("src", "dst"), "edges")
+    front = edges.select(F.col("src").alias("node")).distinct().join(edges.select(F.col("dst").alias("node")), "node", "left_anti")
+    levels = [front.withColumn("rank", F.lit(0))]
+    for d in range(1, rounds + 1):
+        front = stored(front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct(), "front")
+        if front.isEmpty():
+            break
+        levels.append(front.withColumn("rank", F.lit(d)))
+    ranks = reduce(DataFrame.unionByName, levels).groupBy("node").agg(F.max("rank").alias("rank"))
+    return ranks.withColumn("cyclic", F.col("rank") == rounds)
+
 
 def bounded_reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(seed, node, depth): the shortest distance from each seed(node), at most depth edges(src, dst) long.
 
-    A pair that was reached before isn't followed again, so cycles end.
+    A pair that was reached before isn't followed again, so cycles end. Each level is stored,
+    so that the plan of the next one stays short.
     """
     front = seeds.select(F.col("node").alias("seed"), "node").distinct()
     levels = [front.withColumn("depth", F.lit(0))]
     for d in range(1, depth + 1):
         seen = reduce(DataFrame.unionByName, levels).select("seed", "node")
         front = front.join(edges, front["node"] == edges["src"]).select("seed", F.col("dst").alias("node")).distinct().join(seen, ["seed", "node"], "left_anti")
+        front = stored(front, "front")
+        if front.isEmpty():
+            break
         levels.append(front.withColumn("depth", F.lit(d)))
     return reduce(DataFrame.unionByName, levels)

@@ -35,6 +35,28 @@ def cohen(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return observed.join(F.broadcast(both)).select("observed", (F.col("both") / (F.col("total") * F.col("total"))).alias("expected")).withColumn("kappa", F.expr("try_divide(observed - expected, 1 - expected)"))
 
 
+def bootstrap_rate(df: DataFrame, by: list[str], key: Column, value: Column, replicates: int) -> DataFrame:
+    """by, low, high: 95 % percentile interval of the mean of value, by a Poisson bootstrap seeded with key.
+
+    A row counts 0 to 5 times in a replicate, by a hash of replicate and key, so that reruns agree.
+    """
+    reps = df.select(*by, value.alias("_v"), key.cast("string").alias("_key"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_rep"))
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("_rep").cast("string"), "_key")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    w = sum(((F.col("_u") >= edge).cast("int") for edge in (0.36788, 0.73576, 0.9197, 0.98101, 0.99634)), F.lit(0))
+    reps = reps.withColumn("_u", u).withColumn("_w", w)
+    rates = reps.groupBy(*by, "_rep").agg((F.sum(F.col("_w") * F.col("_v")) / F.nullif(F.sum("_w"), F.lit(0))).alias("_rate"))
+    return rates.groupBy(*by).agg(F.percentile("_rate", 0.025).alias("low"), F.percentile("_rate", 0.975).alias("high"))
+
+
+def mcnemar_p(only_first: Column, only_second: Column) -> Column:
+    """Exact two-sided p of discordant counts: twice the binomial tail at one half, 1 at most. Terms are kept as logarithms, so that large counts don't overflow."""
+    n, k = only_first + only_second, F.least(only_first, only_second)
+    start = F.struct(F.lit(0.0).alias("log"), F.exp(-n * F.log(F.lit(2.0))).alias("sum"))
+    step = lambda s, i: F.struct((s["log"] + F.log((n - i + 1) / i)).alias("log"), (s["sum"] + F.exp(s["log"] + F.log((n - i + 1) / i) - n * F.log(F.lit(2.0)))).alias("sum"))
+    steps = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
+    return F.least(F.lit(1.0), 2 * F.aggregate(steps, start, step, lambda s: s["sum"]))
+
+
 def plurality(votes: DataFrame, item: str, label: str) -> DataFrame:
     """(item, winner, votes, tied): the most frequent label; ties by label, and marked."""
     n = votes.groupBy(item, label).agg(F.count("*").alias("n"))

@@ -20,16 +20,22 @@ class Rule:
     detector: str
     pattern: str
     confidence: str
+    #: Suffixes, or languages, that the rule is for; none: all.
+    suffixes: tuple[str, ...] = ()
 
 
-def matches(files: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
+def matches(files: DataFrame, key: str, rules: list[Rule], suffix: str | None = None) -> DataFrame:
     """(key, line_no, line, category, detector, confidence): a row for each rule that a line meets.
 
-    All patterns are literals of one projection over each line; comments and long lines go first.
+    suffix: a column of files that tells which rules apply; without it all do. All patterns are
+    literals of one projection over each line; comments, long lines, and lines that meet none
+    of the patterns, which one regex tells, go first.
     """
-    bare = F.ltrim("line")
-    kept = lines(files, key).where((F.char_length("line") <= LONGEST_LINE) & ~F.exists(F.array(*map(F.lit, COMMENTS)), lambda c: F.startswith(bare, c)))
-    hit = [F.when(F.col("line").rlike("(?i)" + r.pattern), F.struct(F.lit(r.category).alias("category"), F.lit(r.detector).alias("detector"), F.lit(r.confidence).alias("confidence"))) for r in rules]
+    bare = F.regexp_replace("line", r"^\s+", "")
+    some = F.col("line").rlike("(?i)" + "|".join(f"(?:{r.pattern})" for r in rules))
+    applies = lambda r: F.col(suffix).isin(*r.suffixes) if suffix and r.suffixes else F.lit(True)
+    kept = lines(files, key, keep=(suffix,) if suffix else ()).where(some).where((F.char_length("line") <= LONGEST_LINE) & ~F.exists(F.array(*map(F.lit, COMMENTS)), lambda c: F.startswith(bare, c)))
+    hit = [F.when(applies(r) & F.col("line").rlike("(?i)" + r.pattern), F.struct(F.lit(r.category).alias("category"), F.lit(r.detector).alias("detector"), F.lit(r.confidence).alias("confidence"))) for r in rules]
     return kept.withColumn("hit", F.explode(F.array_compact(F.array(*hit)))).select(key, "line_no", "line", "hit.*")
 
 
@@ -37,16 +43,24 @@ def identity(prefix: str, digits: int, *parts: Column) -> Column:
     return F.concat(F.lit(prefix), F.upper(F.substring(F.sha2(F.concat_ws("\0", *parts), 256), 1, digits)))
 
 
-def findings(hits: DataFrame, key: str) -> DataFrame:
-    """One row per (key, category): lines, detectors, the position id and the fingerprint that survives moved lines."""
-    g = hits.withColumn("h", F.sha2(stripped("line"), 256)).groupBy(key, "category").agg(
-        F.array_sort(F.collect_set("line_no")).alias("all_lines"), F.array_sort(F.collect_set("h")).alias("hashes"),
+def findings(hits: DataFrame, key: str, symbol: str | None = None, by_line: bool = False, prefixes: tuple[str, str] = ("F-", "FP-")) -> DataFrame:
+    """One row per (key, category, symbol): lines, detectors, the position id and the fingerprint that survives moved lines.
+
+    symbol: a column of hits; without it, or where it is null, hits are of `<module>`. by_line: one
+    row per line. The fingerprint has the hashes of the first EVIDENCE_LINES lines, sorted; prefixes
+    are those of the position id and of the fingerprint.
+    """
+    of = F.coalesce(F.col(symbol), F.lit("<module>")) if symbol else F.lit("<module>")
+    hits = hits.withColumn("symbol", of).withColumn("_at", F.col("line_no") if by_line else F.lit(0))
+    first = lambda h: F.array_sort(F.transform(F.slice(F.array_sort(h), 1, EVIDENCE_LINES), lambda x: x["h"]))
+    g = hits.withColumn("h", F.sha2(stripped("line"), 256)).groupBy(key, "category", "symbol", "_at").agg(
+        F.array_sort(F.collect_set("line_no")).alias("all_lines"), first(F.collect_set(F.struct("line_no", "h"))).alias("hashes"),
         F.array_sort(F.collect_set("detector")).alias("d"), F.max((F.col("confidence") == "high").cast("int")).alias("high"),
     )
     d = F.array_join("d", ";")
     return g.select(
-        key, "category", F.array_min("all_lines").alias("line_start"), F.array_max("all_lines").alias("line_end"), F.size("all_lines").alias("match_count"),
+        key, "category", "symbol", F.array_min("all_lines").alias("line_start"), F.array_max("all_lines").alias("line_end"), F.size("all_lines").alias("match_count"),
         F.array_join(F.slice("all_lines", 1, EVIDENCE_LINES).cast("array<string>"), ",").alias("evidence_lines"), d.alias("detectors"), F.when(F.col("high") == 1, "high").otherwise("medium").alias("confidence"),
-        identity("ASB-", 16, F.col(key).cast("string"), F.col("category"), F.array_min("all_lines").cast("string"), d).alias("finding_id"),
-        identity("ASBFP-", 24, F.col(key).cast("string"), F.col("category"), d, F.array_join("hashes", "\0")).alias("fingerprint"),
+        identity(prefixes[0], 16, F.col(key).cast("string"), F.col("category"), F.col("symbol"), F.array_min("all_lines").cast("string"), d).alias("finding_id"),
+        identity(prefixes[1], 24, F.col(key).cast("string"), F.col("category"), F.col("symbol"), d, F.array_join("hashes", ";")).alias("fingerprint"),
     )

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import graph, metrics, policy, scan, windows
-from corpusloom.plans import evidence, review  # noqa: F401  (register their queries)
+from corpusloom.plans import audits, evidence, reports, review  # noqa: F401  (register their queries)
 from corpusloom.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from corpusloom.sources.readers import table
+from corpusloom.sources.tables import stored
 
 FLAGSHIP = "h03_finding_ids"
 
@@ -27,13 +28,13 @@ _HITS = f"""
 with r(category, detector, pattern, confidence) as (values {_VALUES}),
 p as (select doc_id, regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') a from documents),
 l as (select doc_id, unnest(a) line, generate_subscripts(a, 1)::int line_no from p),
-k as (select * from l where length(line) <= 2000 and not (ltrim(line, ' ') like '#%' or ltrim(line, ' ') like '//%' or ltrim(line, ' ') like '/*%' or ltrim(line, ' ') like '*%' or ltrim(line, ' ') like '\"\"\"%' or ltrim(line, ' ') like '''''''%')),
+k as (select * from l where length(line) <= 2000 and not (regexp_replace(line, '^\\s+', '') like '#%' or regexp_replace(line, '^\\s+', '') like '//%' or regexp_replace(line, '^\\s+', '') like '/*%' or regexp_replace(line, '^\\s+', '') like '*%' or regexp_replace(line, '^\\s+', '') like '\"\"\"%' or regexp_replace(line, '^\\s+', '') like '''''''%')),
 h as (select doc_id, line_no, line, category, detector, confidence from k join r on regexp_matches(line, '(?i)' || pattern))"""
 _FOUND = _HITS + """,
-g as (select doc_id, category, list_sort(list(distinct line_no)) ls, list_sort(list(distinct sha256(regexp_replace(regexp_replace(line, '^\\s+', ''), '\\s+$', '')))) hs, list_sort(list(distinct detector)) d, max(confidence = 'high') high from h group by all),
-f as (select doc_id, category, ls[1] line_start, ls[-1] line_end, len(ls)::int match_count, array_to_string(ls[1:50], ',') evidence_lines, array_to_string(d, ';') detectors, case when high then 'high' else 'medium' end confidence,
- 'ASB-' || upper(sha256(concat_ws(chr(0), doc_id::varchar, category, ls[1]::varchar, array_to_string(d, ';')))[1:16]) finding_id,
- 'ASBFP-' || upper(sha256(concat_ws(chr(0), doc_id::varchar, category, array_to_string(d, ';'), array_to_string(hs, chr(0))))[1:24]) fingerprint from g)
+g as (select doc_id, category, list_sort(list(distinct line_no)) ls, list_sort(list_transform(list_sort(list(distinct {'n': line_no, 'h': sha256(regexp_replace(regexp_replace(line, '^\\s+', ''), '\\s+$', ''))}))[1:50], lambda x: x.h)) hs, list_sort(list(distinct detector)) d, max(confidence = 'high') high from h group by all),
+f as (select doc_id, category, '<module>' symbol, ls[1] line_start, ls[-1] line_end, len(ls)::int match_count, array_to_string(ls[1:50], ',') evidence_lines, array_to_string(d, ';') detectors, case when high then 'high' else 'medium' end confidence,
+ 'F-' || upper(sha256(concat_ws(chr(0), doc_id::varchar, category, '<module>', ls[1]::varchar, array_to_string(d, ';')))[1:16]) finding_id,
+ 'FP-' || upper(sha256(concat_ws(chr(0), doc_id::varchar, category, '<module>', array_to_string(d, ';'), array_to_string(hs, ';')))[1:24]) fingerprint from g)
 """
 
 
@@ -69,7 +70,7 @@ e as (select f.*, f.fingerprint not in (select fingerprint from f where match_co
 @query(_POLICY + "select category, count(*) n, sum(is_new::int)::bigint new_ones, sum(suppressed::int)::bigint suppressed, sum((is_new and not suppressed and confidence = 'high')::int)::bigint blocking from e group by all")
 def j01_policy(spark: SparkSession, sf: str) -> DataFrame:
     """One-line findings are the baseline, licence findings suppressed for good, network ones until June."""
-    f = _found(spark, sf)
+    f = stored(_found(spark, sf), "found")  # read three times
     s = f.where(F.col("category").isin("license_text", "network_access")).select("fingerprint", F.when(F.col("category") != "license_text", F.to_date(F.lit("2024-06-01"))).alias("expires"))
     e = policy.evaluate(f, f.where("match_count = 1"), s, F.col("confidence") == "high", F.to_date(F.lit("2024-07-01")))
     n = lambda c: F.sum(F.col(c).cast("int"))
@@ -98,17 +99,25 @@ def c13_interval_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return x.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n_overlaps"))
 
 
-_EDGES = "e as (select user_id src, lead(user_id) over (partition by date_trunc('day', ts) order by ts, event_id) dst from events), g as (select distinct src, dst from e where dst is not null and src <> dst)"
+_EDGES = """g as (select 'r' || n_regionkey src, 'n' || n_nationkey dst from nation union all select 'n' || c_nationkey, 'c' || c_custkey from customer union all select 'c' || o_custkey, 'o' || o_orderkey from orders)"""
 
 
-@query(f"with recursive {_EDGES}, r as (select distinct src seed, src node, 0 depth from g where src <= 5 union select seed, dst, depth + 1 from r join g on r.node = g.src where depth < 3) select seed, node, min(depth)::int depth from r group by all")
+@query(f"with recursive {_EDGES}, r as (select distinct src seed, src node, 0 depth from g union select seed, dst, depth + 1 from r join g on r.node = g.src where depth < 6) select seed, node, min(depth)::int depth from r group by all")
 def c10_bounded_reach(spark: SparkSession, sf: str) -> DataFrame:
-    """Users followed by users within a day, three steps from the first users."""
-    from pyspark.sql import Window
+    """What each region, nation and customer leads to, six steps at most."""
+    edge = lambda t, a, x, b, y: table(spark, sf, t).select(F.concat(F.lit(a), x).alias("src"), F.concat(F.lit(b), y).alias("dst"))
+    e = edge("nation", "r", "n_regionkey", "n", "n_nationkey").unionByName(edge("customer", "n", "c_nationkey", "c", "c_custkey")).unionByName(edge("orders", "c", "o_custkey", "o", "o_orderkey"))
+    return graph.bounded_reach(e, e.select(F.col("src").alias("node")), 6)
+
+
+_LANGUAGES = {"email": ("en", "de"), "card_number": ("fr",), "license_word": ("en", "es")}
 
-    e = table(spark, sf, "events")
-    e = e.select(F.col("user_id").alias("src"), F.lead("user_id").over(Window.partitionBy(F.date_trunc("day", "ts")).orderBy("ts", "event_id")).alias("dst")).where("dst is not null and src <> dst").distinct()
-    return graph.bounded_reach(e, e.where("src <= 5").select(F.col("src").alias("node")).distinct(), 3)
+
+@query(_HITS + " select doc_id, line_no, detector from h join documents using (doc_id) where case detector when 'email' then lang in ('en', 'de') when 'card_number' then lang = 'fr' when 'license_word' then lang in ('en', 'es') else true end")
+def b05_applicability(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules that are for some languages alone."""
+    rules = [scan.Rule(r.category, r.detector, r.pattern, r.confidence, _LANGUAGES.get(r.detector, ())) for r in RULES]
+    return scan.matches(table(spark, sf, "documents").select("doc_id", "text", "lang"), "doc_id", rules, "lang").select("doc_id", "line_no", "detector")
 
 
 @query("select l_returnflag, quantile_cont(l_extendedprice, 0.9) p90, quantile_disc(l_extendedprice, 0.95) p95_rank from lineitem group by 1")
@@ -173,11 +182,12 @@ _GOLD = "x as (select lang, toxic = 1 gold, n_chars < 1000 pred, quality = 0 oth
 
 
 def _gold(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
     d = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
     x = table(spark, sf, "labels").join(d, "doc_id")
-    return x.select("lang", (F.col("toxic") == 1).alias("gold"), (F.col("n_chars") < 1000).alias("pred"), (F.col("quality") == 0).alias("other"), (F.count("*").over(Window.partitionBy("lang", "source")) / 7.0).alias("w"))
+    # Strata are counted apart, so that none is held by one task.
+    sizes = x.groupBy(F.col("lang").alias("_lang"), F.col("source").alias("_source")).agg(F.count("*").alias("_n"))
+    x = x.join(sizes, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")))
+    return x.select("lang", (F.col("toxic") == 1).alias("gold"), (F.col("n_chars") < 1000).alias("pred"), (F.col("quality") == 0).alias("other"), (F.col("_n") / 7.0).alias("w"))
 
 
 @query(f"""with {_GOLD}, c as (select lang, round(sum(case when gold and pred then w else 0 end), 6) tp, round(sum(case when not gold and pred then w else 0 end), 6) fp, round(sum(case when gold and not pred then w else 0 end), 6) fn, round(sum(case when not gold and not pred then w else 0 end), 6) tn from x group by 1)
@@ -194,10 +204,13 @@ def d12_confusion(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("lang", "tp", "fp", "fn", "tn", *(F.round(x, 6).alias(x) for x in ("precision", "recall", "f1")))
 
 
-@query(f"with {_GOLD} select lang, count(*) filter (pred = gold and other <> gold) only_first, count(*) filter (pred <> gold and other = gold) only_second, count(*) n from x group by 1")
+@query(f"""with {_GOLD}, c as (select lang, count(*) filter (pred = gold and other <> gold) only_first, count(*) filter (pred <> gold and other = gold) only_second, count(*) n from x group by 1),
+t as (select lang, only_first + only_second m, unnest(range(0, least(only_first, only_second) + 1)) i from c), l as (select lang, m, sum(case when i = 0 then 0 else ln((m - i + 1) / i) end) over (partition by lang order by i) lg from t),
+p as (select lang, least(1, 2 * sum(exp(lg - m * ln(2)))) p from l group by 1) select c.*, round(p, 6) p from c join p on c.lang is not distinct from p.lang""")
 def d35_mcnemar(spark: SparkSession, sf: str) -> DataFrame:
     one, two = F.col("pred") == F.col("gold"), F.col("other") == F.col("gold")
-    return _gold(spark, sf).groupBy("lang").agg(F.count_if(one & ~two).alias("only_first"), F.count_if(~one & two).alias("only_second"), F.count("*").alias("n"))
+    c = _gold(spark, sf).groupBy("lang").agg(F.count_if(one & ~two).alias("only_first"), F.count_if(~one & two).alias("only_second"), F.count("*").alias("n"))
+    return c.withColumn("p", F.round(metrics.mcnemar_p(F.col("only_first"), F.col("only_second")), 6))
 
 
 @query("select o_orderkey, o_orderpriority, row_number() over (order by o_orderpriority, o_totalprice desc, o_orderkey)::int rank from orders qualify rank <= 500")

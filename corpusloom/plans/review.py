@@ -108,12 +108,12 @@ def c23_complete_case(spark: SparkSession, sf: str) -> DataFrame:
     return n.join(every, n["raters"] == every["k"], "left_semi")
 
 
-@query(f"with {_VOTES}, n as (select user_id, count(*) t, greatest(count(*) filter (label), count(*) filter (not label)) top from v group by 1) select t raters, count(*) tasks, count(*) filter (top = t) unanimous, count(*) filter (2 * top > t) majority, round(avg(top / t), 9) mean_share from n group by 1")
+@query(f"with {_VOTES}, n as (select user_id, count(*) t, count(*) filter (label) yes, greatest(count(*) filter (label), count(*) filter (not label)) top from v group by 1) select t raters, count(*) tasks, count(*) filter (top = t) unanimous, count(*) filter (yes >= 3) majority, round(avg(top / t), 9) mean_share from n group by 1")
 def d22_majority(spark: SparkSession, sf: str) -> DataFrame:
-    """Unanimous and majority votes, and the mean share of the leading label, by the number of raters."""
-    n = _votes(spark, sf).groupBy("user_id").agg(F.count("*").alias("raters"), F.greatest(F.count_if("label"), F.count_if(~F.col("label"))).alias("top"))
+    """Unanimous votes, strict majorities (three votes for it), and the mean share of the leading label, by the number of raters."""
+    n = _votes(spark, sf).groupBy("user_id").agg(F.count("*").alias("raters"), F.count_if("label").alias("yes"), F.greatest(F.count_if("label"), F.count_if(~F.col("label"))).alias("top"))
     top, t = F.col("top"), F.col("raters")
-    return n.groupBy("raters").agg(F.count("*").alias("tasks"), F.count_if(top == t).alias("unanimous"), F.count_if(2 * top > t).alias("majority"), F.round(F.avg(top / t), 9).alias("mean_share"))
+    return n.groupBy("raters").agg(F.count("*").alias("tasks"), F.count_if(top == t).alias("unanimous"), F.count_if(F.col("yes") >= 3).alias("majority"), F.round(F.avg(top / t), 9).alias("mean_share"))
 
 
 @query("select event_type, count(*) total, count(*) filter (value > 50) completed, 100.0 * count(*) filter (value > 50) / count(*) percent, strftime(max(ts), '%Y-%m-%d') last_day from events group by 1")

@@ -21,11 +21,11 @@ def source_files(spark: SparkSession, root: str, suffixes: list[str], max_bytes:
     return files.where(fine).select("path", F.col("length").alias("size"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
-def lines(files: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, line_no from 1, line); a line end at the very end opens no further line."""
+def lines(files: DataFrame, key: str, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, keep, line_no from 1, line); a line end at the very end opens no further line."""
     parts = F.split(F.col(text), LINE_END)
     parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    return files.select(key, F.posexplode(parts).alias("n", "line")).select(key, (F.col("n") + 1).alias("line_no"), "line")
+    return files.select(key, *keep, F.posexplode(parts).alias("n", "line")).select(key, *keep, (F.col("n") + 1).alias("line_no"), "line")
 
 
 def stripped(line: Column | str) -> Column:

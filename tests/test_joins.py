@@ -1,5 +1,6 @@
 """Joins and scalar functions on literal rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as fn
@@ -38,4 +39,54 @@ def test_text_functions(spark):
         fn.markdown_cell(F.lit("a|b\nc")).alias("cell"), fn.compact(F.array(*map(F.lit, "abc")), 2).alias("c"), fn.elided(F.array(*map(F.lit, "abcdef")), 4).alias("e"),
         fn.identifiers(F.lit("if foo(bar, 'x y', MAX) and foo"), ["if", "and"]).alias("i"), fn.missing({"p": F.lit(None).cast("boolean"), "q": F.lit(True), "r": F.lit(False)}).alias("m"),
     )
-    assert tuple(df.first()) == (True, ".py", "a-b-c", "a\\|b c", "a, b (+1)", "a -> b -> ... -> e -> f", ["bar", "foo"], ["p", "r"])
+    assert tuple(df.first()) == (True, ".py", "a-b-c", "a\\|b c", "a; b; ...(+1)", "a -> b -> ... -> e -> f", ["bar", "foo"], ["p", "r"])
+
+
+def test_text_functions_at_their_edges(spark):
+    items = lambda s: F.array(*map(F.lit, s))
+    r = spark.range(1).select(
+        fn.elided(items("abcdef")).alias("long"), fn.elided(items("abcde")).alias("short"), fn.compact(items("abcde"), 2).alias("more"), fn.compact(items("ab"), 2).alias("all"),
+        fn.identifiers(F.lit(r"""f('a \' b', "x \" y", __, A_1, _b)"""), []).alias("names"), fn.unquoted(F.lit("a+b%20c")).alias("unquoted"), fn.arguments(F.lit('a, "b,c", f(1,2), [3,4]')).alias("arguments"),
+        fn.binomial(F.lit(10), F.lit(3)).alias("binomial"), fn.redacted(F.lit('{"a": {"k": 12}, "k": "s", "z": 1}'), ["k"]).alias("redacted"), fn.relative_module(items("abc"), F.lit(2), F.lit("x")).alias("module"),
+        *(fn.glob_match(F.lit(p), [g]).alias(f"g{k}") for k, (p, g) in enumerate([("src/a1.py", "a[0-9].py"), ("src/ax.py", "a[0-9].py"), ("b.py", "[!a].py"), ("a[.py", "a[[].py"), ("a[.py", "a[.py")])),
+    ).first()
+    assert (r.long, r.short, r.more, r["all"]) == ("a -> b -> ... -> e -> f", "a -> b -> c -> d -> e", "a; b; ...(+3)", "a; b")
+    assert r.names == ["__", "_b", "f"] and r.unquoted == "a+b c" and r.arguments == ["a", '"b,c"', "f(1,2)", "[3,4]"] and r.binomial == 120
+    assert r.redacted == '{"a": {"k": "redacted"}, "k": "redacted", "z": 1}' and r.module == "a.x"
+    assert [r.g0, r.g1, r.g2, r.g3, r.g4] == [True, False, True, True, True]
+
+
+def test_scan_symbols_suffixes_and_tabs(spark):
+    from corpusloom.operators import scan
+
+    rules = [scan.Rule("c", "d", "secret", "high"), scan.Rule("c", "py", "secret", "medium", (".py",))]
+    df = spark.createDataFrame([("f", ".py", "\t# secret\nsecret\n secret"), ("g", ".js", "secret")], "k string, suffix string, text string")
+    hits = scan.matches(df, "k", rules, "suffix")
+    assert sorted((r.k, r.line_no, r.detector) for r in hits.collect()) == [("f", 2, "d"), ("f", 2, "py"), ("f", 3, "d"), ("f", 3, "py"), ("g", 1, "d")]
+    named = hits.withColumn("symbol", F.when(F.col("line_no") == 2, "main"))
+    assert sorted((r.k, r.symbol, r.match_count) for r in scan.findings(named, "k", "symbol").collect()) == [("f", "<module>", 1), ("f", "main", 1), ("g", "<module>", 1)]
+    assert scan.findings(hits, "k", by_line=True).count() == 3 and scan.findings(hits, "k").count() == 2
+
+
+def test_mcnemar_p_and_quota_errors(spark):
+    import math
+
+    from corpusloom.operators import metrics, windows
+
+    pairs = [(0, 0), (3, 0), (5, 9), (12, 12), (400, 800)]
+    got = [r.p for r in spark.createDataFrame(pairs, "a long, b long").select(metrics.mcnemar_p(F.col("a"), F.col("b")).alias("p")).collect()]
+    for p, (a, b) in zip(got, pairs, strict=True):
+        assert abs(p - min(1, 2 * sum(math.comb(a + b, i) for i in range(min(a, b) + 1)) / 2 ** (a + b))) < 1e-9
+    strata = spark.createDataFrame([("a", 3), ("b", 1), ("c", 6)], "s string, n int")
+    assert {r.s: r.quota for r in windows.largest_remainder(strata, "n", 10, ["s"]).collect()} == {"a": 3, "b": 1, "c": 6}
+    for seats in (2, 11):
+        with pytest.raises(Exception, match="seats"):
+            windows.largest_remainder(strata, "n", seats, ["s"]).collect()
+
+
+def test_longest_ranks(spark):
+    from corpusloom.operators import graph
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "x"), ("a", "x")], "src string, dst string")
+    got = {r.node: (r["rank"], r.cyclic) for r in graph.longest_ranks(edges, 6).collect()}
+    assert got["a"] == (0, False) and got["b"] == (1, False) and got["c"] == (2, False) and (got["x"][1] or got["y"][1])
