@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.sources.tables import discard, shared_dir, stored  # noqa: F401  (for the operators)
+
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -29,45 +28,6 @@ def fold(key: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(key) if isinstance(key, str) else key, F.lit("")).cast("string").cast("binary")) % n
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all runs in one process (tests)."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if set_dir:
-        return set_dir.rstrip("/")
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back.
-
-    This cuts the lineage, so that a lost executor costs a reread and no later step sees
-    other rows. The table is deleted by discard(), or when the driver's file system closes.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    at = _hadoop_path(spark, path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete stored() tables that no later step reads."""
-    for t in tables:
-        at = _hadoop_path(t.sparkSession, t.stored_at)
-        at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def _hadoop_path(spark: SparkSession, path: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(path)
-
-
 def small(df: DataFrame, rows: int) -> DataFrame:
     """A stored table, marked for broadcast if it is counted to have `rows` rows at most; joins shuffle it otherwise."""
     return F.broadcast(df) if df.count() <= rows else df
