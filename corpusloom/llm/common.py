@@ -16,7 +16,7 @@ from corpusloom.sources.tables import discard, shared_dir, stored  # noqa: F401
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 #: Text handed to one numpy step, in bytes. It bounds a worker's memory and changes no result.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -105,7 +106,6 @@ def fit_features(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
     for ids, _ in rows:
         texts_with[ids] += 1
     trust = texts_with / (texts_with + RARE)
-    rows = [(ids, v * trust[ids]) for ids, v in rows]
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
     w = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
@@ -119,7 +119,7 @@ def fit_features(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
         for at in range(0, len(order), BATCH):
             own = order[at : at + BATCH]
             ids = np.concatenate([rows[i][0] for i in own])
-            weight = SCALE * np.concatenate([rows[i][1] for i in own])
+            weight = SCALE * (np.concatenate([rows[i][1] for i in own]) * trust[ids])
             n = np.array([len(rows[i][0]) for i in own])
             doc = np.repeat(np.arange(len(own)), n)
             x = np.stack([np.bincount(doc, weight * e[ids, k], len(own)) for k in range(DIM)], 1).astype(np.float32)
@@ -145,6 +145,16 @@ def fit_features(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
 SCALE = np.float32(15)
 
 
+def _views(blobs: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    """The numbers in each blob, where they lie: the sample is held once."""
+    out = []
+    for chunk in blobs.chunks:
+        ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        data = np.frombuffer(chunk.buffers()[2] or b"", np.uint8)
+        out += [data[a:b].view(kind) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return out
+
+
 def fit_on(labelled: DataFrame, rows: int = FIT_ROWS) -> Model:
     """Fit on labelled(doc_id, text, toxic): about `rows` of each class, by a hash of doc_id. Null labels and texts are left out.
 
@@ -169,9 +179,9 @@ def fit_on(labelled: DataFrame, rows: int = FIT_ROWS) -> Model:
                 yield pa.RecordBatch.from_arrays([b.column("_order"), b.column("doc_id"), b.column("toxic"), *blobs], ["_order", "doc_id", "toxic", "ids", "weights"])
 
     def train(sample: pa.Table) -> pa.Table:
-        sample = sample.sort_by([("_order", "ascending"), ("doc_id", "ascending")])
-        rows = [(np.frombuffer(i.as_py(), np.int32), np.frombuffer(v.as_py(), np.float32)) for i, v in zip(sample["ids"], sample["weights"], strict=True)]
-        model = fit_features(rows, sample["toxic"].to_numpy().astype(np.int64), share)
+        order = pc.sort_indices(sample, [("_order", "ascending"), ("doc_id", "ascending")]).to_numpy()
+        ids, weights = _views(sample["ids"], np.int32), _views(sample["weights"], np.float32)
+        model = fit_features([(ids[i], weights[i]) for i in order], sample["toxic"].to_numpy().astype(np.int64)[order], share)
         return pa.table({"odds": pa.array([model.odds.tobytes()], pa.binary()), "bias": [model.bias]})
 
     sample = labelled.where(take).select(F.xxhash64("doc_id", "text").alias("_order"), "doc_id", "toxic", "text")
