@@ -201,7 +201,7 @@ def d13_weighted_confusion(spark: SparkSession, sf: str) -> DataFrame:
 select *, round(tp / nullif(tp + fp, 0), 6) "precision", round(tp / nullif(tp + fn, 0), 6) recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) f1 from c""")
 def d12_confusion(spark: SparkSession, sf: str) -> DataFrame:
     c = metrics.confusion(_gold(spark, sf), ["lang"], F.col("gold"), F.col("pred"))
-    return c.select("lang", "tp", "fp", "fn", "tn", *(F.round(x, 6).alias(x) for x in ("precision", "recall", "f1")))
+    return c.select("lang", *(F.col(x).cast("long").alias(x) for x in ("tp", "fp", "fn", "tn")), *(F.round(x, 6).alias(x) for x in ("precision", "recall", "f1")))
 
 
 @query(f"""with {_GOLD}, c as (select lang, count(*) filter (pred = gold and other <> gold) only_first, count(*) filter (pred <> gold and other = gold) only_second, count(*) n from x group by 1),
