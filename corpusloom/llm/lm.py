@@ -2,9 +2,10 @@
 
 Counts of all words come from all training texts. The model predicts each token from the two
 before it: one of the head's words, which are as many as the corpus has, up to HEAD, or `other`,
-whose probability mass is dealt out by add-one counts. The softmax has two levels: `other`, the
-FREQUENT most frequent words and classes of CLASS words next to each other by frequency come first,
-then the words of one class. Both sum to 1, so every token's probability is normalised. Each
+whose probability mass is dealt out by add-one counts. The softmax has three levels: `other`, the
+FREQUENT most frequent words and groups of the rest come first, then the GROUP classes of one group,
+then the CLASS words of one class; words next to each other by frequency share a class. Each level
+sums to 1, so every token's probability is normalised. Each
 task trains on all the tokens it holds, from the same start, and the tasks' parameters are averaged:
 each row by how often the tasks met it. The head's counts are broadcast; the counts of the other
 words are joined.
@@ -22,9 +23,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import slices, stored, word_hashes
 
-#: Words that stand alone in the softmax's first level, and words of a class.
-FREQUENT = 511
-CLASS = 512
+#: Words that stand alone in the softmax's first level, classes of a group, and words of a class.
+FREQUENT = 255
+GROUP = 32
+CLASS = 256
 DIM = 16
 #: Words whose counts and parameters every task holds (about 220 bytes each).
 HEAD = 262_144
@@ -33,7 +35,7 @@ REPLICAS = 4096
 MINIBATCH = 4096
 #: Contexts whose sums are computed at once.
 BLOCK = 256
-#: Noise draws: shared by a minibatch in the first level, and of each token's class in the second.
+#: Noise draws: shared by a minibatch in the first level, and by a group's or class's tokens in it below.
 NOISE, NEAR = 32, 4
 #: Parameters are sent as 16-bit multiples of one part in so many.
 FINE = 2048
@@ -118,7 +120,7 @@ def _contexts(ids: np.ndarray, starts: np.ndarray, words: int = FREQUENT) -> tup
 
 def _first(ids: np.ndarray) -> np.ndarray:
     """Where each model id stands in the first level."""
-    return np.where(ids <= FREQUENT, ids, FREQUENT + 1 + (ids - FREQUENT - 1) // CLASS)
+    return np.where(ids <= FREQUENT, ids, FREQUENT + 1 + (ids - FREQUENT - 1) // (CLASS * GROUP))
 
 
 def _log_sums(s: np.ndarray) -> np.ndarray:
@@ -137,57 +139,72 @@ class Model:
     two: np.ndarray  # of the one before that
     top: np.ndarray  # (first level, DIM)
     top_bias: np.ndarray
+    classes: np.ndarray  # (classes of the words after the FREQUENT ones, DIM), within their groups
+    class_bias: np.ndarray
     word: np.ndarray  # (words after the FREQUENT ones, DIM), within their classes
     word_bias: np.ndarray
 
     @classmethod
     def plain(cls, unigram: np.ndarray) -> Model:
         """The unigram model: no row has a direction."""
-        n = len(unigram)
-        mass = np.bincount(_first(np.arange(n)), unigram)
+        n, rare = len(unigram), unigram[FREQUENT + 1 :]
+        top, of = np.bincount(_first(np.arange(n)), unigram), np.arange(len(rare)) // CLASS
+        mid = np.bincount(of, rare)
         zero = lambda k: np.zeros((k, DIM), np.float32)
-        return cls(zero(n + 1), zero(n + 1), zero(len(mass)), np.log(mass).astype(np.float32), zero(max(0, n - FREQUENT - 1)), np.log(unigram[FREQUENT + 1 :]).astype(np.float32) - np.log(mass)[_first(np.arange(n))[FREQUENT + 1 :]].astype(np.float32))
+        part = lambda x, whole: np.log(x / whole).astype(np.float32)
+        return cls(
+            zero(n + 1), zero(n + 1), zero(len(top)), part(top, 1.0),
+            zero(len(mid)), part(mid, top[FREQUENT + 1 + np.arange(len(mid)) // GROUP]), zero(len(rare)), part(rare, mid[of]),
+        )
 
     @classmethod
     def start(cls, unigram: np.ndarray) -> Model:
         rng, m = np.random.default_rng(5), cls.plain(unigram)
-        for x in (m.top, m.one, m.two, m.word):
+        for x, _ in m.tables():
             x[:] = rng.standard_normal(x.shape, np.float32) * np.float32(0.1)
         return m
 
     def tables(self) -> list[tuple[np.ndarray, np.ndarray | None]]:
         """Directions and biases of all rows, in the order in which they are sent."""
-        return [(self.one, None), (self.two, None), (self.top, self.top_bias), (self.word, self.word_bias)]
+        return [(self.one, None), (self.two, None), (self.top, self.top_bias), (self.classes, self.class_bias), (self.word, self.word_bias)]
 
     def cast(self, kind: type) -> Model:
         """With directions of this number type: half as long for the way to the tasks."""
-        return Model(self.one.astype(kind), self.two.astype(kind), self.top.astype(kind), self.top_bias, self.word.astype(kind), self.word_bias)
+        return Model(self.one.astype(kind), self.two.astype(kind), self.top.astype(kind), self.top_bias, self.classes.astype(kind), self.class_bias, self.word.astype(kind), self.word_bias)
 
     def log_probabilities(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Normalised natural-log probabilities; first-level sums are made once per distinct context, second-level ones class by class."""
+        """Normalised natural-log probabilities; first-level sums are made once per distinct context, the others group by group and class by class."""
         key, where = np.unique(one * len(self.one) + two, return_inverse=True)
-        z, top, word = np.empty(len(key), np.float32), np.column_stack([self.top, self.top_bias]), np.column_stack([self.word, self.word_bias])
+        z, top = np.empty(len(key), np.float32), np.column_stack([self.top, self.top_bias])
         a, b = np.divmod(key, len(self.one))
-        q = np.column_stack([self.one[a] + self.two[b], np.ones(len(key), np.float32)])  # the last column meets the biases
+        q = np.column_stack([np.take(self.one, a, axis=0) + np.take(self.two, b, axis=0), np.ones(len(key), np.float32)])  # the last column meets the biases
         for at in range(0, len(key), BLOCK):
             z[at : at + BLOCK] = _log_sums(q[at : at + BLOCK] @ top.T)
-        first, q = _first(ids), q[where]
-        out = np.einsum("nd,nd->n", q, top[first]).astype(np.float64) - z[where]
+        q = np.take(q, where, axis=0)
+        out = np.einsum("nd,nd->n", q, np.take(top, _first(ids), axis=0)).astype(np.float64) - z[where]
         rest = np.flatnonzero(ids > FREQUENT)
-        rest = rest[np.argsort(first[rest], kind="stable")]
-        cuts = np.flatnonzero(np.diff(first[rest], prepend=-1, append=-1)) if len(rest) else []
-        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-            at = (first[rest[x]] - FREQUENT - 1) * CLASS
-            for x0 in range(x, y, BLOCK):
-                own = rest[x0 : min(y, x0 + BLOCK)]
-                s = q[own] @ word[at : at + CLASS].T
-                mine = s[np.arange(len(own)), ids[own] - FREQUENT - 1 - at]
-                out[own] += mine - _log_sums(s)
+        rest = rest[np.argsort(ids[rest], kind="stable")]
+        v, q = ids[rest] - FREQUENT - 1, np.take(q, rest, axis=0)
+        for x, bias, rows, width in ((self.classes, self.class_bias, v // CLASS, GROUP), (self.word, self.word_bias, v, CLASS)):
+            x = np.column_stack([x, bias])
+            own = np.einsum("nd,nd->n", q, np.take(x, rows, axis=0))
+            cuts = np.append(np.flatnonzero(np.diff(rows // width, prepend=-1)), len(rows))
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                at = rows[lo] // width * width
+                for part in range(lo, hi, BLOCK):
+                    to = min(hi, part + BLOCK)
+                    own[part:to] -= _log_sums(q[part:to] @ x[at : at + width].T)
+            out[rest] += own
         return out
 
 
+def _sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the float32 rows from each start to the next. Complex numbers add two columns at a time, which halves numpy's steps."""
+    return np.add.reduceat(x.view(np.complex64), starts, axis=0).view(np.float32)
+
+
 class Trainer:
-    """NCE by Adagrad on minibatches, at both levels. A minibatch's examples share the first level's noise; the second's is even within a token's class."""
+    """NCE by Adagrad on minibatches, at all levels. A minibatch's examples share the first level's noise; those of a group or class share noise that is even within it."""
 
     def __init__(self, model: Model, unigram: np.ndarray, seed: int):
         self.m, self.rng = model, np.random.default_rng(seed)
@@ -197,49 +214,57 @@ class Trainer:
 
     def _step(self, k: int, rows: np.ndarray, grads: np.ndarray, bias: np.ndarray | None = None) -> None:
         x, b = self.m.tables()[k]
-        order = np.argsort(rows, kind="stable")
-        starts = np.flatnonzero(np.diff(rows[order], prepend=-1))
-        own, total = rows[order[starts]], np.add.reduceat(grads[order], starts, axis=0)
-        self.sums[k][own, 0] += (total**2).mean(1)
-        x[own] -= RATE * total / np.sqrt(self.sums[k][own, :1])
+        keys = np.sort(rows << 32 | np.arange(len(rows)))
+        rows, order = keys >> 32, keys & 0xFFFFFFFF
+        starts = np.flatnonzero(np.diff(rows, prepend=-1))
+        own, total, sums = rows[starts], _sums(np.take(grads, order, axis=0), starts), self.sums[k]
+        seen = np.take(sums, own, axis=0)
+        seen[:, 0] += np.einsum("nd,nd->n", total, total) / DIM
         if bias is not None:
             g = np.add.reduceat(bias[order], starts)
-            self.sums[k][own, 1] += g**2
-            b[own] -= RATE * g / np.sqrt(self.sums[k][own, 1])
+            seen[:, 1] += g**2
+            b[own] -= RATE * g / np.sqrt(seen[:, 1])
+        sums[own] = seen
+        x[own] = np.take(x, own, axis=0) - RATE * total / np.sqrt(seen[:, :1])
 
     def learn(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         m = self.m
         for at in range(0, len(ids), MINIBATCH):
             w, a, b = ids[at : at + MINIBATCH], one[at : at + MINIBATCH], two[at : at + MINIBATCH]
-            t, q = _first(w), m.one[a] + m.two[b]
+            t, q = _first(w), np.take(m.one, a, axis=0) + np.take(m.two, b, axis=0)
             noise = np.minimum(np.searchsorted(self.edges, self.rng.random(NOISE)), len(self.edges) - 1)
-            r, n = m.top[t], m.top[noise]
-            good = (q * r).sum(1) + m.top_bias[t] - self.base[t]
+            r, n = np.take(m.top, t, axis=0), m.top[noise]
+            good = np.einsum("nd,nd->n", q, r) + m.top_bias[t] - self.base[t]
             bad = q @ n.T + (m.top_bias[noise] - self.base[noise])
             dg = -1 / (1 + np.exp(np.clip(good, -30, 30))) / len(w)
             db = 1 / (1 + np.exp(-np.clip(bad, -30, 30))) / len(w)
             gq = dg[:, None] * r + db @ n
             rest = np.flatnonzero(w > FREQUENT)
             if len(rest):
-                gq[rest] += self._learn_words(w[rest] - FREQUENT - 1, q[rest], len(w))
+                rest = rest[np.argsort(w[rest], kind="stable")]
+                v = w[rest] - FREQUENT - 1
+                own = np.take(q, rest, axis=0)
+                gq[rest] += self._learn_within(3, v // CLASS, GROUP, own, len(w)) + self._learn_within(4, v, CLASS, own, len(w))
             self._step(2, np.concatenate([t, noise]), np.concatenate([dg[:, None] * q, db.T @ q]), np.concatenate([dg, db.sum(0)]))
             self._step(0, a, gq)
             self._step(1, b, gq)
 
-    def _learn_words(self, v: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
-        """Second level: a step of the words' rows; returns the gradients of their contexts."""
-        m, low = self.m, v // CLASS * CLASS
-        size = np.minimum(CLASS, len(m.word) - low)
-        noise = low[:, None] + (self.rng.random((len(v), NEAR), np.float32) * size[:, None]).astype(np.int64)
-        noise = np.minimum(noise, (low + size - 1)[:, None])
+    def _learn_within(self, k: int, v: np.ndarray, width: int, q: np.ndarray, n: int) -> np.ndarray:
+        """A step of table k's rows v, in ascending order, within their runs of `width` rows; returns the gradients of their contexts."""
+        x, bias = self.m.tables()[k]
+        new = np.diff(v // width, prepend=-1) > 0
+        cuts, of = np.flatnonzero(new), np.cumsum(new) - 1
+        low = v[cuts] // width * width
+        size = np.minimum(width, len(x) - low)[:, None]
+        noise = low[:, None] + np.minimum((self.rng.random((len(low), NEAR), np.float32) * size).astype(np.int64), size - 1)
         base = np.log(NEAR / size).astype(np.float32)
-        r, x = m.word[v], m.word[noise]
-        dg = -1 / (1 + np.exp(np.clip((q * r).sum(1) + m.word_bias[v] - base, -30, 30))) / n
-        db = 1 / (1 + np.exp(-np.clip(np.matmul(x, q[:, :, None])[:, :, 0] + m.word_bias[noise] - base[:, None], -30, 30))) / n
-        back = dg[:, None] * r + np.matmul(db[:, None, :], x)[:, 0]
-        grads = np.concatenate([dg[:, None] * q, (db[:, :, None] * q[:, None, :]).reshape(-1, DIM)])
-        self._step(3, np.concatenate([v, noise.ravel()]), grads, np.concatenate([dg, db.ravel()]))
-        return back
+        r, near = np.take(x, v, axis=0), np.take(x[noise], of, axis=0)
+        good, bad = np.einsum("nd,nd->n", q, r) + bias[v] - base[of, 0], np.einsum("nkd,nd->nk", near, q) + (bias[noise] - base)[of]
+        dg = -1 / (1 + np.exp(np.clip(good, -30, 30))) / n
+        db = 1 / (1 + np.exp(-np.clip(bad, -30, 30))) / n
+        grads = _sums((db[:, :, None] * q[:, None, :]).reshape(len(v), -1), cuts).reshape(-1, DIM)
+        self._step(k, np.concatenate([v, noise.ravel()]), np.concatenate([dg[:, None] * q, grads]), np.concatenate([dg, np.add.reduceat(db, cuts, axis=0).ravel()]))
+        return dg[:, None] * r + np.einsum("nk,nkd->nd", db, near)
 
 
 def _rows_of(blob: pa.Array, kind: str, width: int) -> np.ndarray:
@@ -265,7 +290,8 @@ def train(texts: DataFrame, vocab: Vocabulary) -> Model:
             _, ids = v.look_up(h)
             one, two = _contexts(ids, starts[:-1], len(chances) - 1)
             trainer.learn(ids, one, two)
-            for n, rows in zip(met, (one, two, _first(ids), ids[ids > FREQUENT] - FREQUENT - 1), strict=True):
+            rare = ids[ids > FREQUENT] - FREQUENT - 1
+            for n, rows in zip(met, (one, two, _first(ids), rare // CLASS, rare), strict=True):
                 n += np.bincount(rows, minlength=len(n))
         base = 0
         for n, (x, bias), (_, first) in zip(met, model.tables(), flat.tables(), strict=True):

@@ -496,6 +496,19 @@ def test_components_of_chains_stars_and_loops(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_lm_sums_to_one_over_several_groups():
+    n = lm.FREQUENT + lm.GROUP * lm.CLASS + lm.CLASS + 9
+    unigram = 1 / np.arange(3, n + 4)
+    unigram /= unigram.sum()
+    every = np.arange(n + 1)
+    plain = lm.Model.plain(unigram).log_probabilities(every, np.full(n + 1, 3), np.full(n + 1, n))
+    assert np.exp(plain) == pytest.approx(unigram, rel=1e-3)
+    trainer, ids = lm.Trainer(lm.Model.start(unigram), unigram, 1), np.random.default_rng(2).permutation(np.tile(every, 3))
+    trainer.learn(ids, *lm._contexts(ids, np.array([0]), n))
+    for a, b in ((3, n), (n + 1, 700)):
+        assert np.exp(trainer.m.log_probabilities(every, np.full(n + 1, a), np.full(n + 1, b))).sum() == pytest.approx(1, abs=1e-4)
+
+
 def test_lm_models_words_beyond_the_frequent_ones(spark):
     from pyspark.sql import functions as F
 
