@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import graph, metrics, policy, scan, windows
-from corpusloom.plans import audits, evidence, reports, review  # noqa: F401  (register their queries)
+from corpusloom.plans import audits, evidence, interchange, reports, review  # noqa: F401  (register their queries)
 from corpusloom.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from corpusloom.sources.readers import table
 from corpusloom.sources.tables import stored
@@ -77,6 +77,40 @@ def j01_policy(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy("category").agg(F.count("*").alias("n"), n("is_new").alias("new_ones"), n("suppressed").alias("suppressed"), n("blocking").alias("blocking"))
 
 
+_RECORDS = _POLICY + """,
+m as (select e.*, confidence = 'high' and category in ('credential_access', 'personal_data') policy_match from e),
+q as (select *, is_new and not suppressed and policy_match blocking from m)
+"""
+
+
+def _records(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Findings with their policy record, and the suppressions; dates and baseline as in j01_policy."""
+    f = stored(_found(spark, sf), "found")
+    s = f.where(F.col("category").isin("license_text", "network_access")).select(F.concat(F.lit("S-"), "finding_id").alias("suppression_id"), "fingerprint", F.when(F.col("category") != "license_text", F.to_date(F.lit("2024-06-01"))).alias("expires"))
+    meets = (F.col("confidence") == "high") & F.col("category").isin("credential_access", "personal_data")
+    return policy.records(f, f.where("match_count = 1"), s, meets, F.to_date(F.lit("2024-07-01"))), s
+
+
+@query(_RECORDS + ", i as (select s.fingerprint, min('S-' || f.finding_id) suppression_id from s join f using (fingerprint) where s.expires is null or s.expires >= date '2024-07-01' group by 1) select finding_id, category, case when is_new then 'new' else 'existing' end baseline_status, suppression_id, policy_match, blocking from q left join i using (fingerprint)")
+def j01_policy_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Each finding's place in the baseline, its suppression, whether the policy names it, and whether it blocks."""
+    return _records(spark, sf)[0].select("finding_id", "category", "baseline_status", "suppression_id", "policy_match", "blocking")
+
+
+@query(_RECORDS + "select category, count(*) n, sum(is_new::int)::bigint new_ones, sum((not is_new)::int)::bigint existing, sum(suppressed::int)::bigint suppressed, sum(policy_match::int)::bigint policy_matches, sum(blocking::int)::bigint blocking from q group by rollup (category)")
+def d37_policy_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """The policy's counts by category and over all."""
+    n = lambda c, name: F.count_if(c).alias(name)
+    new = F.col("baseline_status") == "new"
+    return _records(spark, sf)[0].rollup("category").agg(F.count("*").alias("n"), n(new, "new_ones"), n(~new, "existing"), n(F.col("suppression_id").isNotNull(), "suppressed"), n(F.col("policy_match"), "policy_matches"), n(F.col("blocking"), "blocking"))
+
+
+@query(_POLICY + "select 'S-' || finding_id suppression_id, fingerprint, '2024-06-01' expires from f where category = 'network_access'")
+def j01_expired_suppressions(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppressions that have run out."""
+    return policy.expired(_records(spark, sf)[1], F.to_date(F.lit("2024-07-01"))).withColumn("expires", F.col("expires").cast("string"))
+
+
 @query("select event_id, user_id, last(case when event_type = 'signup' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between 30 preceding and current row) signup_id from events")
 def c02_nearest_before(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")

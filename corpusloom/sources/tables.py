@@ -26,6 +26,23 @@ def _files(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver's file system closes."""
+    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    at, files = _files(spark, path)
+    files.deleteOnExit(at)
+    return path
+
+
+def renamed(spark: SparkSession, old: str, new: str) -> None:
+    """Give a finished folder its name; an error if there is one already."""
+    at, files = _files(spark, old)
+    to = spark._jvm.org.apache.hadoop.fs.Path(new)
+    if files.exists(to) or not files.rename(at, to):
+        files.delete(at, True)
+        raise FileExistsError(new)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back.
 
