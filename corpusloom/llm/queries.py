@@ -97,9 +97,32 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"fingerprint": as_text(F.col("fingerprint")), "edited_fingerprint": as_text(F.col("edited_fingerprint"))})
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.prefix_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.runs import periodic_runs
+
+    return periodic_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), looped=True)
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Law `rows`: equal texts are dealt apart from each other, as a uniform shuffle asks."""
+    from corpusloom.llm.sharding import shuffle_shards
+
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    got = shuffle_shards(docs, 16)
+    return got.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filters, op2_best_fit_packing, op3_language_id, op4_document_fingerprints, op5_ngram_jaccard,
     op6_source_mixing, op7_exact_top_k, op8_lm_scores, op9_token_rollups, op10_toxicity,
+    op11_prefix_trie, op12_periodic_runs, op13_sharding,
 )}
 
 ORACLES = {
