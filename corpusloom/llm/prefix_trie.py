@@ -215,7 +215,7 @@ def block_nodes(rows: pa.Table, seg_turns: int) -> pa.RecordBatch:
         listed = ",".join(map(str, conv[i : last_equal[i] + 1].tolist())) if size[i] == d else ""
         ends, chunk = (None, listed) if pid else (hashlib.sha256(listed.encode()).hexdigest(), None)
         sums = (int(x[k]) for x in (members, children, leaves, saved, own_saved, own_leaf, point))
-        out.append((pid, up, path, block, int(conv[i]), int(seg[i]), int(seg[i]) * seg_turns + d, int(conv_min[k]), above, *sums, ends, chunk, keys[i] if d == 0 else None))
+        out.append((pid, up, path, block, int(conv[i]), int(seg[i]), int(seg[i]) * seg_turns + d, int(conv_min[k]), above, *sums, ends, chunk, keys[i] if d == 0 and seg[i] else None))
     schema = pa.schema([pa.field(c.split()[0], {"string": pa.string(), "long": pa.int64(), "array<string>": pa.list_(pa.string())}[c.split()[1]]) for c in PARTS.split(", ")])
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
@@ -265,8 +265,15 @@ def _nodes(rows: DataFrame, seg: int, block_bits: int) -> DataFrame:
     merged = merged.join(up, "pid").withColumns({"saved_tokens": F.col("saved_tokens") + F.col("_s"), "n_leaves": F.col("n_leaves") + F.col("_l"), "parent_conv_id": F.lit(None).cast("long")})
     keep = ["seg", "rep", "depth", "conv_id", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "own_saved", "own_leaf", "ends", "next_key", "ppid", "pid"]
     every = parts.where("pid is null or depth is null").select(*keep).unionByName(merged.select(*keep))
+    every = stored(every, "every")
     parents = merged.select(F.col("pid").alias("ppid"), F.col("conv_id").alias("_p"))
-    return every.join(parents, "ppid", "left").withColumn("parent_conv_id", F.coalesce("parent_conv_id", "_p")).drop("_p", "ppid")
+    return _filled(every, "ppid", parents).drop("ppid")
+
+
+def _filled(nodes: DataFrame, key: str, parents: DataFrame) -> DataFrame:
+    """nodes with the parents(key, _p) of those that have a key. Most have none, so those stay out of the join, where they would be one key."""
+    found = nodes.where(f"{key} is not null").join(parents, key, "left").withColumn("parent_conv_id", F.coalesce("parent_conv_id", "_p"))
+    return nodes.where(f"{key} is null").unionByName(found.select(*nodes.columns))
 
 
 def prefix_trie(conversations: DataFrame, seg: int = SEG, block_bits: int = BLOCK_BITS) -> DataFrame:
@@ -292,5 +299,5 @@ def prefix_trie(conversations: DataFrame, seg: int = SEG, block_bits: int = BLOC
     nodes = stored(_nodes(rows, seg, block_bits), "nodes")
     # The parent of a later segment's first node is the last but one of the segment before.
     bridges = nodes.where("depth is null").groupBy("next_key").agg(F.min("parent_conv_id").alias("_p"))
-    nodes = nodes.where("depth is not null").join(bridges, "next_key", "left")
-    return nodes.select("conv_id", "depth", F.coalesce("parent_conv_id", "_p").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens", F.col("ends").alias("ends_sha256"))
+    nodes = _filled(nodes.where("depth is not null"), "next_key", bridges)
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.col("ends").alias("ends_sha256"))
