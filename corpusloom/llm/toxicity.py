@@ -31,6 +31,9 @@ STEPS = 1200
 BATCH = 50
 #: A bucket that n texts of the sample have counts n / (n + RARE): rare ones weigh less, so that few are learnt by heart, and none goes.
 RARE = np.float32(5)
+#: Standard errors that a bucket's shares of the two classes' texts have to differ by to count at all. Without it, long texts
+#: drown what tells in neutral grams that were learnt by heart.
+CHANCE = 4.0
 
 
 def _grams(text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -102,10 +105,12 @@ def fit_features(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
     if len(set(labels.tolist())) < 2:
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
-    texts_with = np.zeros(1 << BITS, np.float32)
-    for ids, _ in rows:
-        texts_with[ids] += 1
-    trust = texts_with / (texts_with + RARE)
+    texts_with = np.zeros((2, 1 << BITS), np.float32)
+    for (ids, _), label in zip(rows, labels.tolist(), strict=True):
+        texts_with[label][ids] += 1
+    trust = _trust(texts_with, np.bincount(labels, minlength=2))
+    # What counts for nothing is left out of the steps.
+    rows = [(ids[own], weights[own]) for ids, weights in rows for own in [trust[ids] > 0]]
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
     w = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
@@ -141,6 +146,15 @@ def fit_features(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
     return Model((SCALE * trust * (e @ (w[:, 1] - w[:, 0]))).astype(np.float32), float(b[1] - b[0] + prior))
 
 
+def _trust(texts_with: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """What each bucket counts, 0 to 1, from how many texts of either class have it: the less, the better chance explains the difference."""
+    n = texts_with.sum(0)
+    p = n / texts.sum()
+    spread = np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / texts).sum())
+    z = np.abs(texts_with[0] / texts[0] - texts_with[1] / texts[1]) / spread
+    return (np.maximum(0, 1 - (CHANCE / np.maximum(z, 1e-9)) ** 2) * n / (n + RARE)).astype(np.float32)
+
+
 #: Means of many grams are small; the softmax sees them so many times larger.
 SCALE = np.float32(15)
 

@@ -541,9 +541,14 @@ def test_toxicity_learns_from_few_labels(spark):
     model = toxicity.fit(texts, np.array([int(k % 6 == 0) for k in range(66)]), 1 / 6)
     s = model.scores(pa.array([clean() + " idiotic scumbag", clean() + " idiotic scumbag", clean(), clean()]))
     assert s[:2].min() > 0.5 > s[2:].max()
-    sf = "/root/testdata/sf0.01"
+
+
+def test_toxicity_on_held_out_texts(spark):
+    """The folds of op10_toxicity at sf0.1: nine of ten toxic texts, long ones too, at two false alarms in a hundred at most."""
+    sf = "/root/testdata/sf0.1"
     rows = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("text is not null and toxic in (0, 1)").selectExpr("text", "toxic", "crc32(cast(string(doc_id) as binary)) % 5 = 0 held").orderBy("doc_id").toPandas()
     learnt, held = rows[~rows["held"]], rows[rows["held"]]
-    y = held["toxic"].to_numpy() == 1
+    y, long = held["toxic"].to_numpy() == 1, held["text"].str.len().to_numpy() > 3000
     hit = toxicity.fit(learnt["text"].tolist(), learnt["toxic"].to_numpy(np.int64), learnt["toxic"].mean()).scores(pa.array(held["text"].tolist())) >= 0.5
-    assert hit[y].sum() >= 1 and hit[~y].sum() <= 2, (hit[y].sum(), y.sum(), hit[~y].sum())
+    assert hit[y].mean() >= 0.9 and hit[~y].mean() <= 0.02, (hit[y].mean(), hit[~y].mean())
+    assert hit[y & long].mean() >= 0.8, hit[y & long].mean()
