@@ -84,9 +84,43 @@ def relative_module(parts: Column, level: Column, name: Column) -> Column:
 
 
 def arguments(text: Column) -> Column:
-    """Parts between commas outside quotes and brackets (one level of them), trimmed."""
-    found = F.regexp_extract_all(text, F.lit(r'(?:"[^"]*"|\([^)]*\)|\[[^\]]*\]|[^,])+'), F.lit(0))
-    return F.transform(found, lambda x: F.trim(x))
+    """Parts between commas outside quotes and brackets of any depth, trimmed; none of empty text.
+
+    One fold over the characters keeps the depth, the open quote and whether a backslash went before; a closing bracket too
+    many changes nothing. It notes where to cut, and parts are cut out at the end.
+    """
+    chars = F.split(text, "")
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit("").alias("quote"), F.lit(False).alias("escaped"), F.array(F.lit(0)).alias("cuts"))
+
+    def step(s: Column, c: Column) -> Column:
+        inside = s["quote"] != ""
+        quote = F.when(inside & (s["escaped"] | (c != s["quote"])), s["quote"]).when(~inside & c.isin("'", '"', "`"), c).otherwise("")
+        depth = F.when(inside, s["depth"]).when(c.isin("(", "[", "{"), s["depth"] + 1).when(c.isin(")", "]", "}"), F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"])
+        cut = ~inside & (c == ",") & (s["depth"] == 0)
+        at = s["at"] + 1
+        return F.struct(at.alias("at"), depth.alias("depth"), quote.alias("quote"), (inside & ~s["escaped"] & (c == "\\")).alias("escaped"), F.when(cut, F.concat(s["cuts"], F.array(at))).otherwise(s["cuts"]).alias("cuts"))
+
+    cuts = F.aggregate(chars, start, step)["cuts"]
+    whole = F.concat(cuts, F.array(F.char_length(text) + 1))
+    part = lambda at, k: F.regexp_replace(F.substr(text, at + 1, F.get(whole, k + 1) - at - 1), r"^\s+|\s+$", "")
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.transform(cuts, part))
+
+
+#: A quoted string of any of the three quotes, in which a backslash keeps the next character.
+QUOTED = r"""(['"`])(?:\\.|(?!\1).)*\1"""
+
+
+def body_end(lines: Column) -> Column:
+    """Number, from 1, of the line in which the braces that these lines open are closed again, quoted ones aside; the last one if they never are. Null for no lines."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("open"), F.lit(False).alias("begun"), F.lit(None).cast("int").alias("end"))
+
+    def step(s: Column, line: Column) -> Column:
+        bare = F.regexp_replace(line, QUOTED, "")
+        braces = lambda c: F.length(bare) - F.length(F.replace(bare, F.lit(c), F.lit("")))
+        now, begun, at = s["open"] + braces("{") - braces("}"), s["begun"] | F.contains(bare, F.lit("{")), s["at"] + 1
+        return F.struct(at.alias("at"), now.alias("open"), begun.alias("begun"), F.coalesce(s["end"], F.when(begun & (now <= 0), at)).alias("end"))
+
+    return F.when(F.size(lines) > 0, F.aggregate(lines, start, step, lambda s: F.coalesce(s["end"], s["at"])))
 
 
 def binomial(n: Column, k: Column) -> Column:
@@ -95,13 +129,6 @@ def binomial(n: Column, k: Column) -> Column:
     return F.aggregate(steps, F.lit(1.0), lambda s, i: s * (n - i + 1) / i)
 
 
-def redacted(json: Column, keys: list[str]) -> Column:
-    """JSON text in which the numbers and strings under these keys, at any depth, are blotted out."""
-    for k in keys:
-        json = F.regexp_replace(json, f'"{re.escape(k)}": *(?:[0-9.eE+-]+|"[^"]*")', f'"{k}": "redacted"')
-    return json
-
-
 def missing(checks: dict[str, Column]) -> Column:
     """Names of the checks that don't hold (null counts as not held), in the order given."""
     return F.array_compact(F.array(*(F.when(~F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in checks.items())))

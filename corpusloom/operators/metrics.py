@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.sources.tables import stored
+
 
 def confusion(df: DataFrame, by: list[str], expected: Column, predicted: Column, weight: Column | None = None) -> DataFrame:
     """tp, fp, fn, tn (weighted sums, if weights are given), precision, recall and F1."""
@@ -35,17 +41,68 @@ def cohen(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return observed.join(F.broadcast(both)).select("observed", (F.col("both") / (F.col("total") * F.col("total"))).alias("expected")).withColumn("kappa", F.expr("try_divide(observed - expected, 1 - expected)"))
 
 
-def bootstrap_rate(df: DataFrame, by: list[str], key: Column, value: Column, replicates: int) -> DataFrame:
-    """by, low, high: 95 % percentile interval of the mean of value, by a Poisson bootstrap seeded with key.
+#: A prime; draws are whole numbers below it.
+PRIME = 2_147_483_647
+#: Replicates drawn at once in a task, and patterns of votes beyond which bootstrap_kappa() refuses.
+AT_ONCE, PATTERNS = 500, 20_000
+
+
+def bootstrap_kappa(ratings: DataFrame, item: str, label: str, replicates: int = 5000, seed: int = 1) -> DataFrame:
+    """One row: items, kappa (Fleiss) and the 95 % percentile interval (low, high) of `replicates` resamples of the items.
 
-    A row counts 0 to 5 times in a replicate, by a hash of replicate and key, so that reruns agree.
+    Each resample draws as many items as there are, with putting back. Items matter only by how many raters gave which label,
+    and such patterns are few whatever the number of items (at most the ways to deal raters over labels), so a draw is a
+    pattern, found by where a hashed number falls among the patterns' cumulative counts. Tasks deal with ranges of draws and
+    send one row of sums a replicate: neither items nor rows are multiplied, and reruns agree. Replicates whose expected
+    agreement is 1 have no kappa. All items need the same number of raters, two or more, else an error. No ratings: nulls.
     """
-    reps = df.select(*by, value.alias("_v"), key.cast("string").alias("_key"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_rep"))
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("_rep").cast("string"), "_key")), 1, 8), 16, 10).cast("double") / 4294967296.0
-    w = sum(((F.col("_u") >= edge).cast("int") for edge in (0.36788, 0.73576, 0.9197, 0.98101, 0.99634)), F.lit(0))
-    reps = reps.withColumn("_u", u).withColumn("_w", w)
-    rates = reps.groupBy(*by, "_rep").agg((F.sum(F.col("_w") * F.col("_v")) / F.nullif(F.sum("_w"), F.lit(0))).alias("_rate"))
-    return rates.groupBy(*by).agg(F.percentile("_rate", 0.025).alias("low"), F.percentile("_rate", 0.975).alias("high"))
+    spark = ratings.sparkSession
+    votes = ratings.groupBy(item, label).agg(F.count("*").alias("_n")).groupBy(item).agg(F.array_sort(F.collect_list(F.struct(F.col(label).cast("string").alias("label"), F.col("_n").alias("n")))).alias("votes"))
+    counted = stored(votes.groupBy("votes").agg(F.count("*").alias("items")), "patterns")
+    if counted.count() > PATTERNS:
+        raise ValueError(f"more than {PATTERNS} patterns of votes")
+    patterns = sorted(((tuple((v["label"], v["n"]) for v in r.votes), r.items) for r in counted.collect()), key=lambda x: tuple((a is not None, a or "", n) for a, n in x[0]))
+    raters = {sum(n for _, n in p) for p, _ in patterns}
+    if len(raters) > 1 or raters & {0, 1}:
+        raise ValueError("all items need the same number of raters, two or more")
+    columns = "items long, kappa double, low double, high double"
+    if not patterns:
+        return spark.createDataFrame([(0, None, None, None)], columns)
+    r, labels = raters.pop(), sorted({a for p, _ in patterns for a, _ in p}, key=lambda a: (a is not None, a or ""))
+    bounds = np.cumsum([n for _, n in patterns])
+    total = int(bounds[-1])
+    agree = np.array([sum(n * (n - 1) for _, n in p) for p, _ in patterns], np.int64)
+    given = np.array([[dict(p).get(a, 0) for a in labels] for p, _ in patterns], np.int64)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((replicates, 1 + len(labels)), np.int64)
+        for batch in batches:
+            j = batch.column("id").to_numpy()
+            for piece in np.array_split(j, max(1, len(j) // 2000)):
+                for at in range(0, replicates, AT_ONCE):
+                    reps = np.arange(at, min(at + AT_ONCE, replicates))
+                    drawn = np.searchsorted(bounds, draws(reps[:, None], piece[None, :], total, seed), "right")
+                    hist = np.bincount((np.arange(len(reps))[:, None] * len(bounds) + drawn).ravel(), minlength=len(reps) * len(bounds)).reshape(len(reps), -1)
+                    sums[reps, 0] += hist @ agree
+                    sums[reps, 1:] += hist @ given
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates)), pa.array(sums[:, 0]), pa.array(list(sums[:, 1:]), pa.list_(pa.int64()))], ["rep", "agree", "given"])
+
+    parts = spark.range(total).mapInArrow(work, "rep long, agree long, given array<long>")
+    reps = parts.groupBy("rep").agg(F.sum("agree").alias("agree"), *(F.sum(F.get("given", F.lit(k))).alias(f"g{k}") for k in range(len(labels))))
+    own = spark.createDataFrame([(-1, int(sum(agree * [n for _, n in patterns])), *(int(x) for x in np.array([n for _, n in patterns]) @ given))], reps.schema)
+    observed = F.col("agree") / F.lit(float(total) * r * (r - 1))
+    expected = sum((F.pow(F.col(f"g{k}") / F.lit(float(total) * r), F.lit(2.0)) for k in range(len(labels))), F.lit(0.0))
+    kappas = reps.unionByName(own).select("rep", F.when(F.abs(expected - 1) > 1e-9, (observed - expected) / (1 - expected)).alias("k"))
+    drawn = F.when(F.col("rep") >= 0, F.col("k"))
+    return kappas.agg(F.lit(total).cast("long").alias("items"), F.max(F.when(F.col("rep") < 0, F.col("k"))).alias("kappa"), F.percentile(drawn, 0.025).alias("low"), F.percentile(drawn, 0.975).alias("high"))
+
+
+def draws(rep: np.ndarray, j: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Numbers from 0 to n - 1 that rep, j and seed decide: two squarings modulo a prime."""
+    a = (j % PRIME * 16_807 + rep * 48_271 + seed) % PRIME
+    a = (a * a + 7 * a + 3) % PRIME
+    a = (a * a + 11 * a + 5) % PRIME
+    return a * n // PRIME
 
 
 def mcnemar_p(only_first: Column, only_second: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.sources.readers import lines, stripped
@@ -39,6 +39,41 @@ def matches(files: DataFrame, key: str, rules: list[Rule], suffix: str | None =
     return kept.withColumn("hit", F.explode(F.array_compact(F.array(*hit)))).select(key, "line_no", "line", "hit.*")
 
 
+#: Lines up to which a hit looks back for the declaration it stands in, and lines after a decorator in which it looks for what is decorated.
+LOOK_BACK, LOOK_AHEAD = 30, 8
+
+
+def with_symbols(hits: DataFrame, files: DataFrame, key: str, declarations: list[str], decorator: str = "@") -> DataFrame:
+    """hits of matches() with `symbol`: the name in the nearest line, from the hit's own at most LOOK_BACK up, that declares one.
+
+    declarations are regexes whose first group is the name; the first that a line meets counts. A hit in a line that begins
+    with the decorator takes the first name declared in the LOOK_AHEAD lines after it, if there is one. Else symbol is null.
+    Declarations and hits meet in one window a block of lines: both lie in blocks of LOOK_BACK + LOOK_AHEAD lines, and a
+    declaration is copied to the neighbours from which it can be seen, so that a long file is no single task.
+    """
+    span = LOOK_BACK + LOOK_AHEAD
+    name = F.coalesce(*(F.nullif(F.regexp_extract("line", p, 1), F.lit("")) for p in declarations))
+    some = F.col("line").rlike("|".join(f"(?:{p})" for p in declarations))
+    block = lambda at: F.floor((at - 1) / span)
+    declared = lines(files.join(hits.select(key).distinct(), key, "left_semi"), key).where(some).select(key, "line_no", name.alias("_name")).where("_name is not null")
+    declared = declared.withColumn("_block", F.explode(F.array_distinct(F.array(block(F.col("line_no")), block(F.col("line_no") + LOOK_BACK), block(F.greatest(F.col("line_no") - LOOK_AHEAD, F.lit(1)))))))
+    own = hits.select(key, "line_no", F.startswith(F.regexp_replace("line", r"^\s+", ""), F.lit(decorator)).alias("_decorated")).distinct().withColumn("_block", block(F.col("line_no")))
+    both = declared.select(key, "_block", "line_no", "_name", F.lit(False).alias("_decorated"), F.lit(0).alias("_hit"))
+    both = both.unionByName(own.select(key, "_block", "line_no", F.lit(None).cast("string").alias("_name"), "_decorated", F.lit(1).alias("_hit")))
+    by = Window.partitionBy(key, "_block").orderBy("line_no")
+    found = F.struct("line_no", "_name")
+    up = F.max(F.when(F.col("_name").isNotNull(), found)).over(by.rangeBetween(-LOOK_BACK, 0))["_name"]
+    down = F.min(F.when(F.col("_name").isNotNull(), found)).over(by.rangeBetween(1, LOOK_AHEAD))["_name"]
+    named = both.withColumn("symbol", F.when(F.col("_decorated"), F.coalesce(down, up)).otherwise(up)).where("_hit = 1").select(key, "line_no", "symbol")
+    return hits.join(named, [key, "line_no"])
+
+
+def evidence(hits: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """(key, by, evidence_lines, evidence_hashes): the first EVIDENCE_LINES lines of each finding, in order, and their hashes."""
+    pairs = F.slice(F.array_sort(F.collect_set(F.struct("line_no", F.sha2(stripped("line"), 256).alias("hash")))), 1, EVIDENCE_LINES)
+    return hits.groupBy(key, *by).agg(pairs.alias("_e")).select(key, *by, F.col("_e.line_no").alias("evidence_lines"), F.col("_e.hash").alias("evidence_hashes"))
+
+
 def identity(prefix: str, digits: int, *parts: Column) -> Column:
     return F.concat(F.lit(prefix), F.upper(F.substring(F.sha2(F.concat_ws("\0", *parts), 256), 1, digits)))
 

@@ -149,17 +149,6 @@ def b29_excluded_ids(spark: SparkSession, sf: str) -> DataFrame:
 # Joins
 
 
-@query("""with b(lo, hi, band) as (values (0, 500000, 'all'), (0, 100000, 'low'), (50000, 150000, 'middle'), (120000, 300000, 'high'))
-select o_orderkey, arg_min(band, (hi - lo, band)) band from orders join b on o_totalprice >= lo and o_totalprice < hi group by 1""")
-def c05_smallest_enclosing(spark: SparkSession, sf: str) -> DataFrame:
-    """The narrowest of the bands that hold a price; the few bands are one literal array, so no rows are multiplied."""
-    bands = [(0, 500_000, "all"), (0, 100_000, "low"), (50_000, 150_000, "middle"), (120_000, 300_000, "high")]
-    price = F.col("o_totalprice")
-    fits = [F.when((price >= lo) & (price < hi), F.struct(F.lit(hi - lo).alias("width"), F.lit(name).alias("band"))) for lo, hi, name in bands]
-    x = table(spark, sf, "orders").select("o_orderkey", F.array_min(F.array_compact(F.array(*fits)))["band"].alias("band"))
-    return x.where("band is not null")
-
-
 @query("""with d as (select user_id, min(event_id) filter (event_type = 'signup') own, min(event_id) filter (event_type = 'view') imported, min(event_id) filter (event_type = 'click') alias_ from events group by 1),
 p as (select event_id, user_id from events where event_type = 'purchase')
 select event_id, callee from (select p.event_id, own callee from p join d using (user_id) union select p.event_id, imported from p join d using (user_id) union select p.event_id, alias_ from p join d using (user_id)) where callee is not null and callee < event_id""")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import graph, metrics, policy, scan, windows
-from corpusloom.plans import audits, evidence, interchange, reports, review  # noqa: F401  (register their queries)
+from corpusloom.operators import graph, metrics, ordering, policy, scan, verification, windows
+from corpusloom.plans import audits, evidence, interchange, reports, review, structure  # noqa: F401  (register their queries)
 from corpusloom.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from corpusloom.sources.readers import table
 from corpusloom.sources.tables import stored
@@ -56,6 +56,50 @@ def h03_finding_ids(spark: SparkSession, sf: str) -> DataFrame:
     return _found(spark, sf)
 
 
+#: A line that opens with a capital letter declares its first word, in prose; a dash, what follows it.
+_DECLARED = ["^([A-Z][a-z]+) ", "^- ([a-z]+)"]
+
+
+@query(_HITS + """,
+dec as (select doc_id, line_no, coalesce(nullif(regexp_extract(line, '^([A-Z][a-z]+) ', 1), ''), nullif(regexp_extract(line, '^- ([a-z]+)', 1), '')) nm from l),
+up as (select h.doc_id, h.line_no, arg_max(nm, dec.line_no) s from (select distinct doc_id, line_no from h) h join dec on dec.doc_id = h.doc_id and dec.line_no between h.line_no - 30 and h.line_no where nm is not null group by all),
+down as (select h.doc_id, h.line_no, arg_min(nm, dec.line_no) s from (select distinct doc_id, line_no, line from h) h join dec on dec.doc_id = h.doc_id and dec.line_no between h.line_no + 1 and h.line_no + 8 where nm is not null and regexp_replace(line, '^\\s+', '') like '@%' group by all),
+x as (select h.*, coalesce(down.s, up.s, '<module>') symbol from h left join up using (doc_id, line_no) left join down using (doc_id, line_no)),
+g as (select doc_id, category, symbol, list_sort(list(distinct line_no)) ls, list_sort(list_transform(list_sort(list(distinct {'n': line_no, 'h': sha256(regexp_replace(regexp_replace(line, '^\\s+', ''), '\\s+$', ''))}))[1:50], lambda x: x.h)) hs, list_sort(list(distinct detector)) d, max(confidence = 'high') high from x group by all)
+select doc_id, category, symbol, ls[1] line_start, ls[-1] line_end, len(ls)::int match_count, array_to_string(d, ';') detectors, case when high then 'high' else 'medium' end confidence,
+ 'F-' || upper(sha256(concat_ws(chr(0), doc_id::varchar, category, symbol, ls[1]::varchar, array_to_string(d, ';')))[1:16]) finding_id,
+ 'FP-' || upper(sha256(concat_ws(chr(0), doc_id::varchar, category, symbol, array_to_string(d, ';'), array_to_string(hs, ';')))[1:24]) fingerprint from g""")
+def d01_symbol_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings by document, category and the symbol they stand in, with their identities."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    hits = scan.with_symbols(stored(_hits(spark, sf), "hits"), docs, "doc_id", _DECLARED)
+    return scan.findings(hits, "doc_id", "symbol").drop("evidence_lines")
+
+
+_REVISED = """d2 as (select doc_id, lang, case lang when 'fr' then replace(text, '@', ' at ') when 'es' then substr(text, 1, 200) else text end text from documents where doc_id in (select doc_id from labels) or lang <> 'de'),
+p2 as (select doc_id, regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]') a from d2),
+l2 as (select doc_id, unnest(case when a[-1] = '' then a[:-2] else a end) line2, generate_subscripts(case when a[-1] = '' then a[:-2] else a end, 1)::int line_no from p2)"""
+
+
+@query(_FOUND + ", " + _REVISED + """,
+ev as (select distinct doc_id, category, line_no, line from h), nth as (select doc_id, category, line_no, line, row_number() over (partition by doc_id, category order by line_no) r from ev),
+w as (select f.finding_id, nth.line_no, case when nth.doc_id not in (select doc_id from d2) then 'file not found' when l2.line2 is null then 'line missing' when sha256(regexp_replace(regexp_replace(line, '^\\s+', ''), '\\s+$', '')) <> sha256(regexp_replace(regexp_replace(line2, '^\\s+', ''), '\\s+$', '')) then 'hash differs' end error
+ from nth join f using (doc_id, category) left join l2 on l2.doc_id = nth.doc_id and l2.line_no = nth.line_no where r <= 50),
+m as (select f.finding_id, null::int line_no, case when q.doc_id is null then 'outside manifest' when f.category = 'license_text' and q.quality = 0 then 'other version' end error from f left join labels q using (doc_id))
+select finding_id, error, line_no from w where error is not null union all select finding_id, error, line_no from m where error is not null""")
+def k06_finding_verification(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored findings against a manifest (the labels) and a revised read of the documents: what no longer holds, finding by finding."""
+    hits = stored(_hits(spark, sf), "hits")
+    found = scan.findings(hits, "doc_id").join(scan.evidence(hits, "doc_id", ["category"]).withColumnRenamed("evidence_lines", "lines"), ["doc_id", "category"])
+    labels = table(spark, sf, "labels").select("doc_id", "quality")
+    version = F.when(F.col("category") == "license_text", F.lit(1)).otherwise(F.coalesce("quality", F.lit(1)))
+    saved = found.join(labels, "doc_id", "left").select("finding_id", F.col("doc_id").alias("repo"), version.alias("version"), F.col("doc_id").alias("file"), F.col("lines").alias("evidence_lines"), "evidence_hashes")
+    manifest = labels.select(F.col("doc_id").alias("repo"), F.col("quality").alias("version"))
+    docs = table(spark, sf, "documents").join(labels.select("doc_id", F.lit(True).alias("known")), "doc_id", "left").where("known or lang <> 'de'")
+    text = F.when(F.col("lang") == "fr", F.replace("text", F.lit("@"), F.lit(" at "))).when(F.col("lang") == "es", F.substring("text", 1, 200)).otherwise(F.col("text"))
+    return verification.verified_findings(stored(saved, "findings"), manifest, docs.select(F.col("doc_id").alias("repo"), F.col("doc_id").alias("file"), text.alias("text")))
+
+
 @query(_FOUND + "select category, confidence, count(*) n, sum(match_count)::bigint lines from f group by all")
 def d03_category_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _found(spark, sf).groupBy("category", "confidence").agg(F.count("*").alias("n"), F.sum("match_count").alias("lines"))
@@ -156,7 +200,7 @@ def b05_applicability(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select l_returnflag, quantile_cont(l_extendedprice, 0.9) p90, quantile_disc(l_extendedprice, 0.95) p95_rank from lineitem group by 1")
 def d26_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.percentile("l_extendedprice", 0.9).alias("p90"), F.expr("percentile_disc(0.95) within group (order by l_extendedprice)").alias("p95_rank"))
+    return ordering.percentiles(table(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice"), ["l_returnflag"], "l_extendedprice", {"p90": ("linear", 0.9), "p95_rank": ("rank", 0.95)})
 
 
 @query("select c_mktsegment, n_name, grouping_id(c_mktsegment, n_name)::bigint level, count(*) n, round(100.0 * sum((c_acctbal < 0)::int) / count(*), 6) negative_percent from customer join nation on c_nationkey = n_nationkey group by grouping sets ((), (c_mktsegment), (n_name))")

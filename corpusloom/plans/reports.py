@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import json as fj
 from corpusloom.functions import text as fn
 from corpusloom.operators import graph, joins, metrics
 from corpusloom.plans.audits import _HALVES, _SIGNALS, _halves, _signals
@@ -34,18 +35,24 @@ def d14_provisional(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_REPLICATES = 200
+_REPLICATES = 5000
 
 
-@query(f"""with x as (select doc_id, lang, quality from documents join labels using (doc_id)), r as (select unnest(range(1, {_REPLICATES + 1})) rep),
-u as (select lang, rep, quality, ('0x' || substr(md5(rep || '|' || doc_id), 1, 8))::bigint / 4294967296.0 u from x, r),
-w as (select lang, rep, quality, (u >= 0.36788)::int + (u >= 0.73576)::int + (u >= 0.9197)::int + (u >= 0.98101)::int + (u >= 0.99634)::int w from u),
-m as (select lang, rep, sum(w * quality) / nullif(sum(w), 0)::double rate from w group by all)
-select lang, round(quantile_cont(rate, 0.025), 6) low, round(quantile_cont(rate, 0.975), 6) high from m group by 1""")
+@query(f"""with v as (select doc_id, unnest([lang = 'en', n_chars > 1500, contains(text, '.'), contains(text, '!'), doc_id is not null]) label from documents),
+n as (select doc_id, count(*) filter (label) yes, count(*) filter (not label) no from v group by 1), p as (select yes, no, count(*) items from n group by all),
+o as (select *, sum(items) over (order by case when no > 0 then 0 else 1 end, case when no > 0 then no else yes end) upto from p), b as (select *, upto - items since, (select sum(items) from p) total from o),
+d as (select rep, j, (((j % 2147483647) * 16807 + rep * 48271 + 1) % 2147483647)::bigint a from (select unnest(range({_REPLICATES})) rep), (select unnest(range((select sum(items)::bigint from p))) j)),
+e as (select rep, (a * a + 7 * a + 3) % 2147483647 a from d), f as (select rep, (a * a + 11 * a + 5) % 2147483647 a from e),
+h as (select rep, a * (select sum(items)::bigint from p) // 2147483647 spot from f),
+s as (select rep, sum(yes * (yes - 1) + no * (no - 1)) agree, sum(yes) y, sum(no) z, max(total) total from h join b on spot >= since and spot < upto group by 1 union all select -1, sum(items * (yes * (yes - 1) + no * (no - 1))), sum(items * yes), sum(items * no), max(total) from b),
+k as (select rep, total, agree / (total * 20.0) o, pow(y / (total * 5.0), 2) + pow(z / (total * 5.0), 2) x from s), q as (select rep, total, case when abs(x - 1) > 1e-9 then (o - x) / (1 - x) end k from k)
+select max(total)::bigint items, round(max(k) filter (rep = -1), 6) kappa, round(quantile_cont(k, 0.025) filter (rep >= 0), 6) low, round(quantile_cont(k, 0.975) filter (rep >= 0), 6) high from q""")
 def d21_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    """Percentile interval of a rate. How often a replicate draws a row follows from a hash, so rows stay where they are and each task sends one sum a replicate."""
-    x = table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels"), "doc_id")
-    return metrics.bootstrap_rate(x, ["lang"], F.col("doc_id"), F.col("quality"), _REPLICATES).select("lang", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    """Kappa of five raters (predicates over documents) and its interval from 5000 resamples."""
+    d = table(spark, sf, "documents")
+    labels = F.array(F.col("lang") == "en", F.col("n_chars") > 1500, F.contains("text", F.lit(".")), F.contains("text", F.lit("!")), F.col("doc_id").isNotNull())
+    votes = d.select("doc_id", F.explode(labels).alias("label"))
+    return metrics.bootstrap_kappa(votes, "doc_id", "label", _REPLICATES).select("items", *(F.round(c, 6).alias(c) for c in ("kappa", "low", "high")))
 
 
 @query("""with s as (select event_type, count(*) n, count(distinct user_id) users, sum(value) secs from events where event_type in ('click', 'view', 'purchase') group by 1)
@@ -140,7 +147,7 @@ def e13_topological_rank(spark: SparkSession, sf: str) -> DataFrame:
     """The longest way from a root to each node of a graph without cycles."""
     c = table(spark, sf, "customer").select("c_custkey").where("c_custkey > 0")
     edges = c.select(F.floor(F.col("c_custkey") / 3).alias("src"), F.col("c_custkey").alias("dst")).unionByName(c.select(F.floor(F.col("c_custkey") / 5).alias("src"), F.col("c_custkey").alias("dst"))).distinct()
-    return graph.longest_ranks(edges, 24).where("not cyclic").select("node", "rank")
+    return graph.peeled_ranks(edges).where("not cyclic").select("node", F.col("rank").cast("int").alias("rank"))
 
 
 @query("select l_orderkey, l_linenumber, l_partkey, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) place from lineitem")
@@ -271,13 +278,13 @@ def h27_packed_counts(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("source", packed.alias("packed")).select("source", "packed", F.isnull(F.try_element_at(back, F.lit("en"))).alias("no_english"), F.coalesce(F.try_element_at(back, F.lit("de")).cast("long"), F.lit(0)).alias("german"))
 
 
-@query("""select event_id, (json_extract_string(props, '$.' || coalesce(list_filter(json_keys(props), lambda k: contains(k, 'line'))[1], list_filter(json_keys(props), lambda k: contains(k, 'k'))[1])))::bigint line, regexp_replace(props, '"k": *[0-9]+', '"k": "redacted"', 'g') shown from events""")
+@query("""select event_id, (json_extract_string(props, '$.' || coalesce(list_filter(json_keys(props), lambda k: contains(k, 'line'))[1], list_filter(json_keys(props), lambda k: contains(k, 'k'))[1])))::bigint line, '{"k":{"redacted":true,"sha256":"' || sha256((props->>'k')) || '"}}' shown from events""")
 def h30_key_priority(spark: SparkSession, sf: str) -> DataFrame:
     """The value under the first key with the best token, and the record with its values blotted out."""
     m = F.from_json("props", "map<string,string>")
     has = lambda token: F.get(F.filter(F.map_keys(m), lambda k: F.contains(k, F.lit(token))), 0)
     x = table(spark, sf, "events").select("event_id", "props", m.alias("m"), F.coalesce(has("line"), has("k")).alias("key"))
-    return x.select("event_id", F.try_element_at("m", F.col("key")).cast("long").alias("line"), fn.redacted(F.col("props"), ["k"]).alias("shown"))
+    return x.select("event_id", F.try_element_at("m", F.col("key")).cast("long").alias("line"), fj.redacted_json(F.col("props"), ["k"]).alias("shown"))
 
 
 def _penalty(name: Column, words: list[str], each: int) -> Column:
