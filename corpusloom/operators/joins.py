@@ -55,3 +55,16 @@ def numbered(df: DataFrame, bucket: Column, order: list[str], name: str) -> Data
     before = per.withColumn("_before", F.sum("_n").over(Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).drop("_n")
     own = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
     return x.withColumn("_own", own).join(before, F.col("_bucket").eqNullSafe(F.col("_of"))).withColumn(name, F.col("_before") + F.col("_own")).drop("_bucket", "_of", "_before", "_own")
+
+
+def total_join(left: DataFrame, right: DataFrame, keys: list[str], what: str) -> DataFrame:
+    """left with right's columns, where each row has to find exactly one partner: none, or a key that right holds twice, is an error that names the key.
+
+    The error is raised by the task that meets it. Null keys find no partner.
+    """
+    once = right.groupBy(*keys).agg(F.count("*").alias("_times"), F.first(F.struct(*[c for c in right.columns if c not in keys])).alias("_right"))
+    x = left.join(once, keys, "left")
+    key = F.concat_ws(", ", *(F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys))
+    wrong = F.when(F.col("_times").isNull(), F.lit("no partner in ")).when(F.col("_times") > 1, F.lit("several partners in "))
+    checked = F.when(wrong.isNotNull(), F.raise_error(F.concat(wrong, F.lit(f"{what} for "), key)).cast(once.schema["_right"].dataType)).otherwise(F.col("_right"))
+    return x.withColumn("_right", checked).select(*left.columns, "_right.*")

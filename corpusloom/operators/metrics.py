@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -105,13 +106,30 @@ def draws(rep: np.ndarray, j: np.ndarray, n: int, seed: int) -> np.ndarray:
     return a * n // PRIME
 
 
+def _log_factorial(x: Column) -> Column:
+    d = x.cast("double")
+    series = (d + 0.5) * F.log(d) - d + 0.5 * math.log(2 * math.pi) + 1 / (12 * d) - 1 / (360 * d * d * d) + 1 / (1260 * d * d * d * d * d)
+    table = F.array(*(F.lit(math.lgamma(k + 1)) for k in range(17)))
+    return F.when(x <= 16, F.get(table, x.cast("int"))).otherwise(series)
+
+
 def mcnemar_p(only_first: Column, only_second: Column) -> Column:
-    """Exact two-sided p of discordant counts: twice the binomial tail at one half, 1 at most. Terms are kept as logarithms, so that large counts don't overflow."""
-    n, k = only_first + only_second, F.least(only_first, only_second)
-    start = F.struct(F.lit(0.0).alias("log"), F.exp(-n * F.log(F.lit(2.0))).alias("sum"))
-    step = lambda s, i: F.struct((s["log"] + F.log((n - i + 1) / i)).alias("log"), (s["sum"] + F.exp(s["log"] + F.log((n - i + 1) / i) - n * F.log(F.lit(2.0)))).alias("sum"))
-    steps = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
-    return F.least(F.lit(1.0), 2 * F.aggregate(steps, start, step, lambda s: s["sum"]))
+    """Exact two-sided p of discordant counts: twice the binomial tail at one half, 1 at most.
+
+    The tail is summed from its largest term down, each as a ratio of the one before. Terms more than 40 standard deviations
+    below can't change a double, so the steps grow with the root of the counts; large counts don't overflow.
+    """
+    n, k = (only_first + only_second).cast("long"), F.least(only_first, only_second).cast("long")
+    top = _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k) - n * math.log(2.0)
+    far = F.least(k, F.ceil(20 * F.sqrt(n.cast("double"))) + 50)
+    steps = F.when(far > 0, F.sequence(F.lit(0).cast("long"), far - 1)).otherwise(F.array().cast("array<bigint>"))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def step(s: Column, i: Column) -> Column:
+        term = s["term"] * ((k - i) / (n - k + i + 1))
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+    return F.least(F.lit(1.0), 2 * F.exp(top) * F.aggregate(steps, start, step, lambda s: s["sum"]))
 
 
 def plurality(votes: DataFrame, item: str, label: str) -> DataFrame:

@@ -122,34 +122,11 @@ def d10_cross_tab(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "labels").join(d, "doc_id").groupBy("lang", "quality", "toxic").agg(F.count("*").alias("n"))
 
 
-_SIDES = "a as (select distinct user_id, event_type from events where ts < timestamp '2024-01-04'), b as (select distinct user_id, event_type from events where ts >= timestamp '2024-01-04' and ts < timestamp '2024-01-08')"
-
-
-def _sides(spark: SparkSession, sf: str) -> DataFrame:
-    """(user_id, event_type) with whether it was seen in the first days and in the next ones, by one aggregation instead of an outer join."""
-    e = table(spark, sf, "events").where("ts < timestamp_ntz '2024-01-08'")
-    early = F.col("ts") < F.expr("timestamp_ntz '2024-01-04'")
-    return e.groupBy("user_id", "event_type").agg(F.bool_or(early).alias("a"), F.bool_or(~early).alias("b"))
-
-
-@query(f"""with {_SIDES}, c as (select count(*) filter (a.user_id is not null and b.user_id is not null) tp, count(*) filter (a.user_id is null) fp, count(*) filter (b.user_id is null) fn from a full join b on a.user_id = b.user_id and a.event_type = b.event_type)
-select tp, fp, fn, round(tp / nullif(tp + fp, 0), 6) "precision", round(tp / nullif(tp + fn, 0), 6) recall from c""")
-def d15_relation_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    c = _sides(spark, sf).agg(F.count_if(F.expr("a and b")).alias("tp"), F.count_if(F.expr("b and not a")).alias("fp"), F.count_if(F.expr("a and not b")).alias("fn"))
-    return c.select("*", F.expr("round(try_divide(tp, tp + fp), 6)").alias("precision"), F.expr("round(try_divide(tp, tp + fn), 6)").alias("recall"))
-
-
-@query(f"""with {_SIDES} select coalesce(a.event_type, b.event_type) event_type, count(*) filter (a.user_id is not null and b.user_id is not null) retained, count(*) filter (b.user_id is null) removed, count(*) filter (a.user_id is null) added
-from a full join b on a.user_id = b.user_id and a.event_type = b.event_type group by 1""")
-def d33_version_delta(spark: SparkSession, sf: str) -> DataFrame:
-    return _sides(spark, sf).groupBy("event_type").agg(F.count_if(F.expr("a and b")).alias("retained"), F.count_if(F.expr("a and not b")).alias("removed"), F.count_if(F.expr("b and not a")).alias("added"))
-
-
 _HALVES = "a as (select distinct user_id, event_type from events where ts < timestamp '2024-01-16'), b as (select distinct user_id, event_type from events where ts >= timestamp '2024-01-16')"
 
 
 def _halves(spark: SparkSession, sf: str) -> DataFrame:
-    """Like _sides, but the two versions together have all events with a time."""
+    """(user_id, event_type) with whether it was seen in the first half and in the second one, which together have all events with a time; one aggregation instead of an outer join."""
     early = F.col("ts") < F.expr("timestamp_ntz '2024-01-16'")
     return table(spark, sf, "events").where("ts is not null").groupBy("user_id", "event_type").agg(F.bool_or(early).alias("a"), F.bool_or(~early).alias("b"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import json as fj
 from corpusloom.functions import text as fn
-from corpusloom.operators import graph, joins, metrics
+from corpusloom.operators import graph, joins, metrics, ordering
 from corpusloom.plans.audits import _HALVES, _SIGNALS, _halves, _signals
 from corpusloom.plans.registry import query
 from corpusloom.sources.readers import table
@@ -114,14 +114,19 @@ def d43_provider_consistency(spark: SparkSession, sf: str) -> DataFrame:
     return g.withColumn("consistent", F.col("upstreams") <= 1)
 
 
-@query("""with p as (select source, doc_id // 1000 part, sha256(string_agg(sha256(text), '' order by doc_id)) h from documents where text is not null group by all)
-select source, sha256(string_agg(h, '' order by part)) content from p group by 1""")
+@query("""with a as (select source, sha256(text) h, row_number() over (partition by source order by doc_id) - 1 i from documents where text is not null),
+b as (select source, i // 256 i, sha256(string_agg(h, '' order by i)) h from a group by source, i // 256), c as (select source, i // 256 i, sha256(string_agg(h, '' order by i)) h from b group by source, i // 256)
+select source, sha256(string_agg(h, '' order by i)) content from c group by 1""")
 def d47_content_hash(spark: SparkSession, sf: str) -> DataFrame:
-    """A hash of all texts of a source in their order: first of each thousand ids, then of those hashes, so that no group grows with a hot source's texts."""
-    joined = lambda order, h: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, h))), lambda x: x[h]), ""), 256)
-    d = table(spark, sf, "documents").where("text is not null").select("source", F.floor(F.col("doc_id") / 1000).alias("part"), "doc_id", F.sha2("text", 256).alias("h"))
-    p = d.groupBy("source", "part").agg(joined("doc_id", "h").alias("h"))
-    return p.groupBy("source").agg(joined("part", "h").alias("content"))
+    """A hash of all texts of a source in their order: of each 256 texts, then of each 256 of those hashes, and once more of what is left, so that no group holds more, up to 16 million texts a source; beyond, another level has to be added to the SQL as well."""
+    d = table(spark, sf, "documents").where("text is not null").select("source", "doc_id", F.sha2("text", 256).alias("h"))
+    placed = ordering.running(d, ["source", "doc_id"])
+    first = placed.groupBy("source").agg(F.min("place").alias("first"))
+    x = placed.alias("p").join(first.alias("f"), F.col("p.source").eqNullSafe(F.col("f.source"))).select("p.source", (F.col("place") - F.col("first")).alias("i"), "h")
+    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda e: e["h"]), ""), 256)
+    for _ in range(2):
+        x = x.groupBy("source", F.expr("i div 256").alias("j")).agg(joined.alias("h")).withColumnRenamed("j", "i")
+    return x.groupBy("source").agg(joined.alias("content"))
 
 
 # Ordered work
@@ -182,10 +187,11 @@ def f07_upgrade_queue(spark: SparkSession, sf: str) -> DataFrame:
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_custkey", "o_orderkey"))).drop("o_totalprice")  # the 100 rows
 
 
-@query("select p_partkey, row_number() over (order by lower(p_name), p_partkey) place from part")
+@query("select p_partkey, row_number() over (order by lower(upper(p_name)), p_partkey) place from part")
 def f10_casefold_order(spark: SparkSession, sf: str) -> DataFrame:
-    x = table(spark, sf, "part").select("p_partkey", F.lower("p_name").alias("folded"))
-    return joins.numbered(x, F.substring("folded", 1, 3), ["folded", "p_partkey"], "place").drop("folded")
+    """Names without regard to case; upper, then lower case folds letters like a sharp s, too. Places come from range-partitioned tasks."""
+    x = table(spark, sf, "part").select("p_partkey", F.lower(F.upper("p_name")).alias("folded"))
+    return ordering.running(x, ["folded", "p_partkey"]).select("p_partkey", (F.col("place") + 1).alias("place"))
 
 
 @query("select event_id, row_number() over (order by event_type, user_id, event_id) place from events")

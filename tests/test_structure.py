@@ -251,3 +251,46 @@ def test_listing_opens_no_file(tmp_path, monkeypatch):
     only = file_tree._Reader({"path": str(tmp_path), "suffixes": ".py", "prune": "skip"})
     assert list(only.pushFilters([EqualTo(("status",), "suffix")])) == []
     assert [r[0] for p in only.partitions() for r in p.rows] == ["c.txt"]
+
+
+def test_total_join(spark):
+    from corpusloom.operators import joins
+
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "k int, x string")
+    right = spark.createDataFrame([(1, 10), (2, 20), (3, 30), (3, 31)], "k int, y int")
+    assert sorted(map(tuple, joins.total_join(left, right, ["k"], "cases").collect())) == [(1, "a", 10), (2, "b", 20), (2, "c", 20)]
+    for k, said in ((3, "several partners in cases for 3"), (9, "no partner in cases for 9"), (None, "no partner in cases for null")):
+        with pytest.raises(Exception, match=said):
+            joins.total_join(left.unionByName(spark.createDataFrame([(k, "z")], left.schema)), right, ["k"], "cases").collect()
+
+
+def test_graph_report(spark):
+    graphs = spark.createDataFrame([("good", "c1", True, False), ("bad", "c2", None, True), ("bad", "c3", True, False), ("same", "c1", True, None)], "graph_id string, candidate_id string, verified boolean, forbidden boolean")
+    nodes = [("good", 1, "source"), ("good", 2, "sink"), ("bad", 1, "source"), ("bad", 1, "step"), ("same", 1, "sink"), ("same", 2, "source"), ("same", 3, None)]
+    edges = [("good", 1, 2), ("bad", 1, 7), ("bad", 8, 9), ("bad", 1, 7), ("same", 1, 2)]
+    view = [("good", 1), ("good", 2), ("bad", 1), ("bad", 5), ("same", 1), ("same", 2)]
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    errors, types = verification.graph_report(graphs, make(nodes, "graph_id string, node_id int, type string"), make(edges, "graph_id string, src int, dst int"), make(view, "graph_id string, node_id int"), ["source", "sink"])
+    assert sorted(map(str, map(tuple, errors.collect()))) == sorted(map(str, [
+        ("bad", "duplicate_graph_id", None, 1), ("good", "duplicate_candidate_id", None, 1), ("same", "duplicate_candidate_id", None, 1), ("bad", "evidence_hash_not_verified", None, 1), ("bad", "forbidden_input_or_execution", None, 1),
+        ("bad", "duplicate_node_id", None, 1), ("bad", "missing_required_node_types", "sink", 1), ("bad", "dangling_edge", None, 3), ("bad", "incomplete_view", None, 1), ("same", "incomplete_view", None, 1),
+    ]))
+    assert {r.type: r.graphs for r in types.collect()} == {"source": 3, "sink": 2, "step": 1}
+
+
+def test_sample_report(spark):
+    population = spark.createDataFrame([(k, "a" if k < 6 else "b" if k < 9 else None) for k in range(10)], "k long, s string")
+    good = [(0, "a", 3.0), (1, "a", 3.0), (6, "b", 1.5), (7, "b", 1.5), (9, None, 1.0)]
+    report = lambda rows: {r.rule: r.violations for r in verification.sample_report(spark.createDataFrame(rows, "k long, s string, weight double"), population, ["s"], "k", 2).collect()}
+    assert set(report(good).values()) == {0}
+    assert report([*good, good[0]])["repeated"] == 1 and report([*good, (77, "a", 2.0)]) == {"repeated": 0, "outside": 1, "quota": 1, "uncovered": 0, "weight": 2}
+    assert report(good[:4]) == {"repeated": 0, "outside": 0, "quota": 0, "uncovered": 1, "weight": 0} and report([(0, "a", None), *good[1:]])["weight"] == 1
+
+
+def test_mcnemar_of_large_counts(spark):
+    """Against sums of all terms where those can be made, and the normal tail beyond; no array grows with the counts."""
+    pairs = [(50_000, 50_000), (49_000, 51_000), (5_000_000, 5_010_000), (10**9, 10**9 + 60_000), (1, 10**7)]
+    got = [r.p for r in spark.createDataFrame(pairs, "a long, b long").select(metrics.mcnemar_p(F.col("a"), F.col("b")).alias("p")).collect()]
+    for p, (a, b) in zip(got, pairs, strict=True):
+        z = (abs(a - b) - 1) / math.sqrt(a + b)
+        assert p == pytest.approx(min(1, math.erfc(z / math.sqrt(2))), rel=2e-2, abs=1e-12), (a, b)
