@@ -2,9 +2,11 @@
 
 Explicit rules label part of the URLs; FP-growth mines token combinations that go with a label;
 rules pruned by support, confidence and redundancy judge the rest through an inverted index: a
-rule is filed under its rarest item, and a URL only looks at the rules filed under its items. All
-tokens are mined and all rules kept; tokens that always occur together are one item, so that
-copies of a long URL don't make every subset of it an itemset.
+rule is filed under the item that the fewest URLs have, and a URL only looks at the rules filed
+under its items. All tokens are mined and all rules kept; tokens that always occur together are one
+item, and items that go with one verdict alone are rules by themselves, so that neither copies of a
+long URL nor the nearly equal paths of a site with one verdict make every subset an itemset. Paths
+of a site with both verdicts, nearly equal in many parts, still do.
 """
 
 from __future__ import annotations
@@ -79,8 +81,14 @@ def mine(labelled: DataFrame, least_support: float = 0.002, least_confidence: fl
     schema = "rule_id long, items array<string>, verdict string, confidence double, support double"
     if not n:
         return spark.createDataFrame([], schema), items
-    pairs = rows.select("row", F.explode("tokens").alias("token")).join(small(items, SMALL), "token")
-    found = pairs.groupBy("row").agg(F.collect_set("item").alias("found"))
+    pairs = rows.select("row", "goal", F.explode("tokens").alias("token")).join(small(items, SMALL), "token").select("row", "goal", "item").distinct()
+    # An item all of whose rows have one verdict is a rule that no larger one improves on, so it needn't be mined with others:
+    # the paths of a site that is judged as a whole would else give every subset of theirs.
+    counts = pairs.groupBy("item", "goal").agg(F.count("*").alias("k")).groupBy("item").agg(F.sum("k").alias("k"), F.count("*").alias("goals"), F.min("goal").alias("goal"))
+    counts = stored(counts, "counts")
+    pure = counts.where(f"goals = 1 and k >= {ceil(least_support * n)}").select(F.array("item").alias("items"), F.substring("goal", 3, 1_000_000).alias("verdict"), F.lit(1.0).alias("confidence"), (F.col("k") / n).alias("support"))
+    mixed = counts.where("goals > 1").select("item")
+    found = pairs.join(small(mixed, SMALL), "item").groupBy("row").agg(F.collect_set("item").alias("found"))
     baskets = rows.select("row", "goal").join(found, "row", "left").select(F.array_append(F.coalesce("found", F.array().cast("array<string>")), F.col("goal")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=least_support, minConfidence=least_confidence).fit(stored(baskets, "baskets"))
     found = model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit("=:")))
@@ -90,17 +98,18 @@ def mine(labelled: DataFrame, least_support: float = 0.002, least_confidence: fl
     less = found.where(F.size("items") > 1).withColumn("t", F.explode("items")).select("items", "verdict", "confidence", F.array_remove("items", F.col("t")).alias("part"))
     known = found.select(F.col("items").alias("part"), "verdict", F.col("confidence").alias("c"))
     redundant = less.join(known, ["part", "verdict"]).where("c >= confidence").select("items", "verdict").distinct()
-    kept = found.join(redundant, ["items", "verdict"], "left_anti")
+    kept = found.join(redundant, ["items", "verdict"], "left_anti").select(*pure.columns).unionByName(pure)
     return stored(kept.select(F.monotonically_increasing_id().alias("rule_id"), "items", "verdict", "confidence", "support"), "kept"), items
 
 
 def match(urls: DataFrame, key: str, rules: DataFrame, items: DataFrame) -> DataFrame:
     """(key, verdict, confidence) of the best rule that each row of urls(key, tokens) meets: by confidence, support, items; no row if none. key: unique."""
-    by_item = rules.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
-    filed = rules.withColumn("item", F.explode("items")).join(by_item, "item")
+    own = urls.select(key, F.explode("tokens").alias("token")).join(small(items, SMALL), "token").groupBy(key).agg(F.collect_set("item").alias("items"))
+    own = stored(own, "own")
+    by_item = own.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
+    filed = rules.withColumn("item", F.explode("items")).join(by_item, "item", "left").fillna(0, ["n"])
     rarest = filed.groupBy("rule_id").agg(F.min(F.struct("n", "item")).getField("item").alias("item"))
     index = stored(rules.join(rarest, "rule_id").select("item", F.col("items").alias("needed"), F.col("verdict").alias("v"), "confidence", "support"), "index")
-    own = urls.select(key, F.explode("tokens").alias("token")).join(small(items, SMALL), "token").groupBy(key).agg(F.collect_set("item").alias("items"))
     hits = own.withColumn("item", F.explode("items")).join(small(index, SMALL), "item").where(F.size(F.array_except("needed", "items")) == 0)
     best = hits.groupBy(key).agg(F.max(F.struct("confidence", "support", "needed", "v")).alias("b"))
     return best.select(key, F.col("b.v").alias("verdict"), F.col("b.confidence").alias("confidence"))

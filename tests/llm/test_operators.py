@@ -56,6 +56,15 @@ def test_mined_rules_against_brute_force(spark):
     assert got == want
 
 
+def test_mined_rules_of_nearly_equal_paths(spark):
+    """A site of one verdict whose paths differ by single parts: a rule for each part, not one for each subset of 25."""
+    rng = random.Random(6)
+    parts = [f"p{k}" for k in range(25)]
+    rows = [([p for p in parts if rng.random() > 0.05] + ["h"], "block") for _ in range(2000)] + [(["h", f"x{k % 3}"], "allow" if k % 2 else "block") for k in range(500)]
+    rules = url_filters.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"))[0].collect()
+    assert {tuple(r["items"]) for r in rules if r.confidence == 1.0} == {(p,) for p in parts} and len(rules) < 40
+
+
 def test_matching_against_brute_force(spark):
     """Every rule is kept, whatever its place in the URL, and the best one judges."""
     rng = random.Random(11)
