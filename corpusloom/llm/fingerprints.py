@@ -3,7 +3,8 @@
 A text is cut into units: words of up to UNIT characters, and the single characters of longer
 runs, as those of scripts without blanks, links and encoded data. So units never shift against
 each other: what is put in or left out changes the units at that place alone. The hash of K units
-rolls over them; from each window of W successive hashes the smallest is kept, the rightmost of
+is made afresh at each unit, not rolled from the one before, for which Spark's expressions have no
+cheap state; from each window of W successive hashes the smallest is kept, the rightmost of
 equal ones, with its position. So any K + W - 1 units that two texts share leave a common hash in
 both, and nothing shorter than K units does. Windows are worked off in chunks, so that their
 hashes are never held for a whole text.

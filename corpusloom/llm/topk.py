@@ -185,9 +185,9 @@ def _search(k: int):
 
     def found(points: np.ndarray, ids: np.ndarray, tree: BallTree, qs: np.ndarray, own: np.ndarray, floors: np.ndarray) -> list[tuple[int, int, int]]:
         out: list[tuple[int, int, int]] = []
-        exact = float(np.abs(points).max()) * float(np.abs(qs).max()) * points.shape[1] < 2**53
-        for vec, mine, floor in zip(qs, own.tolist(), floors.tolist(), strict=True):
-            if exact:
+        exact = float(np.abs(points).max()) * np.abs(qs).max(1).astype(np.float64) * points.shape[1] < 2**53
+        for vec, mine, floor, within in zip(qs, own.tolist(), floors.tolist(), exact.tolist(), strict=True):
+            if within:
                 near = tree.search(vec.astype(np.float64), mine, ids, k, floor)
             else:  # beyond the integers that doubles hold
                 near = heapq.nlargest(k, ((sum(int(a) * int(b) for a, b in zip(p, vec, strict=True)), -int(i)) for i, p in zip(ids, points, strict=True) if i != mine))
@@ -238,8 +238,10 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         return both.repartition("shard").sortWithinPartitions("shard", "asks").mapInArrow(_search(k), "query_id long, vec_id long, score long")
 
     first = stored(pass_(stored(routed(q, shards, True), "asked")), "first")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    if all(int(many.sum()) <= 1 for _, _, many, _ in shards.kept.values()):
+        return ranked(first)  # one shard for each length of vector: all queries have met all candidates
     kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(f"n >= {k}")
     floors = q.drop("floor").join(kth, q["id"] == kth["query_id"], "left").withColumn("floor", F.coalesce(F.col("kth").cast("double"), F.lit(float("-inf"))))
-    found = first.unionByName(pass_(stored(routed(floors, shards, False), "asked")))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return ranked(first.unionByName(pass_(stored(routed(floors, shards, False), "asked"))))
