@@ -240,7 +240,7 @@ def c30_stage_runtimes(spark: SparkSession, sf: str) -> DataFrame:
 s as (select doc_id, line_no, sha256(case when doc_id % 7 = 0 and line_no = 1 then line || '!' else line end) stored from l)
 select doc_id, count(*) lines, count(*) filter (stored <> sha256(line)) wrong from l join s using (doc_id, line_no) group by 1 having wrong > 0""")
 def c34_hash_verified(spark: SparkSession, sf: str) -> DataFrame:
-    """Stored line hashes against those of the lines; documents where one differs."""
+    """An analogue of C34 within one table: each document's line hashes, some altered, against those of the same lines. k06_finding_verification joins stored findings to another read."""
     d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     stored = F.sha2(F.when((F.col("doc_id") % 7 == 0) & (F.col("n") == 0), F.concat("line", F.lit("!"))).otherwise(F.col("line")), 256)
     x = d.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(stored != F.sha2("line", 256)).alias("wrong"))
@@ -370,7 +370,7 @@ def k05_split_leaks(spark: SparkSession, sf: str) -> DataFrame:
 @query("""with s as (select o_orderpriority, o_orderstatus, count(*) n, least(count(*), 20) taken from orders group by all), q as (select count(*) strata, sum(taken)::bigint tasks, sum(n)::bigint population, sum(taken * (n / taken)) weighted from s)
 select strata, tasks, population, abs(weighted - population) < 1e-6 weights_add_up, tasks = 20 * strata quota_filled from q""")
 def k07_sample_rules(spark: SparkSession, sf: str) -> DataFrame:
-    """Quota, strata and weights of a stratified sample: weights add up to the population."""
+    """Sizes of a stratified sample whose weights add up to the population by construction. k07_sample_audit checks a sample that breaks the rules."""
     s = table(spark, sf, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n")).withColumn("taken", F.least("n", F.lit(20)))
     q = s.agg(F.count("*").alias("strata"), F.sum("taken").alias("tasks"), F.sum("n").alias("population"), F.sum(F.col("taken") * (F.col("n") / F.col("taken"))).alias("weighted"))
     return q.select("strata", "tasks", "population", (F.abs(F.col("weighted") - F.col("population")) < 1e-6).alias("weights_add_up"), (F.col("tasks") == 20 * F.col("strata")).alias("quota_filled"))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from corpusloom.operators import graph, metrics, ordering, policy, scan, verification, windows
 from corpusloom.plans import audits, evidence, interchange, reports, review, rules, structure  # noqa: F401  (register their queries)
 from corpusloom.plans.registry import ORACLES, QUERIES, query  # noqa: F401
+from corpusloom.sources import records
 from corpusloom.sources.readers import table
-from corpusloom.sources.tables import stored
+from corpusloom.sources.tables import scratch, stored
 
 FLAGSHIP = "h03_finding_ids"
 
@@ -149,6 +150,28 @@ def d37_policy_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return _records(spark, sf)[0].rollup("category").agg(F.count("*").alias("n"), n(new, "new_ones"), n(~new, "existing"), n(F.col("suppression_id").isNotNull(), "suppressed"), n(F.col("policy_match"), "policy_matches"), n(F.col("blocking"), "blocking"))
 
 
+_OLDER = _FOUND.replace("from documents)", "from (select doc_id, substr(text, 1, 1500) text from documents))")
+
+
+@query(_FOUND + f""", base as (select distinct fingerprint from ({_OLDER} select fingerprint from f)),
+sup as (select f.fingerprint, 'S-' || doc_id || '-' || category id, case when toxic = 1 then date '2024-06-01' end expires from f join labels using (doc_id) where quality = 0 or category = 'license_text'),
+live as (select fingerprint, min(id) suppression_id from sup where expires is null or expires >= date '2024-07-01' group by 1)
+select finding_id, case when b.fingerprint is null then 'new' else 'existing' end baseline_status, suppression_id, confidence = 'high' policy_match, b.fingerprint is null and suppression_id is null and confidence = 'high' blocking
+from f left join base b on b.fingerprint = f.fingerprint left join live l on l.fingerprint = f.fingerprint""")
+def j01_stored_policy(spark: SparkSession, sf: str) -> DataFrame:
+    """The policy against a baseline file that a scan of an older, shorter version of the documents wrote, and suppressions read from the labels."""
+    found = stored(_found(spark, sf), "found")
+    older = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 1500).alias("text"))
+    path = scratch(spark, "baseline")
+    records.write_baseline(scan.findings(scan.matches(older, "doc_id", RULES), "doc_id").select("fingerprint"), path, "scan-baseline")
+    baseline = records.read_baseline(spark, path, "scan-baseline")
+    labels = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
+    quiet = found.join(labels, "doc_id").where("quality = 0 or category = 'license_text'")
+    quiet = quiet.select("fingerprint", F.concat(F.lit("S-"), F.col("doc_id").cast("string"), F.lit("-"), "category").alias("suppression_id"), F.when(F.col("toxic") == 1, F.to_date(F.lit("2024-06-01"))).alias("expires"))
+    got = policy.records(found, baseline, quiet, F.col("confidence") == "high", F.to_date(F.lit("2024-07-01")))
+    return got.select("finding_id", "baseline_status", "suppression_id", "policy_match", "blocking")
+
+
 @query(_POLICY + "select 'S-' || finding_id suppression_id, fingerprint, '2024-06-01' expires from f where category = 'network_access'")
 def j01_expired_suppressions(spark: SparkSession, sf: str) -> DataFrame:
     """Suppressions that have run out."""

@@ -11,9 +11,10 @@ from corpusloom.functions import json as fj
 from corpusloom.functions import text as fn
 from corpusloom.operators import graph, intervals, ordering, resolution
 from corpusloom.plans.registry import query
+from corpusloom.sources.file_tree import scan_tree
 from corpusloom.sources.readers import table
 from corpusloom.sources.snapshots import Snapshots
-from corpusloom.sources.tables import shared_dir, stored
+from corpusloom.sources.tables import scratch, shared_dir, stored
 
 
 def _days(c: str) -> Column:
@@ -231,3 +232,44 @@ def j05_snapshot_upsert(spark: SparkSession, sf: str) -> DataFrame:
     for k in (1, 2, 3):
         kept.upsert(rows.where(F.col("batch") == k), ["user_id"], "event_id")
     return kept.read().drop("event_id")
+
+
+@query(r"""with d as (select doc_id, lang, len(replace(replace(text, chr(13), ' '), chr(10), ' ')) + 1 n from documents where lang is not null)
+select 'lang=' || lang folder, 'kept' status, sum(n)::bigint chars from d where lang <> 'es' group by 1 union all select distinct 'lang=' || lang, 'pruned', null::bigint from d where lang = 'es'""")
+def a01_scan_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents as a tree of text files, a folder for each language, read back by a scan that prunes one of them. For folders that all machines mount."""
+    path = scratch(spark, "tree")
+    docs = table(spark, sf, "documents").where("lang is not null").select("doc_id", "lang", F.translate("text", "\r\n", "  ").alias("value"))
+    docs.repartition("lang", F.pmod(F.xxhash64("doc_id"), F.lit(8))).select("lang", "value").write.partitionBy("lang").text(path)
+    tree = scan_tree(spark, path, [".txt"], prune=("lang=es",), max_bytes=1 << 40)
+    folder = F.regexp_extract("path", "^([^/]*)", 1)
+    return tree.where("status <> 'suffix'").groupBy(folder.alias("folder"), "status").agg(F.sum(F.char_length("text")).alias("chars"))
+
+
+@query(r"""with c as (select page_id, regexp_replace(url, '"[^"]*"', ' ', 'g') u from pages), i as (select page_id, list_sort(list_distinct(list_filter(regexp_extract_all(u, '[A-Za-z_][A-Za-z0-9_]*'), lambda x: x not in ('http', 'https', 'www') and not regexp_matches(x, '^[0-9_]*[A-Z][A-Z0-9_]*$')))) ids from c)
+select page_id, array_to_string(ids, ',') ids from i""")
+def h12_identifiers(spark: SparkSession, sf: str) -> DataFrame:
+    """Names in a text, without reserved words and words in capitals."""
+    return table(spark, sf, "pages").select("page_id", F.array_join(fn.identifiers(F.col("url"), ["http", "https", "www"]), ",").alias("ids"))
+
+
+@query(r"""select doc_id, replace(replace(substr(text, 1, 300) || '|' || coalesce(lang, ''), '|', '\|'), chr(10), ' ') cell from documents""")
+def h16_markdown_cell(spark: SparkSession, sf: str) -> DataFrame:
+    """Text made safe for a table cell."""
+    return table(spark, sf, "documents").select("doc_id", fn.markdown_cell(F.concat(F.substring("text", 1, 300), F.lit("|"), F.coalesce("lang", F.lit("")))).alias("cell"))
+
+
+@query("""with a as (select l_orderkey, list(l_partkey::varchar order by l_linenumber, l_partkey) a from lineitem group by 1)
+select l_orderkey, array_to_string(case when len(a) <= 5 then a else list_concat(a[1:2], ['...'], a[-2:]) end, ' -> ') path from a""")
+def h17_elided_path(spark: SparkSession, sf: str) -> DataFrame:
+    """Long ways with their middle left out."""
+    a = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("a"))
+    return a.select("l_orderkey", fn.elided(F.col("a.l_partkey").cast("array<string>")).alias("path"))
+
+
+@query("""with a as (select l_orderkey, list_sort(list(distinct l_suppkey::varchar)) a from lineitem group by 1)
+select l_orderkey, array_to_string(a[1:3], '; ') || case when len(a) > 3 then '; ...(+' || len(a) - 3 || ')' else '' end statuses from a""")
+def h18_compact_list(spark: SparkSession, sf: str) -> DataFrame:
+    """The first of a list and how many more there are."""
+    a = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))).alias("a"))
+    return a.select("l_orderkey", fn.compact(F.col("a"), 3).alias("statuses"))
