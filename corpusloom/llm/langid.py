@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -141,6 +141,27 @@ def nearest(v: np.ndarray, protos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, top
 
 
+#: Labelled documents of each language, at most (about), whose cosines tell what is usual.
+USUAL_ROWS = 2000
+
+
+def size_class(text: Column | str) -> Column:
+    """Binary digits of the number of characters: cosines grow with the length."""
+    return F.length(F.bin(F.char_length(text).cast("long")))
+
+
+def usual_cosines(labelled: DataFrame, model: tuple[list[str], np.ndarray], rows: int = USUAL_ROWS) -> dict[int, float]:
+    """For each size class, the cosine that all but a hundredth of labelled(doc_id, text, lang) reach with the nearest prototype. Nothing without labels."""
+    labelled = labelled.where("text is not null and lang is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    counts = labelled.groupBy("lang").count().collect() if model[0] else []
+    if not counts:
+        return {}
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, rows / r["count"])))])
+    sample = labelled.where(F.abs(F.xxhash64("doc_id", F.lit(5)) % 1_000_000) < share[F.col("lang")] * 1_000_000)
+    scored = identify(sample.select("text"), model).where("lang_pred <> 'und'")
+    return {r.size: r.least for r in scored.groupBy(size_class("text").alias("size")).agg(F.percentile("score", 0.01).alias("least")).collect()}
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs with lang_pred and score, or `names`: the language of the nearest prototype and its cosine (0 where negative).
 

@@ -39,9 +39,19 @@ def test_odd_rows_and_empty_tables(spark, odd, none):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "6", "7", "9", "None"]
 
 
+def test_foreign_languages_go_and_known_ones_stay(spark):
+    """Finnish and Polish of a line and more are rejected; of a thousand documents in the four languages that were learnt, hardly one is."""
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä "
+    polish = "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa "
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    foreign = [(-k, (text * 9)[:size], None, "x", size) for k, (text, size) in enumerate([(t, n) for t in (finnish, polish) for n in (70, 160, 640, 1400)], 1)]
+    kept = {r.doc_id for r in corpus_pipeline.keep_languages(spark, docs.unionByName(spark.createDataFrame(foreign, docs.schema)), "").select("doc_id").collect()}
+    assert not any(k < 0 for k in kept) and len(kept) >= docs.count() - 2
+
+
 def test_registered():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
 
 
 def test_mixing_keeps_rows_without_an_id(spark, odd):
