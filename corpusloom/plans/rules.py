@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators import joins, verification, windows
+from corpusloom.operators import disposition, joins, verification, windows
 from corpusloom.plans.registry import query
 from corpusloom.sources.readers import table
 from corpusloom.sources.tables import stored
@@ -195,3 +195,60 @@ def g05_set_sides(spark: SparkSession, sf: str) -> DataFrame:
     """Intersection and both differences of two candidate sets by one aggregation."""
     x = table(spark, sf, "lineitem").where("l_returnflag in ('R', 'A')").groupBy("l_partkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("a"), F.bool_or(F.col("l_returnflag") == "A").alias("b"))
     return x.select("l_partkey", F.when(F.expr("a and b"), "both").when(F.col("a"), "first only").otherwise("second only").alias("side"))
+
+
+_CASES = """
+c as (select o_orderkey gt_id, 'customer/' || o_custkey repository, case o_orderpriority when '1-URGENT' then 'command_execution' when '2-HIGH' then 'filesystem_write' when '3-MEDIUM' then 'network_access' when '4-NOT SPECIFIED' then 'dynamic_code_execution' else 'other' end category,
+ l.boundary, l.marker, l.stub, l.trace, case when o_totalprice > 200000 then 'Unauthenticated default_workflow' else 'reviewed' end said, case when o_totalprice < 50000 then false when o_totalprice < 150000 then true end auth, o_orderstatus <> 'P' behavior, o_totalprice > 400000 vulnerability, o_totalprice < 20000 denied, case when l.trace then 'traced' end basis
+ from orders join (select l_orderkey, bool_or(l_returnflag = 'R') boundary, bool_or(l_linestatus = 'O' and l_tax > 0.04) marker, bool_or(l_discount > 0.09) stub, bool_or(l_quantity > 40) trace from lineitem group by 1) l on o_orderkey = l_orderkey),
+s as (select *, case category when 'command_execution' then 6 when 'dynamic_code_execution' then 6 when 'filesystem_write' then 4 when 'network_access' then 3 else 0 end + 3 * boundary::int + 2 * marker::int + 2 * stub::int + trace::int + 2 * coalesce(not auth, false)::int - 4 * denied::int score from c),
+q as (select *, case when boundary and score >= 10 then 'priority_boundary_impact_followup' when category in ('command_execution', 'dynamic_code_execution') then 'impactful_behavior_needs_boundary_validation' else 'behavior_gt_needs_additional_validation' end tier from s where behavior and not vulnerability and not denied)"""
+
+
+def _cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as confirmed behaviours: their lines give the proofs, prices the claims."""
+    any_of = lambda c: F.bool_or(F.expr(c))
+    proofs = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+        any_of("l_returnflag = 'R'").alias("boundary_or_reachability"), any_of("l_linestatus = 'O' and l_tax > 0.04").alias("runtime_marker"), any_of("l_discount > 0.09").alias("runtime_stub_or_monkeypatch"), any_of("l_quantity > 40").alias("source_trace")
+    )
+    names = ["boundary_or_reachability", "runtime_marker", "runtime_stub_or_monkeypatch", "source_trace"]
+    shown = proofs.select(F.col("l_orderkey").alias("gt_id"), F.array_compact(F.array(*(F.when(F.col(n), n) for n in names))).alias("proofs"), F.when(F.col("source_trace"), "traced").alias("basis"))
+    kinds = F.create_map(*map(F.lit, ("1-URGENT", "command_execution", "2-HIGH", "filesystem_write", "3-MEDIUM", "network_access", "4-NOT SPECIFIED", "dynamic_code_execution")))
+    price = F.col("o_totalprice")
+    rows = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("gt_id"), F.concat(F.lit("customer/"), F.col("o_custkey").cast("string")).alias("repository"), F.coalesce(F.try_element_at(kinds, F.col("o_orderpriority")), F.lit("other")).alias("category"),
+        F.when(price > 200_000, F.array(F.lit("Unauthenticated"), F.lit("default_workflow"))).otherwise(F.array(F.lit("reviewed"))).alias("statuses"), F.when(price < 50_000, F.lit(False)).when(price < 150_000, F.lit(True)).alias("auth_supplied"),
+        (F.col("o_orderstatus") != "P").alias("behavior"), (price > 400_000).alias("vulnerability"), (price < 20_000).alias("denied"),
+    )
+    return rows.join(shown, "gt_id")
+
+
+@query(f"""with {_CASES} select 'VGU-' || case when r < 100 then lpad(r::varchar, 3, '0') else r::varchar end upgrade_id, gt_id, repository, score, tier,
+array_to_string(list_filter([case when not boundary then 'confirm_untrusted_or_cross_boundary_reachability' end, case when said = 'reviewed' and coalesce(auth, true) then 'confirm_authentication_authorization_boundary' end, case when not marker and not stub then 'add_runtime_or_stubbed_impact_observation' end,
+ case when category in ('command_execution', 'dynamic_code_execution') then 'document_non_destructive_impact_marker_and_privilege_context' else 'document_concrete_confidentiality_integrity_availability_impact' end, case when said = 'reviewed' then 'check_default_or_documented_deployment_exposure' end, 'prepare_private_maintainer_report_before_public_claim'], lambda x: x is not null), ';') missing
+from (select *, row_number() over (order by score desc, repository, gt_id) r from q)""")
+def f07_upgrade_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole queue of behaviours to follow up, numbered, with what each one lacks."""
+    return disposition.upgrade_queue(_cases(spark, sf)).withColumn("missing", F.array_join("missing", ";"))
+
+
+@query(f"""with {_CASES} select s.gt_id, case when s.vulnerability then 'vulnerability_gt' when tier is not null then 'pending_upgrade_or_disclosure' when s.denied then 'guarded_not_vulnerability' else 'pending_upgrade_or_disclosure' end disposition,
+case when s.vulnerability then 'confirmed_boundary_and_impact_reproduction' when tier is not null then tier when s.denied then coalesce(s.basis, 'explicit_not_a_vulnerability_claim') else 'behavior_confirmed_but_disposition_not_explicit' end basis from s left join q using (gt_id)""")
+def j08_dispositions(spark: SparkSession, sf: str) -> DataFrame:
+    """Where every behaviour stands, against the queue of those to follow up."""
+    rows = stored(_cases(spark, sf), "cases")
+    return disposition.dispositions(rows, disposition.upgrade_queue(rows))
+
+
+@query("""with m as (select c_custkey place, c_name repo, sha1(c_name || case when c_acctbal < -990 then '' else 'x' end) commit_, case when c_acctbal > 9990 then 'dirty' else 'true' end clean, case when c_custkey in (select o_custkey from orders) then 1 else 0 end files, c_nationkey * 100000 + floor(c_acctbal)::bigint sample_id from customer),
+x as (select repo, array_to_string(list_filter([case when not regexp_full_match(case when clean = 'dirty' then upper(commit_) || 'z' else commit_ end, '[0-9a-fA-F]{40}') then 'commit' end, case when clean <> 'true' then 'not clean' end, case when files = 0 then 'empty' end, case when count(*) over (partition by sample_id) > 1 then 'repeated id' end], lambda v: v is not null), ',') errors from m)
+select repo, errors from x where errors <> ''""")
+def k08_manifest_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """A manifest made of customers: commits of 40 hex digits, clean trees, files to be there, sample ids once each."""
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("files", F.lit(1))
+    dirty = F.col("c_acctbal") > 9990
+    commit = F.sha1(F.concat("c_name", F.when(F.col("c_acctbal") < -990, "").otherwise("x")))
+    m = c.join(o, "c_custkey", "left").select(F.col("c_name").alias("repo"), F.when(dirty, F.concat(F.upper(commit), F.lit("z"))).otherwise(commit).alias("commit"), dirty.alias("dirty"), F.col("files").isNull().alias("empty"), (F.col("c_nationkey") * 100_000 + F.floor("c_acctbal")).alias("sample_id"))
+    twice = m.groupBy("sample_id").agg((F.count("*") > 1).alias("again"))
+    errors = F.array_compact(F.array(F.when(~F.col("commit").rlike("^[0-9a-fA-F]{40}$"), "commit"), F.when(F.col("dirty"), "not clean"), F.when(F.col("empty"), "empty"), F.when(F.col("again"), "repeated id")))
+    return m.join(twice, "sample_id").select("repo", F.array_join(errors, ",").alias("errors")).where("errors <> ''")

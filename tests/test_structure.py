@@ -294,3 +294,30 @@ def test_mcnemar_of_large_counts(spark):
     for p, (a, b) in zip(got, pairs, strict=True):
         z = (abs(a - b) - 1) / math.sqrt(a + b)
         assert p == pytest.approx(min(1, math.erfc(z / math.sqrt(2))), rel=2e-2, abs=1e-12), (a, b)
+
+
+def test_dispositions_and_queue(spark):
+    from corpusloom.operators import disposition
+
+    columns = "gt_id string, repository string, category string, proofs array<string>, statuses array<string>, auth_supplied boolean, behavior boolean, vulnerability boolean, denied boolean, basis string"
+    strong = ["boundary_or_reachability", "runtime_marker", "source_trace"]
+    rows = [
+        ("a", "z", "command_execution", strong, ["Unauthenticated", "documented_default"], None, True, None, None, None), ("b", "m", "command_execution", ["source_trace"], None, True, True, False, False, None),
+        ("c", None, "filesystem_write", strong, [], False, True, False, False, None), ("d", "m", "unknown", None, ["x"], None, True, False, False, None), ("e", "m", "network_access", strong, [], None, True, True, False, None),
+        ("f", "m", "network_access", strong, [], None, True, False, True, "guarded"), ("g", "m", "network_access", [], [], None, False, False, False, None), ("h", "m", None, [], [], None, False, False, True, None), ("i", "a", "command_execution", ["source_trace"], None, True, True, False, False, None),
+    ]
+    df = spark.createDataFrame(rows, columns)
+    queue = disposition.upgrade_queue(df)
+    got = [(r.upgrade_id, r.gt_id, r.score, r.tier) for r in queue.orderBy("upgrade_id").collect()]
+    assert got == [
+        ("VGU-001", "c", 12, "priority_boundary_impact_followup"), ("VGU-002", "a", 12, "priority_boundary_impact_followup"), ("VGU-003", "i", 7, "impactful_behavior_needs_boundary_validation"),
+        ("VGU-004", "b", 7, "impactful_behavior_needs_boundary_validation"), ("VGU-005", "d", 0, "behavior_gt_needs_additional_validation"),
+    ]
+    lacks = {r.gt_id: r.missing for r in queue.collect()}
+    assert lacks["a"] == ["document_non_destructive_impact_marker_and_privilege_context", "prepare_private_maintainer_report_before_public_claim"]
+    assert lacks["c"] == ["document_concrete_confidentiality_integrity_availability_impact", "check_default_or_documented_deployment_exposure", "prepare_private_maintainer_report_before_public_claim"]
+    assert lacks["d"][0].startswith("confirm_untrusted") and len(lacks["d"]) == 6
+    assert [r.gt_id for r in disposition.upgrade_queue(df, 2).orderBy("upgrade_id").collect()] == ["c", "a"]
+    where = {r.gt_id: (r.disposition, r.basis) for r in disposition.dispositions(df, queue).collect()}
+    assert where["e"] == ("vulnerability_gt", "confirmed_boundary_and_impact_reproduction") and where["a"] == ("pending_upgrade_or_disclosure", "priority_boundary_impact_followup")
+    assert where["f"] == ("guarded_not_vulnerability", "guarded") and where["h"] == ("guarded_not_vulnerability", "explicit_not_a_vulnerability_claim") and where["g"] == ("pending_upgrade_or_disclosure", "behavior_confirmed_but_disposition_not_explicit")
