@@ -37,6 +37,29 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"([.][^./]+)$", 1))
 
 
+def normal_path(path: Column) -> Column:
+    """A path without `.`, without empty parts and with each `..` taken off where there is a part before it; `.` if nothing is left. Leading slashes count as one."""
+    rooted = F.startswith(path, F.lit("/"))
+
+    def step(kept: Column, part: Column) -> Column:
+        last = F.get(kept, F.size(kept) - 1)
+        up = (F.size(kept) > 0) & (last != "..")
+        climbed = F.when(up, F.slice(kept, F.lit(1), F.size(kept) - 1)).when(rooted, kept).otherwise(F.concat(kept, F.array(part)))
+        return F.when(part.isin("", "."), kept).when(part == "..", climbed).otherwise(F.concat(kept, F.array(part)))
+
+    inner = F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+    return F.when(rooted, F.concat(F.lit("/"), inner)).when(inner == "", ".").otherwise(inner)
+
+
+def path_parts(path: Column) -> Column:
+    """(parent, name, stem, suffix) of a path; a name that only begins with a dot has no suffix, and a name without a parent has `.`."""
+    name = F.regexp_extract(path, r"([^/]*)$", 1)
+    parent = F.regexp_replace(path, r"/?[^/]*$", "")
+    parent = F.when(parent != "", parent).when(F.startswith(path, F.lit("/")), "/").otherwise(".")
+    ending = F.regexp_extract(name, r"^.+([.][^.]+)$", 1)
+    return F.struct(parent.alias("parent"), name.alias("name"), F.substr(name, F.lit(1), F.length(name) - F.length(ending)).alias("stem"), ending.alias("suffix"))
+
+
 def slug(text: Column) -> Column:
     """Runs of other characters than letters, digits, `_` and `-` as one `-`, none at either end."""
     return F.regexp_replace(F.regexp_replace(text, "[^A-Za-z0-9_-]+", "-"), "^-+|-+$", "")

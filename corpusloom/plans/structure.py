@@ -273,3 +273,15 @@ def h18_compact_list(spark: SparkSession, sf: str) -> DataFrame:
     """The first of a list and how many more there are."""
     a = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))).alias("a"))
     return a.select("l_orderkey", fn.compact(F.col("a"), 3).alias("statuses"))
+
+
+@query(r"""with p as (select page_id, case when page_id % 3 = 0 then '/' else '' end || regexp_extract(url, '://([^?#]*)', 1) || '/./../' || page_id || '//.x/../../../' || coalesce(regexp_extract(html, 'lang="([a-z]*)"', 1), '') || '.page.html' raw from pages),
+n as (select page_id, raw, list_reduce(list_prepend('', string_split(raw, '/')), lambda a, x: case when x in ('', '.') then a when x <> '..' then case when a = '' then x else a || '/' || x end when a = '' or a = '..' or a like '%/..' then case when raw like '/%' then a when a = '' then '..' else a || '/..' end else regexp_replace(a, '/?[^/]*$', '') end) k from p),
+m as (select page_id, case when raw like '/%' then '/' || k when k = '' then '.' else k end path from n)
+select page_id, path, case when regexp_replace(path, '/?[^/]*$', '') <> '' then regexp_replace(path, '/?[^/]*$', '') when path like '/%' then '/' else '.' end parent, regexp_extract(path, '([^/]*)$', 1) "name", '.html' suffix from m""")
+def h09_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths with dots and climbs made normal, and their parts."""
+    p = table(spark, sf, "pages")
+    raw = F.concat(F.when(F.col("page_id") % 3 == 0, "/").otherwise(""), F.regexp_extract("url", "://([^?#]*)", 1), F.lit("/./../"), F.col("page_id").cast("string"), F.lit("//.x/../../../"), F.regexp_extract("html", 'lang="([a-z]*)"', 1), F.lit(".page.html"))
+    x = p.select("page_id", fn.normal_path(raw).alias("path"))
+    return x.withColumn("parts", fn.path_parts(F.col("path"))).select("page_id", "path", "parts.parent", "parts.name", "parts.suffix")

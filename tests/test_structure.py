@@ -321,3 +321,15 @@ def test_dispositions_and_queue(spark):
     where = {r.gt_id: (r.disposition, r.basis) for r in disposition.dispositions(df, queue).collect()}
     assert where["e"] == ("vulnerability_gt", "confirmed_boundary_and_impact_reproduction") and where["a"] == ("pending_upgrade_or_disclosure", "priority_boundary_impact_followup")
     assert where["f"] == ("guarded_not_vulnerability", "guarded") and where["h"] == ("guarded_not_vulnerability", "explicit_not_a_vulnerability_claim") and where["g"] == ("pending_upgrade_or_disclosure", "behavior_confirmed_but_disposition_not_explicit")
+
+
+def test_paths(spark):
+    import posixpath
+    from pathlib import PurePosixPath
+
+    paths = ["a/b/../c.ts", "./a//b/.", "../../x", "a/../..", "/../a", "/", "", ".", "a/..", "/a/b/", "x/.hidden", "n.tar.gz", "dir.d/name", "a/../../b/../c"]
+    for r in spark.createDataFrame([(p,) for p in paths], "p string").select("p", fn.normal_path(F.col("p")).alias("n"), fn.path_parts(fn.normal_path(F.col("p"))).alias("x")).collect():
+        assert r.n == posixpath.normpath(r.p), r.p
+        if r.n not in (".", "/") and not r.n.endswith(".."):
+            pure = PurePosixPath(r.n)
+            assert tuple(r.x) == (str(pure.parent), pure.name, pure.stem, pure.suffix), r.p
