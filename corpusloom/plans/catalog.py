@@ -150,6 +150,15 @@ def d37_policy_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return _records(spark, sf)[0].rollup("category").agg(F.count("*").alias("n"), n(new, "new_ones"), n(~new, "existing"), n(F.col("suppression_id").isNotNull(), "suppressed"), n(F.col("policy_match"), "policy_matches"), n(F.col("blocking"), "blocking"))
 
 
+@query(_RECORDS + """, c as (select doc_id, count(*) n, count(*) filter (blocking) blocking, min(case when is_new then 'new' else 'existing' end) status from q group by 1)
+select l.doc_id, quality, coalesce(n, 0) findings, coalesce(blocking, 0) blocking, coalesce(status, 'no finding') status from labels l left join c on c.doc_id = l.doc_id""")
+def c31_case_policy(spark: SparkSession, sf: str) -> DataFrame:
+    """Cases (labels) with the policy's records of their findings; those without a finding say so."""
+    r = _records(spark, sf)[0].groupBy("doc_id").agg(F.count("*").alias("findings"), F.count_if("blocking").alias("blocking"), F.min("baseline_status").alias("status"))
+    x = table(spark, sf, "labels").join(r, "doc_id", "left")
+    return x.select("doc_id", "quality", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("findings", "blocking")), F.coalesce("status", F.lit("no finding")).alias("status"))
+
+
 _OLDER = _FOUND.replace("from documents)", "from (select doc_id, substr(text, 1, 1500) text from documents))")
 
 

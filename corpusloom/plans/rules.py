@@ -252,3 +252,11 @@ def k08_manifest_audit(spark: SparkSession, sf: str) -> DataFrame:
     twice = m.groupBy("sample_id").agg((F.count("*") > 1).alias("again"))
     errors = F.array_compact(F.array(F.when(~F.col("commit").rlike("^[0-9a-fA-F]{40}$"), "commit"), F.when(F.col("dirty"), "not clean"), F.when(F.col("empty"), "empty"), F.when(F.col("again"), "repeated id")))
     return m.join(twice, "sample_id").select("repo", F.array_join(errors, ",").alias("errors")).where("errors <> ''")
+
+
+@query("""select o_orderkey, coalesce(c_mktsegment, 'unknown') segment, coalesce(n_name, 'unknown') home from orders left join (select * from customer where c_acctbal > 0) on o_custkey = c_custkey left join nation on c_nationkey = n_nationkey""")
+def c28_manifest_or_unknown(spark: SparkSession, sf: str) -> DataFrame:
+    """Graphs (orders) with what a manifest (customers in credit, and their nations) says of them, or `unknown`."""
+    listed = table(spark, sf, "customer").where("c_acctbal > 0").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "c_mktsegment", "n_name")
+    x = table(spark, sf, "orders").join(listed, F.col("o_custkey") == F.col("c_custkey"), "left")
+    return x.select("o_orderkey", F.coalesce("c_mktsegment", F.lit("unknown")).alias("segment"), F.coalesce("n_name", F.lit("unknown")).alias("home"))
