@@ -3,11 +3,10 @@
 A text is cut into units: words of up to UNIT characters, and the single characters of longer
 runs, as those of scripts without blanks, links and encoded data. So units never shift against
 each other: what is put in or left out changes the units at that place alone. The hash of K units
-is made afresh at each unit, not rolled from the one before, for which Spark's expressions have no
-cheap state; from each window of W successive hashes the smallest is kept, the rightmost of
-equal ones, with its position. So any K + W - 1 units that two texts share leave a common hash in
-both, and nothing shorter than K units does. Windows are worked off in chunks, so that their
-hashes are never held for a whole text.
+is a polynomial of theirs and rolls from each gram to the next; from each window of W successive
+hashes the smallest is kept, the rightmost of equal ones, with its position. So any K + W - 1 units
+that two texts share leave a common hash in both, and nothing shorter than K units does. Windows
+are worked off in chunks, so that their hashes are never held for a whole text.
 """
 
 from __future__ import annotations
@@ -21,6 +20,10 @@ UNIT = 16
 K, W = 4, 6
 #: Window starts worked off at once. A window's place in its chunk has 12 bits, so it is below 4096 - W.
 CHUNK = 1024
+#: A gram's hash is taken modulo PRIME; with BASE below 2^30 no step of the sum leaves 63 bits.
+PRIME, BASE = 2147483647, 1000003
+#: Hashes rolled on from one that is summed up afresh: an array grows by copying, so a short one is cheap.
+STRIDE = 32
 #: Ids of a bucket in which a document finds the next one.
 BUCKET_BITS = 9
 #: Buckets of a task (about).
@@ -33,19 +36,45 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _rolled(units: Column, first: Column, last: Column, k: int) -> Column:
+    """Hashes of the grams of k units that start at first up to last: the sum of units times falling powers of BASE, modulo PRIME.
+
+    units are hashes from 1 up to PRIME - 1; 0 stands for those past the end. The next hash comes
+    from the one before: what leaves the gram is taken off and what enters it put on.
+    """
+    base, off = F.lit(BASE).cast("long"), F.lit(pow(BASE, k, PRIME)).cast("long")
+    unit = lambda p: F.coalesce(F.get(units, p), F.lit(0).cast("long"))
+
+    def fresh(p: Column) -> Column:
+        h = unit(p)
+        for i in range(1, k):
+            h = (h * base + unit(p + i)) % PRIME
+        return F.array(h)
+
+    def roll(done: Column, p: Column) -> Column:
+        before = F.get(done, F.size(done) - 1)
+        return F.array_append(done, F.pmod(before * base - unit(p - 1) * off + unit(p + (k - 1)), F.lit(PRIME).cast("long")))
+
+    def stride(p: Column) -> Column:
+        end = F.least(p + (STRIDE - 1), last)
+        return F.when(end > p, F.aggregate(F.sequence(p + 1, end), fresh(p), roll)).otherwise(fresh(p))
+
+    return F.flatten(F.transform(F.sequence(first, last, F.lit(STRIDE)), stride))
+
+
 def winnow(text: Column, k: int = K, w: int = W) -> Column:
     """Fingerprint of a text: distinct longs, the upper half a hash, the lower half its unit's position, by position.
 
     get() rather than slice(), which copies its whole array each time; it gives null past the
-    end, which hashes and minima pass over. A text of fewer than k units is one gram, one with fewer than w grams one window; an empty,
+    end, which minima pass over. A text of fewer than k units is one gram, one with fewer than w grams one window; an empty,
     blank or null text has an empty fingerprint.
     """
-    low, high = F.lit(4095).cast("long"), F.lit(-4096).cast("long")
+    low = F.lit(4095).cast("long")
 
     def chunk(data: Column, c: Column, grams: Column, windows: Column) -> Column:
         base = c * CHUNK
         last = F.least(base + (CHUNK + w - 2), grams - 1)
-        hashes = F.transform(F.sequence(base, last), lambda p: F.xxhash64(*(F.get(data, p + i) for i in range(k))).bitwiseAND(high).bitwiseOR((low - (p - base)).cast("long")))
+        hashes = F.transform(_rolled(data, base, last, k), lambda h, i: F.shiftleft(h, 32).bitwiseOR((low - i).cast("long")))
         least = lambda h: F.transform(F.sequence(F.lit(0), F.least(F.lit(CHUNK), windows - base) - 1), lambda i: F.least(*(F.get(h, i + j) for j in range(w))))
         place = lambda x: x.bitwiseAND(F.lit(-4294967296).cast("long")).bitwiseOR((base + low - x.bitwiseAND(low)).cast("long"))
         return _let(hashes, lambda h: F.transform(F.array_distinct(least(h)), place))
@@ -59,7 +88,8 @@ def winnow(text: Column, k: int = K, w: int = W) -> Column:
 
     units = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?<!\S)\S{{1,{UNIT}}}(?!\S)|\S"), F.lit(0))
     none = F.array().cast("array<bigint>")
-    return _let(units, lambda u: F.when(F.size(u) > 0, whole(u)).otherwise(none))
+    hashed = F.transform(units, lambda u: F.pmod(F.xxhash64(u), F.lit(PRIME - 1).cast("long")) + 1)
+    return _let(hashed, lambda u: F.when(F.size(u) > 0, whole(u)).otherwise(none))
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -177,18 +177,15 @@ def test_winnowing_against_brute_force(spark, odd, none):
 
     def plain(text, k=fingerprints.K, w=fingerprints.W):
         units = [u for word in re.findall(r"[^ \t\n\x0b\f\r]+", text) for u in ([word] if len(word) <= fingerprints.UNIT else word)]
-        hashes = []
-        for i in range(max(1, len(units) - k + 1)) if units else []:
-            h = 42
-            for u in units[i : i + k]:
-                h = xxhash.xxh64_intdigest(u.encode(), seed=h)
-            hashes.append((h - (1 << 64) if h >> 63 else h) >> 12)
+        ids = [(h - (1 << 64) if h >> 63 else h) % (fingerprints.PRIME - 1) + 1 for h in (xxhash.xxh64_intdigest(u.encode(), seed=42) for u in units)]
+        ids += [0] * (k - len(ids)) if ids else []
+        hashes = [sum(x * fingerprints.BASE ** (k - 1 - j) for j, x in enumerate(ids[i : i + k])) % fingerprints.PRIME for i in range(len(ids) - k + 1)]
         out = {}
         for i in range(max(1, len(hashes) - w + 1)) if hashes else []:
             part = hashes[i : i + w]
             at = i + max(j for j, x in enumerate(part) if x == min(part))
             out[at] = hashes[at]
-        return [((x << 12) & (1 << 64) - 1) >> 32 for x in out.values()], list(out)
+        return list(out.values()), list(out)
 
     rng = random.Random(3)
     texts = ["", " ", "a", "ab cd", "aa " * 50, "é" * 5000, " ".join(rng.choice(["x", "yy", "zzz", "longerword"]) for _ in range(3000))]
