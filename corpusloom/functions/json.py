@@ -75,6 +75,23 @@ def canonical_json(text: Column) -> Column:
     return work(text)
 
 
+def _pruned(value: object, keys: frozenset[str]) -> object:
+    if isinstance(value, list):
+        return [_pruned(v, keys) for v in value]
+    return {k: _pruned(v, keys) for k, v in value.items() if k not in keys} if isinstance(value, dict) else value
+
+
+def pruned_json(text: Column, keys: list[str]) -> Column:
+    """JSON text, compact, without the entries of these keys at any depth. Null for what is no JSON, as in redacted_json."""
+    gone = frozenset(keys)
+
+    @F.pandas_udf("string")
+    def work(texts: pd.Series) -> pd.Series:
+        return _each(texts, lambda v: _packed(_pruned(v, gone)))
+
+    return work(text)
+
+
 def best_line(text: Column, tokens: list[str]) -> Column:
     """(line, key): of the object's entries that are objects with a whole `line`, the one whose key has one of the tokens, then the least line, then key; null if there is none."""
     entries = F.map_entries(F.from_json(text, "map<string,string>"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import graph, metrics, ordering, policy, scan, verification, windows
-from corpusloom.plans import audits, evidence, interchange, reports, review, rules, structure  # noqa: F401  (register their queries)
+from corpusloom.plans import audits, evidence, interchange, probing, reports, review, rules, structure  # noqa: F401  (register their queries)
 from corpusloom.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from corpusloom.sources import records
 from corpusloom.sources.readers import table

@@ -129,6 +129,13 @@ def h04_nested_digest(spark: SparkSession, sf: str) -> DataFrame:
     return _nested(spark, sf).select("l_orderkey", F.sha2(fj.canonical_json(F.col("json")), 256).alias("digest"))
 
 
+@query(f"""with {_LINES}, s as (select l_orderkey, count(*) n, string_agg('{{"no":' || l_linenumber || ',"step":{{"kept":true}}}}', ',' order by l_linenumber) z from i group by 1)
+select l_orderkey, '{{"z":[' || z || '],"m":{{"b":[' || n || ']}}}}' pruned from s""")
+def h32_pruned_schema(spark: SparkSession, sf: str) -> DataFrame:
+    """Nested records without the keywords that a reader of theirs refuses, at any depth."""
+    return _nested(spark, sf).select("l_orderkey", fj.pruned_json(F.col("json"), ["thinking", "a", "title"]).alias("pruned"))
+
+
 @query("""with e as (select l_orderkey, l_linenumber, case when l_returnflag = 'R' then 'run_exec_' || l_linenumber else 'call_' || l_linenumber end k, min(l_partkey) line, bool_or(l_linestatus = 'O') plain from lineitem group by all),
 c as (select l_orderkey, (contains(k, 'exec') = false)::int priority, line, k from e where not plain),
 b as (select l_orderkey, arg_min(line, (priority, line, k)) line, arg_min(k, (priority, line, k)) key from c group by 1)

@@ -333,3 +333,38 @@ def test_paths(spark):
         if r.n not in (".", "/") and not r.n.endswith(".."):
             pure = PurePosixPath(r.n)
             assert tuple(r.x) == (str(pure.parent), pure.name, pure.stem, pure.suffix), r.p
+
+
+def test_probe_programs(spark):
+    """Python programs compile and do what their outcome says; a suite's are all different; other languages are refused."""
+    import ast
+
+    from corpusloom.operators import probes
+
+    for suite, (languages, *_) in probes.SUITES.items():
+        for language in languages:
+            made = probes.probes(suite, language)
+            assert len({p.text for p in made}) == len({p.number for p in made}) == len({p.symbol for p in made}) == len(made)
+            for p in made if language == "python" else []:
+                names = {x.name: x for x in ast.walk(ast.parse(p.text)) if isinstance(x, ast.FunctionDef)}
+                assert list(names) == [p.symbol] and bool(names[p.symbol].decorator_list) == (p.source_type == "agent_tool_parameter")
+                assert ("assert value" in p.text) == (p.guard_kind == "preceding_assert") and p.dependency == (not p.polarity == "negative_constant")
+    four = probes.probes(4, "python")
+    assert 2 * sum(p.dependency for p in four) == len(four)
+    assert probes.probes(1, "python")[0].text == "import os\nimport subprocess\n\nimport requests\n\n@mcp.tool()\ndef probe_tool_direct_open_command(given):\n    value = given\n    return subprocess.run(value, shell=True)\n"
+    repos = spark.createDataFrame([("A-1", "python"), ("b", "typescript"), (None, "python")], "sample_id string, language string")
+    got = probes.planted(repos, 1).collect()
+    assert len(got) == 2 * len(probes.probes(1, "python")) + len(probes.probes(1, "typescript"))
+    assert {(r.probe_id, r.file) for r in got if r.sample_id == "A-1"} >= {("MUT-A-1-PY1-01", "probes/a-1_tool_direct_open_command.py")}
+    assert probes.planted(repos.limit(0), 2).count() == 0
+    with pytest.raises(Exception, match="no programs in typescript"):
+        probes.planted(repos, 2).collect()
+    x = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", 4)], "k string, n int")
+    f = spark.createDataFrame([("a",), ("b",), ("b",)], "k string")
+    assert sorted((r.k, r.matches, r.claims) for r in probes.matched(x, f, ["k"]).collect()) == [("a", 1, 2), ("a", 1, 2), ("b", 2, 1), ("c", 0, 1)]
+
+
+def test_pruned_json(spark):
+    cases = [('{"title":1,"p":{"title":{"x":1},"q":[{"title":2,"r":[[{"title":3}]]}]}}', '{"p":{"q":[{"r":[[{}]]}]}}'), ('["title"]', '["title"]'), ("{", None), (None, None)]
+    got = spark.createDataFrame([(a,) for a, _ in cases], "j string").select("j", fj.pruned_json(F.col("j"), ["title"]).alias("p")).collect()
+    assert {r.j: r.p for r in got} == dict(cases)
