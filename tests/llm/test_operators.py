@@ -172,6 +172,29 @@ def test_language_id(spark, odd, none):
     assert np.mean([r.lang == r.lang_pred for r in held]) > 0.97
 
 
+def test_prototypes_are_sums_of_trigram_vectors(spark):
+    """Vectors of texts, prototypes, nearest language and cosine by loops over letters."""
+    rng = random.Random(8)
+    docs = [(k, "".join(rng.choice("abcé 1-Z") if k % 2 else rng.choice("xyzß .Q") for _ in range(rng.randint(1, 40))), "ab"[k % 2]) for k in range(60)]
+
+    def vector(text):
+        letters = re.sub(" +", " ", "".join(c.lower() if c.isalpha() else " " for c in f" {text} "))
+        v = np.zeros(langid.DIM)
+        for i in range(len(letters) - 2):
+            v += np.roll(langid._letter(ord(letters[i])), 2) * np.roll(langid._letter(ord(letters[i + 1])), 1) * langid._letter(ord(letters[i + 2]))
+        return v / (np.linalg.norm(v) or 1)
+
+    want = {x: sum(vector(t) for _, t, lang in docs if lang == x) for x in "ab"}
+    want = {x: v / np.linalg.norm(v) for x, v in want.items()}
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    langs, protos = langid.prototypes(df)
+    assert langs == ["a", "b"] and np.allclose(protos, [want["a"], want["b"]], atol=1e-4)
+    for r in langid.identify(df, (langs, protos)).collect():
+        cosines = {x: float(vector(r.text) @ v) for x, v in want.items()}
+        if np.any(vector(r.text)):
+            assert abs(r.score - max(0, max(cosines.values()))) < 1e-3 and cosines[r.lang_pred] > max(cosines.values()) - 1e-3
+
+
 def test_winnowing_against_brute_force(spark, odd, none):
     import xxhash
 
@@ -558,3 +581,29 @@ def test_toxicity_on_held_out_texts(spark):
     hit = toxicity.fit(learnt["text"].tolist(), learnt["toxic"].to_numpy(np.int64), learnt["toxic"].mean()).scores(pa.array(held["text"].tolist())) >= 0.5
     assert hit[y].mean() >= 0.9 and hit[~y].mean() <= 0.02, (hit[y].mean(), hit[~y].mean())
     assert hit[y & long].mean() >= 0.8, hit[y & long].mean()
+
+
+def test_lm_scores_against_a_softmax_for_each_level():
+    """One token at a time: its word or group, then the group's classes, then the class's words."""
+    f, g, c = lm.FREQUENT, lm.GROUP, lm.CLASS
+    n = f + g * c + 3 * c + 5
+    model, rng = lm.Model.start(np.full(n + 1, 1 / (n + 1))), np.random.default_rng(4)
+    for x, bias in model.tables():
+        x[:] = rng.standard_normal(x.shape)
+        if bias is not None:
+            bias[:] = rng.standard_normal(bias.shape)
+    ids = np.concatenate([[0, 1, f, f + 1, f + c, f + g * c, f + g * c + 1, n], rng.integers(0, n + 1, 30)])
+    one, two = rng.integers(0, n + 2, len(ids)), rng.integers(0, n + 2, len(ids))
+
+    def part(q, rows, bias, lo, hi, at):
+        s = [float(np.dot(q, rows[k].astype(float)) + bias[k]) for k in range(lo, min(hi, len(rows)))]
+        return s[at - lo] - max(s) - math.log(sum(math.exp(x - max(s)) for x in s))
+
+    for i, a, b, got in zip(ids, one, two, model.log_probabilities(ids, one, two), strict=True):
+        q = model.one[a].astype(float) + model.two[b]
+        v = int(i) - f - 1
+        want = part(q, model.top, model.top_bias, 0, len(model.top), i if v < 0 else f + 1 + v // (g * c))
+        if v >= 0:
+            want += part(q, model.classes, model.class_bias, v // (g * c) * g, (v // (g * c) + 1) * g, v // c)
+            want += part(q, model.word, model.word_bias, v // c * c, (v // c + 1) * c, v)
+        assert got == pytest.approx(want, abs=2e-3)
