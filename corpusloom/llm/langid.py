@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpusloom.llm.common import slices
+from corpusloom.operators.ordering import percentiles
 
 DIM = 1024
 #: Labelled documents of each language that the prototypes are made of, at most (about), by a hash of doc_id.
@@ -103,14 +104,15 @@ def text_vectors(texts: list[str | None]) -> np.ndarray:
     return out / np.where(norms > 0, norms, 1)
 
 
-def prototypes(labelled: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
-    """(languages, unit prototype per language) from labelled(doc_id, text, lang). Null texts and labels are left out."""
+def prototypes(labelled: DataFrame, rows: int | None = FIT_ROWS) -> tuple[list[str], np.ndarray]:
+    """(languages, unit prototype per language) from labelled(doc_id, text, lang), of all its rows if rows is None. Null texts and labels are left out."""
     labelled = labelled.where("text is not null and lang is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    counts = labelled.groupBy("lang").count().orderBy("lang").collect()
-    if not counts:
-        return [], np.zeros((0, DIM), np.float32)
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, rows / r["count"])))])
-    sample = labelled.where(F.abs(F.xxhash64("doc_id", F.lit(3)) % 1_000_000) < share[F.col("lang")] * 1_000_000)
+    if rows is not None:
+        counts = labelled.groupBy("lang").count().orderBy("lang").collect()
+        if not counts:
+            return [], np.zeros((0, DIM), np.float32)
+        share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, rows / r["count"])))])
+        labelled = labelled.where(F.abs(F.xxhash64("doc_id", F.lit(3)) % 1_000_000) < share[F.col("lang")] * 1_000_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -121,7 +123,7 @@ def prototypes(labelled: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], np
         yield pa.RecordBatch.from_arrays([pa.array([x for x in langs for _ in range(DIM)], pa.string()), pa.array(list(range(DIM)) * len(langs), pa.int32()), pa.array(np.concatenate([np.zeros(0), *sums.values()]))], ["lang", "i", "x"])
 
     # Rounded before they are added, so that the sums don't depend on the order of tasks.
-    parts = sample.mapInArrow(run, "lang string, i int, x double").groupBy("lang", "i").agg(F.sum(F.round(F.col("x") * 1_000_000).cast("long")).alias("x"))
+    parts = labelled.mapInArrow(run, "lang string, i int, x double").groupBy("lang", "i").agg(F.sum(F.round(F.col("x") * 1_000_000).cast("long")).alias("x"))
     table = parts.toPandas()
     langs = sorted(table["lang"].unique())
     out = np.zeros((len(langs), DIM))
@@ -141,25 +143,14 @@ def nearest(v: np.ndarray, protos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, top
 
 
-#: Labelled documents of each language, at most (about), whose cosines tell what is usual.
-USUAL_ROWS = 2000
-
-
 def size_class(text: Column | str) -> Column:
     """Binary digits of the number of characters: cosines grow with the length."""
     return F.length(F.bin(F.char_length(text).cast("long")))
 
 
-def usual_cosines(labelled: DataFrame, model: tuple[list[str], np.ndarray], rows: int = USUAL_ROWS) -> dict[int, float]:
-    """For each size class, the cosine that all but a hundredth of labelled(doc_id, text, lang) reach with the nearest prototype. Nothing without labels."""
-    labelled = labelled.where("text is not null and lang is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    counts = labelled.groupBy("lang").count().collect() if model[0] else []
-    if not counts:
-        return {}
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, rows / r["count"])))])
-    sample = labelled.where(F.abs(F.xxhash64("doc_id", F.lit(5)) % 1_000_000) < share[F.col("lang")] * 1_000_000)
-    scored = identify(sample.select("text"), model).where("lang_pred <> 'und'")
-    return {r.size: r.least for r in scored.groupBy(size_class("text").alias("size")).agg(F.percentile("score", 0.01).alias("least")).collect()}
+def usual_cosines(labelled: DataFrame) -> dict[int, float]:
+    """For each size class, the cosine that all but a hundredth of labelled(size, score) reach: exact, of all rows, which are ranked in parallel. Nothing without rows."""
+    return {r["size"]: r["least"] for r in percentiles(labelled, ["size"], "score", {"least": ("linear", 0.01)}).collect()}
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A word's features are its byte 3- to 6-grams and the whole word, hashed into buckets; a text's
 vector is the mean of its words' mean bucket embeddings. The classifier is fitted on a bounded,
-documented sample of labelled rows; scoring runs where the texts lie. A misspelling keeps most
+documented sample of labelled rows (fit_on) or on all of them (fit_whole); scoring runs where the texts lie. A misspelling keeps most
 of its grams, and so most of its weight.
 """
 
@@ -100,15 +100,16 @@ def fit(texts: list[str | None], labels: np.ndarray, share: float, seed: int = 3
     return fit_features([row for at in range(0, len(texts), 25) for row in features(pa.array(texts[at : at + 25], pa.string()))], labels, share, seed)
 
 
-def fit_features(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, share: float, seed: int = 3) -> Model:
-    """fit() on what features() made of the texts."""
+def fit_features(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, share: float, seed: int = 3, trust: np.ndarray | None = None) -> Model:
+    """fit() on what features() made of the texts. trust: what buckets count, where more texts than these tell."""
     if len(set(labels.tolist())) < 2:
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
-    texts_with = np.zeros((2, 1 << BITS), np.float32)
-    for (ids, _), label in zip(rows, labels.tolist(), strict=True):
-        texts_with[label][ids] += 1
-    trust = _trust(texts_with, np.bincount(labels, minlength=2))
+    if trust is None:
+        texts_with = np.zeros((2, 1 << BITS), np.float32)
+        for (ids, _), label in zip(rows, labels.tolist(), strict=True):
+            texts_with[label][ids] += 1
+        trust = _trust(texts_with, np.bincount(labels, minlength=2))
     # What counts for nothing is left out of the steps.
     rows = [(ids[own], weights[own]) for ids, weights in rows for own in [trust[ids] > 0]]
     rng = np.random.default_rng(seed)
@@ -207,6 +208,80 @@ def fit_on(labelled: DataFrame, rows: int = FIT_ROWS) -> Model:
     return Model(np.frombuffer(found[0]["odds"], np.float32), found[0]["bias"])
 
 
+#: Rows that one task of fit_whole trains on, about, and buckets whose counts are sent together.
+TASK_ROWS, BLOCK = 8000, 4096
+
+
+def fit_whole(labelled: DataFrame, task_rows: int = TASK_ROWS) -> Model:
+    """Fit on all rows of labelled(doc_id, text, toxic), in parallel. Null labels and texts are left out.
+
+    First all texts tell what each bucket counts. Then each task trains on about `task_rows` rows, dealt out by a hash, and a
+    bucket's log-odds are averaged by how many of the tasks' texts have it. Up to task_rows rows are one task's.
+    """
+    labelled = labelled.where("toxic in (0, 1) and text is not null").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    n = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
+    total = sum(n.values())
+    share = n.get(1, 0) / total if total else 0.5
+    if len(n) < 2:
+        return fit([], np.zeros(0, np.int64), share)
+    texts = np.array([n[0], n[1]])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((2, 1 << BITS), np.int32)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 25):
+                b = batch.slice(at, 25)
+                for (ids, _), label in zip(features(b.column("text")), b.column("toxic").to_pylist(), strict=True):
+                    found[label][ids] += 1
+        for k, part in enumerate(found.reshape(2, -1, BLOCK).swapaxes(0, 1)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "x"])
+
+    def trusted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column("block").to_pylist(), b.column("x").to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(x, np.int32).reshape(2, BLOCK).astype(np.int64)
+        for k, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_trust(x, texts).tobytes()], pa.binary())], ["block", "x"])
+
+    trust = np.zeros(1 << BITS, np.float32)
+    for r in labelled.select("toxic", "text").mapInArrow(count, "block int, x binary").repartition("block").mapInArrow(trusted, "block int, x binary").collect():
+        trust[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["x"], np.float32)
+    shared = labelled.sparkSession.sparkContext.broadcast(trust)  # 4 MB
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trust, rows, order, labels = shared.value, [], [], []
+        for batch in batches:
+            for at in range(0, batch.num_rows, 25):
+                b = batch.slice(at, 25)
+                for ids, weights in features(b.column("text")):
+                    own = trust[ids] > 0
+                    rows.append((ids[own], weights[own]))
+                order += b.column("_order").to_pylist()
+                labels += b.column("toxic").to_pylist()
+        if len(set(labels)) < 2:
+            return
+        place = sorted(range(len(rows)), key=lambda i: (order[i], labels[i]))
+        rows, labels = [rows[i] for i in place], np.array(labels)[place]
+        model = fit_features(rows, labels, share, trust=trust)
+        met = np.bincount(np.concatenate([ids for ids, _ in rows]), minlength=1 << BITS)
+        own = np.flatnonzero(met)
+        k, times, x = np.append(own, -1), np.append(met[own], len(rows)), np.append(model.odds[own], model.bias)
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(times.astype(np.int64)), pa.array(x.astype(np.float64))], ["k", "n", "x"])
+
+    dealt = labelled.select("toxic", "text", F.xxhash64("doc_id", "text").alias("_order")).repartition(-(-total // task_rows), "_order")
+    found = dealt.mapInArrow(train, "k int, n long, x double").groupBy("k")
+    # Rounded before they are added, so that the sums don't depend on the order of tasks.
+    means = found.agg((F.sum((F.col("n") * F.round(F.col("x") * 1_000_000)).cast("long")) / F.sum("n") / 1_000_000).alias("x")).toArrow()  # one row a bucket that counts
+    if not means.num_rows:
+        return fit([], np.zeros(0, np.int64), share)
+    k, x = means["k"].to_numpy(), means["x"].to_numpy()
+    odds = np.zeros(1 << BITS, np.float32)
+    odds[k[k >= 0]] = x[k >= 0]
+    return Model(odds, float(x[k < 0][0]))
+
+
 def toxicity_scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """docs and a score (0 to 1) of each whole text, named `name`. Null, empty and blank texts get the score of the bias alone.
 

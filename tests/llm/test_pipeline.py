@@ -70,6 +70,45 @@ def test_toxic_texts_without_a_label_go(spark, tmp_path):
     assert share[1] >= 0.9 and share[0] <= 0.02
 
 
+def test_toxicity_learns_from_all_labelled_texts(spark, tmp_path):
+    """A word of 300 toxic texts that a sample of 5000 a class by hash wouldn't meet; training in one task and in several."""
+    from corpusloom.llm import toxicity
+
+    rng = random.Random(4)
+    words = ["the", "green", "house", "on", "hill", "water", "runs"]
+    ids = spark.range(1, 12_001).select("id", (F.abs(F.xxhash64("id", F.lit(10)) % 1_000_000) < 1_000_000 * 5000 // 6000).alias("met")).collect()
+    toxic = {r.id for r in ids if r.id % 2}
+    new = {r.id for r in [r for r in ids if r.id in toxic and not r.met][:300]}
+    text = lambda *more: " ".join([*(rng.choice(words) for _ in range(6)), *more])
+    docs = [(k, text("zorgblat") if k in new else text("idiotic") if k in toxic else text(), "en") for k in range(1, 12_001)]
+    unseen = [(-k, text("zorgblat"), "en") for k in range(1, 21)] + [(-k, text(), "en") for k in range(21, 41)]
+    spark.createDataFrame([(k, int(k in toxic)) for k in range(1, 12_001)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    df = spark.createDataFrame(docs + unseen, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, df, str(tmp_path)).select("doc_id").collect()}
+    assert {k for k in kept if k < 0} == set(range(-40, -20)) and not kept & new
+    labelled = df.join(spark.read.parquet(f"{tmp_path}/labels.parquet"), "doc_id")
+    a, b = toxicity.fit_whole(labelled, 2000), toxicity.fit_whole(labelled.repartition(7), 2000)
+    assert (a.odds == b.odds).all() and a.bias == b.bias
+    import pyarrow as pa
+
+    assert ((a.scores(pa.array([t for _, t, _ in unseen])) >= 0.5) == [k >= -20 for k, _, _ in unseen]).all()
+
+
+def test_toxicity_averaged_over_tasks_on_held_out_texts(spark):
+    """The labels of sf0.1 in two tasks: as good on held-out texts as one task has to be (0.91 of toxic ones; 0.89 with 1000 rows a task, 0.86 with 500)."""
+    import pyarrow as pa
+
+    from corpusloom.llm import toxicity
+
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("text is not null and toxic in (0, 1)")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = toxicity.fit_whole(rows.where(~held), 1700)
+    out = rows.where(held).select("text", "toxic").toPandas()
+    y, hit = out["toxic"].to_numpy() == 1, model.scores(pa.array(out["text"].tolist())) >= 0.5
+    assert hit[y].mean() >= 0.9 and hit[~y].mean() <= 0.02, (hit[y].mean(), hit[~y].mean())
+
+
 def test_stages(spark, stages):
     docs, clean, known, single, mixed, packed = stages
     assert all(x.columns == docs.columns for x in stages[:-1])
@@ -100,6 +139,33 @@ def test_foreign_languages_go_and_known_ones_stay(spark):
     assert not any(k < 0 for k in kept) and len(kept) >= docs.count() - 2
 
 
+def test_floors_and_prototypes_are_of_all_labelled_texts(spark):
+    """The 60 odd ones of 6001 labelled texts are fewer than a hundredth and go, though each is among the third that a sample of 2000 by hash took."""
+    from corpusloom.llm import langid
+
+    rng = random.Random(3)
+    common, odd = ["the", "green", "house", "on", "hill", "water", "runs", "under"], ["zxq", "qvj", "jwk", "kzx", "vbq", "xjz"]
+
+    def text(n):
+        words = [rng.choice(odd) for _ in range(n)] + [rng.choice(common) for _ in range(40 - n)]
+        rng.shuffle(words)
+        return " ".join(words)[:150]
+
+    ids = spark.range(1, 6002).select("id", (F.abs(F.xxhash64("id", F.lit(5)) % 1_000_000) < 1_000_000 * 2000 / 6001).alias("met")).collect()
+    low = {r.id for r in [r for r in ids if r.met][:60]}
+    docs = [(r.id, text(33 if r.id in low else 0), "en") for r in ids]
+    vectors = langid.text_vectors([t for _, t, _ in docs])
+    proto = vectors.astype(float).sum(0)
+    proto /= (proto @ proto) ** 0.5
+    cosines = vectors @ proto
+    assert max(cosines[k - 1] for k in low) < 0.5 * sorted(cosines)[60] - 0.01
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    langs, protos = langid.prototypes(df, None)
+    assert langs == ["en"] and protos[0] @ proto > 1 - 1e-6
+    kept = {r.doc_id for r in corpus_pipeline.keep_languages(spark, df, "").select("doc_id").collect()}
+    assert kept == {r.id for r in ids} - low
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
