@@ -40,6 +40,8 @@ NOISE, NEAR = 32, 4
 #: Parameters are sent as 16-bit multiples of one part in so many.
 FINE = 2048
 RATE = 0.1
+#: Bits of a hash's prefix by which words are looked up.
+PREFIX = 20
 END = np.uint64(0xE0D0F0D0C0)
 
 
@@ -52,14 +54,24 @@ class Vocabulary:
     ids: np.ndarray
     total: int
     distinct: int
+    firsts: np.ndarray | None = None  # where the words of each prefix start; workers make it on first use
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count, model id) of each hash; count 0 for words outside the head."""
         if not len(self.words):
             return np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
-        at = np.searchsorted(self.words, h)
-        at[at == len(self.words)] = 0
-        hit = self.words[at] == h
+        if self.firsts is None:
+            self.firsts = np.searchsorted(self.words, np.arange(1 << PREFIX, dtype=np.uint64) << np.uint64(64 - PREFIX))
+        # Hashes are spread evenly, so few words share a prefix: a step or two from the first of them.
+        at, last = np.take(self.firsts, (h >> np.uint64(64 - PREFIX)).astype(np.int64)), len(self.words) - 1
+        np.minimum(at, last, out=at)
+        found = np.take(self.words, at)
+        behind = np.flatnonzero((found < h) & (at < last))
+        while len(behind):
+            at[behind] += 1
+            found[behind] = self.words[at[behind]]
+            behind = behind[(found[behind] < h[behind]) & (at[behind] < last)]
+        hit = found == h
         return np.where(hit, self.counts[at], 0), np.where(hit, self.ids[at], 0)
 
     def unigram(self) -> np.ndarray:
@@ -123,16 +135,29 @@ def _first(ids: np.ndarray) -> np.ndarray:
     return np.where(ids <= FREQUENT, ids, FREQUENT + 1 + (ids - FREQUENT - 1) // (CLASS * GROUP))
 
 
-def _log_sums(s: np.ndarray) -> np.ndarray:
-    """Logarithms of the rows' sums of exponentials."""
+def _log_sums(q: np.ndarray, x: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Logarithms of the rows' sums of exponentials of q @ x. held: float32 numbers to overwrite, as many as that has at least."""
+    s = held[: len(q) * x.shape[1]].reshape(len(q), x.shape[1])
+    np.matmul(q, x, out=s)
     with np.errstate(over="ignore"):
-        sums = np.exp(s) @ np.ones(s.shape[1], s.dtype)
+        np.exp(s, out=s)
+        sums = s @ np.ones(s.shape[1], s.dtype)
     if np.isfinite(sums).all() and sums.min() > 1e-30:
         return np.log(sums)
+    s = q @ x
     top = s.max(1, keepdims=True)
     return np.log(np.exp(s - top).sum(1)) + top[:, 0]
 
 
+def _sigmoid(x: np.ndarray, n: int) -> np.ndarray:
+    """1 / (1 + exp(-x)) / n, in the place of x."""
+    np.negative(x, out=x)
+    np.minimum(x, 30, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.divide(x.dtype.type(1 / n), x, out=x)
+
+
 @dataclass
 class Model:
     one: np.ndarray  # (words + 2, DIM), of the token before
@@ -178,8 +203,9 @@ class Model:
         z, top = np.empty(len(key), np.float32), np.column_stack([self.top, self.top_bias])
         a, b = np.divmod(key, len(self.one))
         q = np.column_stack([np.take(self.one, a, axis=0) + np.take(self.two, b, axis=0), np.ones(len(key), np.float32)])  # the last column meets the biases
+        held = np.empty(BLOCK * max(len(top), GROUP, CLASS), np.float32)
         for at in range(0, len(key), BLOCK):
-            z[at : at + BLOCK] = _log_sums(q[at : at + BLOCK] @ top.T)
+            z[at : at + BLOCK] = _log_sums(q[at : at + BLOCK], top.T, held)
         q = np.take(q, where, axis=0)
         out = np.einsum("nd,nd->n", q, np.take(top, _first(ids), axis=0)).astype(np.float64) - z[where]
         rest = np.flatnonzero(ids > FREQUENT)
@@ -193,7 +219,7 @@ class Model:
                 at = rows[lo] // width * width
                 for part in range(lo, hi, BLOCK):
                     to = min(hi, part + BLOCK)
-                    own[part:to] -= _log_sums(q[part:to] @ x[at : at + width].T)
+                    own[part:to] -= _log_sums(q[part:to], x[at : at + width].T, held)
             out[rest] += own
         return out
 
@@ -236,8 +262,7 @@ class Trainer:
             r, n = np.take(m.top, t, axis=0), m.top[noise]
             good = np.einsum("nd,nd->n", q, r) + m.top_bias[t] - self.base[t]
             bad = q @ n.T + (m.top_bias[noise] - self.base[noise])
-            dg = -1 / (1 + np.exp(np.clip(good, -30, 30))) / len(w)
-            db = 1 / (1 + np.exp(-np.clip(bad, -30, 30))) / len(w)
+            dg, db = -_sigmoid(-good, len(w)), _sigmoid(bad, len(w))
             gq = dg[:, None] * r + db @ n
             rest = np.flatnonzero(w > FREQUENT)
             if len(rest):
@@ -260,8 +285,7 @@ class Trainer:
         base = np.log(NEAR / size).astype(np.float32)
         r, near = np.take(x, v, axis=0), np.take(x[noise], of, axis=0)
         good, bad = np.einsum("nd,nd->n", q, r) + bias[v] - base[of, 0], np.einsum("nkd,nd->nk", near, q) + (bias[noise] - base)[of]
-        dg = -1 / (1 + np.exp(np.clip(good, -30, 30))) / n
-        db = 1 / (1 + np.exp(-np.clip(bad, -30, 30))) / n
+        dg, db = -_sigmoid(-good, n), _sigmoid(bad, n)
         grads = _sums((db[:, :, None] * q[:, None, :]).reshape(len(v), -1), cuts).reshape(-1, DIM)
         self._step(k, np.concatenate([v, noise.ravel()]), np.concatenate([dg[:, None] * q, grads]), np.concatenate([dg, np.add.reduceat(db, cuts, axis=0).ravel()]))
         return dg[:, None] * r + np.einsum("nk,nkd->nd", db, near)

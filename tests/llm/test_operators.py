@@ -525,6 +525,23 @@ def test_components_of_chains_stars_and_loops(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_lm_looks_words_up_by_prefix():
+    """Counts and ids against a dictionary: words that share a prefix, hashes between, before and after all words, no words."""
+    rng = np.random.default_rng(3)
+    near = (np.uint64(5) << np.uint64(44)) + np.arange(0, 40, 2, dtype=np.uint64)
+    words = np.unique(np.concatenate([near, rng.integers(1 << 40, 1 << 63, 3000, np.uint64) * np.uint64(2)]))
+    vocab = lm.Vocabulary(words, rng.integers(2, 99, len(words)), rng.permutation(len(words)) + 1, 10**6, 10**4)
+    h = rng.permutation(np.concatenate([words, words + np.uint64(1), words - np.uint64(1), np.array([0, 2**64 - 1], np.uint64), rng.integers(0, 1 << 63, 500, np.uint64)]))
+    known = dict(zip(words.tolist(), zip(vocab.counts.tolist(), vocab.ids.tolist(), strict=True), strict=True))
+    c, ids = vocab.look_up(h)
+    assert list(zip(c.tolist(), ids.tolist(), strict=True)) == [known.get(x, (0, 0)) for x in h.tolist()]
+    assert vocab.look_up(h[:0])[0].size == 0
+    none = lm.Vocabulary(words[:0], vocab.counts[:0], vocab.ids[:0], 0, 0)
+    assert not none.look_up(h)[0].any()
+    x = np.array([-200, -31, -1, 0, 2, 31, 200], np.float32)
+    assert lm._sigmoid(x.copy(), 4) == pytest.approx(1 / (1 + np.exp(-np.clip(x, -30, 30))) / 4, rel=1e-5)
+
+
 def test_lm_sums_to_one_over_several_groups():
     n = lm.FREQUENT + lm.GROUP * lm.CLASS + lm.CLASS + 9
     unigram = 1 / np.arange(3, n + 4)
