@@ -8,7 +8,8 @@ in that order are the nodes that may link. A shingle's nodes are cut where sizes
 no link spans, and into cells of bounded size; a hot shingle's cells lie in several partitions.
 
 In each cell an R-tree over the nodes' count vectors finds the nodes whose summed coordinate
-minima allow a link; what it finds is checked on the whole sets. Only links between different
+minima allow a link. Those pairs are held against each other by bitmaps of a fourth of the hashes,
+and what may still link is checked on the whole sets. Only links between different
 components are of interest. So first each node is checked with a few of the nodes that the trees
 find for it, which joins groups of near copies without listing their pairs. Then the trees search
 the cells that still span several components, between components alone, a bounded number of pairs
@@ -83,6 +84,22 @@ def count_blob(s: np.ndarray) -> bytes:
     return np.uint32(step).tobytes() + (q[::2] << 4 | q[1::2]).tobytes()
 
 
+def mark_blob(s: np.ndarray) -> bytes:
+    """A bitmap of a fourth of the shingles, by their hashes, with one to two bits for each shingle of the set."""
+    bits = np.zeros(1 << max(6, len(s).bit_length()), np.uint8)
+    bits[(s[s >> np.uint64(62) == 0] % np.uint64(len(bits))).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_link(a: bytes, n: int, b: bytes, m: int, percent: int) -> bool:
+    """Whether sets of n and m shingles may reach a Jaccard index of `percent`: a bit that one bitmap alone has stands for a shingle, at least, that isn't shared."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    width = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(v.reshape(-1, width), 0) for v in (x, y))
+    most = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+    return (100 + percent) * most >= percent * (n + m)
+
+
 def points_of(blobs: pa.Array) -> np.ndarray:
     """Count vectors, a row for each blob."""
     raw = np.frombuffer(b"".join(blobs.to_pylist()), np.uint8).reshape(-1, 4 + GROUPS // 2)
@@ -93,9 +110,9 @@ def points_of(blobs: pa.Array) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, n, key, nid, first, counts): set size, its digest and that as a number, its first shingles with the size, group counts.
+    """(doc_id, n, key, nid, first, counts, marks): set size, its digest and that as a number, its first shingles with the size, group counts, bitmap.
 
-    Copies that a task has just seen have neither first shingles nor counts.
+    Copies that a task has just seen have no first shingles, counts and bitmap.
     """
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
@@ -104,12 +121,13 @@ def signatures(docs: DataFrame, words: int, percent: int, common: tuple[np.ndarr
         seen: set[bytes] = set()
         for b in slices(batches):
             sets = shingle_sets(b.column("text"), words)
-            keys, firsts, counts = [], [], []
+            keys, firsts, counts, marks = [], [], [], []
             for s in sets:
                 keys.append(_digest(s) if len(s) else None)
                 if keys[-1] is None or keys[-1] in seen:
                     firsts.append(np.zeros(0, np.int64))
                     counts.append(None)
+                    marks.append(None)
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
@@ -124,13 +142,20 @@ def signatures(docs: DataFrame, words: int, percent: int, common: tuple[np.ndarr
                 first = order[: len(s) - -(-percent * len(s) // 100) + 1]
                 firsts.append((first >> np.uint64(SIZE_BITS) << np.uint64(SIZE_BITS) | np.uint64(min(len(s), SIZE))).view(np.int64))
                 counts.append(count_blob(s))
+                marks.append(mark_blob(s))
             nids = [None if k is None else int.from_bytes(k[:8], "little", signed=True) for k in keys]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(nids, pa.int64()), _lists(firsts), pa.array(counts, pa.binary())],
-                ["doc_id", "n", "key", "nid", "first", "counts"],
+                [b.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(nids, pa.int64()), _lists(firsts), pa.array(counts, pa.binary()), pa.array(marks, pa.binary())],
+                ["doc_id", "n", "key", "nid", "first", "counts", "marks"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, nid long, first array<long>, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, nid long, first array<long>, counts binary, marks binary")
+
+
+def set_nodes(sig: DataFrame) -> DataFrame:
+    """(key, nid, head, n, counts, marks) of each distinct set among signatures, stored. head: the smallest doc_id that has it."""
+    per_set = sig.where("key is not null").groupBy("key", "nid")
+    return stored(per_set.agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.max("counts").alias("counts"), F.max("marks").alias("marks")), "nodes")
 
 
 def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -362,9 +387,15 @@ def _between(percent: int, most: int):
 def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar enough, stored. pairs: a stored table.
 
-    The sets are made again from the texts, which are shorter.
+    Unrelated long texts pass the bound of their counts, the more of them the larger the table; bitmaps rule them out before
+    any text is shuffled. The sets are made again from the texts, which are shorter.
     """
 
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = (b.column(c).to_pylist() for c in ("marks_a", "n_a", "marks_b", "n_b"))
+            yield b.select(["a", "b"]).filter(pa.array([may_link(*x, percent) for x in zip(*cols, strict=True)], pa.bool_()))
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             keys = b.column("key").to_pylist()
@@ -381,13 +412,17 @@ def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, perc
                     keep.append(100 * both >= percent * (len(p) + len(q) - both))
                 yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct().join(nodes.select("nid", "key", "head"), "nid")
-    wanted = stored(wanted, "wanted")
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
+    met = stored(ends(pairs).join(nodes.select("nid", "key", "head", "n", "marks"), "nid"), "met")
+    own = met.select("nid", "n", "marks")
+    marked = small(pairs, SMALL).join(own.toDF("a", "n_a", "marks_a"), "a").join(own.toDF("b", "n_b", "marks_b"), "b")
+    pairs = stored(marked.mapInArrow(likely, "a long, b long"), "likely")
+    wanted = stored(ends(pairs).join(met.select("nid", "key", "head"), "nid"), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("head"), "text").join(small(wanted, SMALL), "head").select("nid", "key", "text")
     texts = stored(texts.mapInArrow(read, "nid long, text string").groupBy("nid").agg(F.first("text").alias("text")), "texts")
-    both = pairs.join(texts.withColumnRenamed("nid", "a"), "a").join(texts.select(F.col("nid").alias("b"), F.col("text").alias("other")), "b")
+    both = small(pairs, SMALL).join(texts.withColumnRenamed("nid", "a"), "a").join(texts.select(F.col("nid").alias("b"), F.col("text").alias("other")), "b")
     out = stored(both.select("a", "b", "text", "other").mapInArrow(check, "a long, b long"), "links")
-    discard(wanted, texts)
+    discard(met, pairs, wanted, texts)
     return out
 
 
@@ -437,7 +472,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, least: float = 0.9) -> D
     named = docs.where("doc_id is not null")
     sig = stored(signatures(named, words, percent, common_shingles(named, words)), "signatures")
     ids = stored(sig.select("doc_id", "n", "key", "nid"), "ids")
-    nodes = stored(sig.where("key is not null").groupBy("key", "nid").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.max("counts").alias("counts")), "nodes")
+    nodes = set_nodes(sig)
 
     first = sig.select("nid", F.explode("first").alias("x")).repartitionByRange("x", "nid").sortWithinPartitions("x", "nid")
     cells = first.mapInArrow(_cells(percent), "s long, nids array<long>, lo long, hi long, cut boolean")

@@ -70,6 +70,85 @@ def test_toxic_texts_without_a_label_go(spark, tmp_path):
     assert share[1] >= 0.9 and share[0] <= 0.02
 
 
+def shuffled(spark, job):
+    """MB that Spark's stages wrote for shuffles while job ran."""
+
+    def written():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in map(stages.apply, range(stages.size()))}
+
+    before = written()
+    job()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(n for k, n in written().items() if k not in before) / 1e6
+
+
+def noise(rng, words):
+    return " ".join(f"{rng.getrandbits(40):010x}" for _ in range(words))
+
+
+@pytest.fixture
+def no_broadcasts(spark):
+    """As tables of any size are beyond what Spark broadcasts by itself."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_toxicity_shuffles_labelled_texts_alone(spark, tmp_path, no_broadcasts):
+    """8 MB of texts that no label covers stay where they are; they were shuffled for each pass of the fit."""
+    rng = random.Random(8)
+    docs = [(k, noise(rng, 2000), "en", "s", 22_000) for k in range(400)] + [(k, "idiotic" if k % 2 else "green house", "en", "s", 11) for k in range(400, 440)]
+    spark.createDataFrame([(k, k % 2) for k in range(400, 440)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert shuffled(spark, lambda: corpus_pipeline.drop_toxic(spark, df, str(tmp_path)).write.parquet(f"{tmp_path}/out")) < 1
+
+
+def test_near_copies_shuffle_what_may_link_alone(spark, tmp_path, no_broadcasts):
+    """Pairs of unrelated long texts go by their bitmaps, no text of theirs is shuffled; planted near copies link as before. Then texts stay where they are when copies go."""
+    from corpusloom.llm import ngram_join
+
+    rng = random.Random(9)
+    texts = [noise(rng, 4000) for _ in range(40)] + [noise(rng, 50) for _ in range(20)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, *(f"{t} more" for t in texts[40:])])], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    nodes = ngram_join.set_nodes(ngram_join.signatures(docs, 5, 80, ngram_join.common_shingles(docs, 5)))
+    nid = {r.head: r.nid for r in nodes.select("head", "nid").collect()}
+    every = ngram_join.stored(spark.createDataFrame([(nid[a], nid[b]) for a, b in combinations(range(80), 2)], "a long, b long"), "pairs")
+    got = []
+    assert shuffled(spark, lambda: got.extend(ngram_join._links(docs, nodes, every, 5, 80).collect())) < 1
+    assert {(r.a, r.b) for r in got} == {(nid[k], nid[k + 20]) for k in range(40, 60)}
+    full = docs.select("*", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(0).cast("long").alias("n_chars"))
+    assert shuffled(spark, lambda: corpus_pipeline.drop_near_copies(spark, full, "").write.parquet(f"{tmp_path}/out")) < 3
+    assert sorted(r.doc_id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(60))
+
+
+def test_bitmaps_never_rule_out_a_link():
+    """Sets of all sizes and overlaps: what they share is never below what a link needs where the bitmaps say no; unrelated ones they rule out."""
+    import numpy as np
+
+    from corpusloom.llm.ngram_join import mark_blob, may_link
+
+    rng, out = np.random.default_rng(5), 0
+    for n in (1, 2, 7, 31, 32, 63, 64, 127, 300, 5000):
+        for share in np.linspace(0.5, 1, 26):
+            for more in (0, 1, n // 10, n // 4):
+                x = rng.integers(0, 1 << 64, n + more + n, np.uint64)
+                a, b = np.unique(x[:n]), np.unique(np.concatenate([x[: round(share * n)], x[n : n + more]]))
+                both = len(np.intersect1d(a, b))
+                for percent in (80, 90):
+                    said = may_link(mark_blob(a), len(a), mark_blob(b), len(b), percent)
+                    out += not said
+                    assert said == may_link(mark_blob(b), len(b), mark_blob(a), len(a), percent)
+                    assert said or 100 * both < percent * (len(a) + len(b) - both)
+        if n > 200:
+            assert not may_link(mark_blob(x[:n]), n, mark_blob(x[-n:]), n, 80)
+    assert out > 100
+
+
 def test_toxicity_learns_from_all_labelled_texts(spark, tmp_path):
     """A word of 300 toxic texts that a sample of 5000 a class by hash wouldn't meet; training in one task and in several."""
     from corpusloom.llm import toxicity
