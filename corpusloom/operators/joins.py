@@ -1,4 +1,4 @@
-"""Joins: exact key with an as-of fallback, bands, key coverage, numbering without a global window."""
+"""Joins: exact key with an as-of fallback, bands, cells of keys that both sides repeat, key coverage, numbering without a global window."""
 
 from __future__ import annotations
 
@@ -38,6 +38,30 @@ def band_counts(left: DataFrame, right: DataFrame, key: str, ident: str, time: s
     return left.select(ident).join(met, ident, "left").select(ident, n.alias("matches"), F.when(n == 0, "none").when(n == 1, "unique").otherwise("ambiguous").alias("verdict"))
 
 
+#: Rows of either side in a cell, and pairs in a task.
+CELL, TASK_PAIRS = 512, 1 << 22
+
+
+def cell_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left joined with right on keys that both may repeat, so that the pairs of one key are many tasks' work.
+
+    The rows that a side has of a key are dealt out by their hash into blocks of some CELL rows, and each block meets each of
+    the other side's in a cell of its own. Rows are copied once for each block that they meet: a row moves for CELL / 2 pairs
+    in large groups. The number of tasks follows the pairs, not the bytes that make them. Rows of a side have to be
+    distinct, as equal ones lie in one block. Both sides are read more than once.
+    """
+    size = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
+    blocks = size(left, "_n").join(size(right, "_m"), keys)
+    tasks = -(-(blocks.agg(F.sum(F.col("_n") * F.col("_m"))).first()[0] or 1) // TASK_PAIRS)
+    blocks = blocks.select(*keys, F.ceil(F.col("_n") / CELL).alias("_rows"), F.ceil(F.col("_m") / CELL).alias("_columns"))
+    own = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    cell = [*keys, "_row", "_column"]
+    a = left.join(blocks, keys).select(*left.columns, own(left, "_rows").alias("_row"), each("_columns").alias("_column"))
+    b = right.join(blocks, keys).select(*right.columns, own(right, "_columns").alias("_column"), each("_rows").alias("_row"))
+    return a.repartition(tasks, *cell).join(b.repartition(tasks, *cell), cell).drop("_row", "_column")
+
+
 def key_coverage(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """One row: keys in both, in left only and in right only. Null keys are equal to each other."""
     sides = left.select(*keys, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(right.select(*keys, F.lit(0).alias("_l"), F.lit(1).alias("_r")))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.joins import cell_join
+from corpusloom.sources.tables import stored
+
 
 def local_modules(imported: DataFrame, current: str, name: str, modules: DataFrame) -> DataFrame:
     """imported with `resolved`: the module of that name if there is one, else its sibling beside the current module, else the name as it is.
@@ -24,19 +27,23 @@ def resolved_calls(calls: DataFrame, definitions: DataFrame, imports: DataFrame,
     calls(site, module, base, name): base is null for a plain name, self or cls for an object's own, else the parts before the
     name. definitions(module, name, key) may hold several of one name, and all are kept. imports(module, name, from_module,
     from_name); aliases(module, base, to_module), where the base's further parts are parts of the module. Modules are
-    taken as local_modules() finds them. Ways are equi joins, so a name that many call is a skewed key, which Spark splits.
+    taken as local_modules() finds them. The result has a row for each call and definition of a name, so it grows with the
+    product of the two. Ways are made single before they meet the definitions, in cells; a key that is defined once is
+    then met once by each call, and only pairs of keys with several definitions are grouped.
     """
-    d = definitions.select(F.col("module").alias("_to"), F.col("name").alias("_name"), "key")
+    d = definitions.where("module is not null and name is not null").select(F.col("module").alias("_to"), F.col("name").alias("_name"), "key").distinct()
+    d = stored(d.withColumn("_several", F.count("*").over(Window.partitionBy("key")) > 1), "definitions")
     plain = calls.where("base is null or base in ('self', 'cls')").select("site", F.col("module").alias("_to"), F.col("name").alias("_name"), F.lit(0).alias("how"))
-    taken = local_modules(imports, "module", "from_module", definitions).select("module", "name", F.col("resolved").alias("_to"), F.col("from_name").alias("_name")).distinct()
+    taken = local_modules(imports, "module", "from_module", definitions).select("module", "name", F.col("resolved").alias("_to"), F.col("from_name").alias("_name")).distinct().join(d, ["_to", "_name"], "left_semi")
     named = calls.where("base is null").join(taken, ["module", "name"]).select("site", "_to", "_name", F.lit(1).alias("how"))
     parts = F.split("base", "[.]")
     dotted = calls.where("base not in ('self', 'cls')").withColumns({"_first": parts[0], "_rest": F.array_join(F.slice(parts, F.lit(2), F.size(parts)), ".")})
     dotted = dotted.join(aliases.select("module", F.col("base").alias("_first"), "to_module").distinct(), ["module", "_first"])
     dotted = dotted.withColumn("_target", F.concat_ws(".", "to_module", F.when(F.col("_rest") != "", F.col("_rest"))))
     through = local_modules(dotted, "module", "_target", definitions).select("site", F.col("resolved").alias("_to"), F.col("name").alias("_name"), F.lit(2).alias("how"))
-    ways = plain.unionByName(named).unionByName(through)
-    return ways.join(d, ["_to", "_name"]).groupBy("site", "key").agg(F.min("how").alias("how"))
+    ways = stored(plain.unionByName(named).unionByName(through).groupBy("site", "_to", "_name").agg(F.min("how").alias("how")), "ways")
+    pairs = lambda of: cell_join(ways, d.where(of).drop("_several"), ["_to", "_name"]).select("site", "key", "how")
+    return pairs("not _several").unionByName(pairs("_several").groupBy("site", "key").agg(F.min("how").alias("how")))
 
 
 def first_existing(imports: DataFrame, ident: str, candidates: list[Column], files: DataFrame, file: str) -> DataFrame:

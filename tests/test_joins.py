@@ -82,3 +82,16 @@ def test_mcnemar_p_and_quota_errors(spark):
     for seats in (2, 11):
         with pytest.raises(Exception, match="seats"):
             windows.largest_remainder(strata, "n", seats, ["s"]).collect()
+
+
+def test_cells_spread_a_common_key(spark, monkeypatch):
+    """All pairs come once, and those of one key are dealt out over tasks."""
+    monkeypatch.setattr(joins, "CELL", 16)
+    monkeypatch.setattr(joins, "TASK_PAIRS", 1024)
+    a = spark.range(200).selectExpr("if(id < 150, 'x', 'k' || id % 40) k", "id i").union(spark.sql("select null, -1L"))
+    b = spark.range(300).selectExpr("if(id < 220, 'x', 'k' || id % 50) k", "id j").union(spark.sql("select null, -1L"))
+    got = joins.cell_join(a, b, ["k"])
+    assert sorted(map(tuple, got.select("k", "i", "j").collect())) == sorted(map(tuple, a.join(b, ["k"]).select("k", "i", "j").collect()))
+    sizes = [r["count"] for r in got.where("k = 'x'").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 20 and sum(sizes) == 33000 and max(sizes) < 33000 / 5
+    assert joins.cell_join(a.limit(0), b, ["k"]).count() == 0

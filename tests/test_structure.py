@@ -166,6 +166,20 @@ def test_call_resolution(spark):
     assert got == sorted([("own and imported", 1, 0), ("own and imported", 2, 0), ("own and imported", 4, 1), ("renamed", 3, 1), ("whole name", 5, 1), ("self", 3, 0), ("alias", 3, 2), ("parts", 6, 2)])
 
 
+def test_calls_of_a_common_name_move_no_pairs(spark):
+    """600 calls by 600 definitions of one name: only calls and definitions are shuffled. A key under two names is met once, by its first way."""
+    n = 600
+    definitions = spark.range(n).selectExpr("'m' module", "'f' name", "id key").union(spark.sql("select 'm', 'g', 0L union all select 'm', 'f', null union all select 'm', 'f', null"))
+    calls = spark.range(n).selectExpr("'s' || id site", "'m' module", "cast(null as string) base", "'f' name").union(spark.sql("select 's0', 'm', null, 'h'"))
+    imports = spark.sql("select 'm' module, 'h' name, 'm' from_module, 'g' from_name union all select 'm', 'f', 'm', 'g'")
+    aliases = spark.createDataFrame([], "module string, base string, to_module string")
+    written = lambda: spark._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    got = resolution.resolved_calls(calls, definitions, imports, aliases).collect()
+    assert written() - before < 1_000_000
+    assert sorted(map(str, got)) == sorted(f"Row(site='s{i}', key={k}, how=0)" for i in range(n) for k in [*range(n), None])
+
+
 def test_verified_findings(spark):
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     files = spark.createDataFrame([("r", "a.py", "one\n  two \nthree"), ("r", "b.py", "x"), ("other", "a.py", "one")], "repo string, file string, text string")
