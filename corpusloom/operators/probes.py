@@ -88,8 +88,8 @@ def _literal(probe: Probe) -> Column:
     return F.struct(*(F.lit(v).cast("boolean" if f.name == "dependency" else "string").alias(f.name) for f, v in zip(fields(probe), astuple(probe), strict=True)))
 
 
-def planted(repositories: DataFrame, suite: int, key: str = "sample_id", language: str = "language") -> DataFrame:
-    """(key, probe_id, file, category, symbol, dependency, source_type, guard_kind, polarity, text): a suite's programs for each repository.
+def planted(repositories: DataFrame, suite: int, key: str = "sample_id", language: str = "language", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, keep, probe_id, file, category, symbol, dependency, source_type, guard_kind, polarity, text): a suite's programs for each repository.
 
     The programs are literals of the plan, so repositories are read once and nothing is shuffled. A language
     that the suite hasn't is an error, as is a null one; a null key is kept and gives null ids and files.
@@ -102,9 +102,9 @@ def planted(repositories: DataFrame, suite: int, key: str = "sample_id", languag
         which = F.when(F.col(language) == x, F.array(*map(_literal, of))).otherwise(which)
         suffix = F.when(F.col(language) == x, F.lit(_SUFFIXES[x])).otherwise(suffix)
     ident = F.col("_key").cast("string")
-    each = repositories.select(F.col(key).alias("_key"), suffix.alias("_suffix"), F.inline(which))
+    each = repositories.select(F.col(key).alias("_key"), *keep, suffix.alias("_suffix"), F.inline(which))
     return each.select(
-        F.col("_key").alias(key), F.concat(F.lit("MUT-"), ident, F.lit("-"), F.col("number")).alias("probe_id"), F.concat(F.lit("probes/"), F.lower(ident), F.lit("_"), F.col("name"), F.lit("."), F.col("_suffix")).alias("file"),
+        F.col("_key").alias(key), *keep, F.concat(F.lit("MUT-"), ident, F.lit("-"), F.col("number")).alias("probe_id"), F.concat(F.lit("probes/"), F.lower(ident), F.lit("_"), F.col("name"), F.lit("."), F.col("_suffix")).alias("file"),
         "category", "symbol", "dependency", "source_type", "guard_kind", "polarity", "text",
     )
 
@@ -117,3 +117,18 @@ def matched(expected: DataFrame, findings: DataFrame, keys: list[str]) -> DataFr
     found = findings.groupBy(*keys).agg(F.count("*").alias("matches"))
     claims = expected.groupBy(*keys).agg(F.count("*").alias("claims"))
     return expected.join(claims.join(found, keys, "left"), keys, "left").fillna(0, ["matches"])
+
+
+def found_once(scanned: DataFrame, by: list[str]) -> DataFrame:
+    """(by, probes, found_once, missed, ambiguous) of planted programs with their `hits` and `claims`, the number of repositories of their key.
+
+    A program is its file's only one, so its own hits alone can be of its file, category and symbol. Programs without an id
+    have no file, are missed, and count as one.
+    """
+    own = F.exists("hits", lambda h: (h["category"] == F.col("category")) & (h["symbol"] == F.col("symbol")))
+    found = F.coalesce(own, F.lit(False)) & F.col("file").isNotNull()
+    nameless = F.max(F.col("probe_id").isNull().cast("long"))
+    return scanned.select(*by, "probe_id", "claims", found.alias("_found")).groupBy(*by).agg(
+        (F.count("probe_id") + nameless).alias("probes"), F.count_if(F.expr("_found and claims = 1")).alias("found_once"),
+        (F.count_if(F.expr("not _found and probe_id is not null")) + nameless).alias("missed"), F.count_if(F.expr("_found and claims > 1")).alias("ambiguous"),
+    )

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import glob_match, suffix
 
-#: What ends a line in text: CR LF as one, or any single one of these.
-LINE_END = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
+#: What ends a line in text: CR LF as one, or any single one of these, most of which are rare.
+_RARE_ENDS = "\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029"
+LINE_END = f"[\n{_RARE_ENDS}](?:(?<=\r)\n)?"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,11 +43,18 @@ def source_files(spark: SparkSession, root: str, suffixes: list[str], max_bytes:
     return tree(spark, root, suffixes, max_bytes=max_bytes).where("status = 'kept'").drop("status")
 
 
+def line_arrays(files: DataFrame, text: str = "text") -> DataFrame:
+    """files with `_lines` for their text: an array of its lines; a line end at the very end opens no further line. Texts are split once."""
+    parts = F.col("_parts")
+    whole = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    split = F.when(F.col(text).rlike(f"[{_RARE_ENDS}]"), F.split(text, LINE_END)).otherwise(F.split(text, "\n"))
+    return files.withColumn("_parts", split).drop(text).withColumn("_lines", whole).drop("_parts")
+
+
 def lines(files: DataFrame, key: str, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, keep, line_no from 1, line); a line end at the very end opens no further line."""
-    parts = F.split(F.col(text), LINE_END)
-    parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    return files.select(key, *keep, F.posexplode(parts).alias("n", "line")).select(key, *keep, (F.col("n") + 1).alias("line_no"), "line")
+    """(key, keep, line_no from 1, line) of line_arrays(). Exploded with outer, as Spark else filters by the arrays' sizes first and splits each text several times for that."""
+    each = line_arrays(files.select(key, *keep, text), text).select(key, *keep, F.posexplode_outer("_lines").alias("n", "line")).where("n is not null")
+    return each.select(key, *keep, (F.col("n") + 1).alias("line_no"), "line")
 
 
 def stripped(line: Column | str) -> Column:

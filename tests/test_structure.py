@@ -5,6 +5,7 @@ import json
 import math
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import json as fj
 from corpusloom.functions import text as fn
 from corpusloom.operators import graph, intervals, metrics, ordering, resolution, scan, verification
+from corpusloom.sources import readers
 from corpusloom.sources.file_tree import scan_tree
 from corpusloom.sources.snapshots import Conflict, Snapshots
 
@@ -382,3 +384,41 @@ def test_pruned_json(spark):
     cases = [('{"title":1,"p":{"title":{"x":1},"q":[{"title":2,"r":[[{"title":3}]]}]}}', '{"p":{"q":[{"r":[[{}]]}]}}'), ('["title"]', '["title"]'), ("{", None), (None, None)]
     got = spark.createDataFrame([(a,) for a, _ in cases], "j string").select("j", fj.pruned_json(F.col("j"), ["title"]).alias("p")).collect()
     assert {r.j: r.p for r in got} == dict(cases)
+
+
+def test_hits_within_a_file_equal_those_by_windows(spark):
+    """All line ends, comments, long lines, decorators, declarations near and out of reach, rules by suffix."""
+    rng = random.Random(7)
+    parts = ["secret one", "token SECRET two", "# secret", "   // secret", "@wrap secret", "@wrap", "def f{}(a):", "  class C{}:", "def (secret)", "x" * 1995 + "secret", "", " ", "other", "token", *["pass"] * 20]
+    ends = ["\n"] * 6 + ["\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029", "\r\n\n", "\n\r"]
+    texts = ["".join(rng.choice(parts).format(k) + rng.choice(ends if i % 2 else ["\n"]) for k in range(rng.randint(0, 90))) + rng.choice(["", "secret"]) for i in range(120)] + [None]
+    files = spark.createDataFrame([(i, rng.choice([".py", ".ts", None]), t) for i, t in enumerate(texts)], "k int, suffix string, text string")
+    rules = [scan.Rule("c", "d", "secret", "high"), scan.Rule("c", "e", "token.*secret", "medium", (".py",)), scan.Rule("g", "h", "^@|token", "medium", (".py", ".ts"))]
+    declared = [r"^\s*def (\w*)", r"^\s*class (\w+)"]
+    want = scan.with_symbols(scan.matches(files, "k", rules, "suffix"), files, "k", declared)
+    got = scan.file_hits(files, rules, declared, "suffix").select("k", F.inline("hits"))
+    columns = ["k", "line_no", "line", "category", "detector", "confidence", "symbol"]
+    rows = sorted(str(tuple(r)) for r in got.select(columns).collect())
+    assert rows == sorted(str(tuple(r)) for r in want.select(columns).collect()) and len(rows) > 500
+    by_hand = re.compile("\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]")
+    for r in readers.line_arrays(files.where("text is not null")).collect():
+        lines = by_hand.split(texts[r.k])
+        assert r._lines == (lines[:-1] if lines[-1] == "" else lines)
+
+
+def test_probes_found_of_repeated_and_nameless_repositories(spark, tmp_path):
+    """As the SQL has it, with only repositories shuffled."""
+    import duckdb
+
+    from corpusloom.plans import probing, registry
+
+    customers = spark.range(600).selectExpr("id c_custkey", "cast(id % 25 as int) c_nationkey").union(spark.sql("select 3L, 3 union all select 4L, 4 union all select 5L, 6 union all select null, 1 union all select null, 3 union all select 7000L, null"))
+    customers.write.parquet(f"{tmp_path}/customer.parquet")
+    written = lambda: spark._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    got = sorted(tuple(r) for r in probing.a18_probes_found(spark, str(tmp_path)).collect())
+    assert written() - before < 200_000
+    con = duckdb.connect()
+    con.execute(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
+    assert got == sorted(con.sql(registry.ORACLES["a18_probes_found"]).fetchall())
+    assert {r[5] for r in got} == {1} and sum(r[6] for r in got) > 0
